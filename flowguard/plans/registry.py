@@ -1,0 +1,16 @@
+"""Where query modules register themselves."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
+
+
+def query(key: str, sql: str | None = None):
+    """Register a callable (spark, sf_dir) -> DataFrame under a key."""
+    def wrap(fn):
+        if key in QUERIES:
+            raise ValueError(f"query {key} registered twice")
+        QUERIES[key] = fn
+        if sql is not None:
+            ORACLE[key] = sql.strip()
+        return fn
+    return wrap
