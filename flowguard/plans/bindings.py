@@ -7,6 +7,7 @@ give DuckDB the same rows.
 """
 
 from datetime import datetime, timezone
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -37,6 +38,22 @@ RULES = (
 SCAN, FAILURE, RATE = RULES
 
 
+_PLANS: dict = {}
+
+
+def shared_plan(make):
+    """Build a binding's plan once per session and folder. Only the plan is kept, no data."""
+    @wraps(make)
+    def get(spark, sf, *args):
+        key = (make.__name__, sf, *args)
+        held = _PLANS.get(key)
+        if held is None or held[0] is not spark:
+            held = _PLANS[key] = (spark, make(spark, sf, *args))
+        return held[1]
+    return get
+
+
+@shared_plan
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """One given table; times without a zone are taken as UTC."""
     df = pin_utc(spark).read.parquet(f"{sf}/{name}.parquet")
@@ -95,6 +112,7 @@ def flow_columns() -> dict:
     }
 
 
+@shared_plan
 def flows(spark: SparkSession, sf: str) -> DataFrame:
     """Events as canonical flows, with event_id, user_id, k and event_type kept."""
     return events(spark, sf).select("event_id", "user_id", "k", "event_type", "value",
@@ -221,6 +239,7 @@ alerts AS (
   GROUP BY fingerprint, category, severity, sensor_id, grouping)"""
 
 
+@shared_plan
 def all_signals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(signals over all flows, signals over the old job's flows)."""
     from flowguard.operators.rules import evaluate_rules
@@ -229,6 +248,7 @@ def all_signals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
             with_signal_keys(evaluate_rules(old_flows(spark, sf), RULES, unique=True)))
 
 
+@shared_plan
 def merged_alerts(spark: SparkSession, sf: str) -> DataFrame:
     from flowguard.operators.alerts import rollup_alerts
     from flowguard.operators.signals import novel_signals
@@ -238,6 +258,7 @@ def merged_alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- policy tables -----------------------------------------------------------
 
+@shared_plan
 def assets(spark: SparkSession, sf: str) -> DataFrame:
     """One asset per source seen, numbered by its last octet."""
     n = F.element_at(F.split("src_address", "\\."), -1).cast("int")
@@ -256,6 +277,7 @@ assets AS (
         FROM flows))"""
 
 
+@shared_plan
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as action requests."""
     o = table(spark, sf, "orders")
@@ -309,6 +331,7 @@ requests AS (
   FROM orders)"""
 
 
+@shared_plan
 def policy_tables(spark: SparkSession, sf: str) -> dict:
     """Allowlist, alerts, incidents, members and indicators the requests refer to."""
     part, cust = table(spark, sf, "part"), table(spark, sf, "customer")
@@ -357,6 +380,7 @@ p_indicators AS (
 
 # --- threat indicators --------------------------------------------------------
 
+@shared_plan
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     """Sources of flows and page addresses as observed values."""
     f = flows(spark, sf).select(F.lit("ipv4").alias("indicator_type"),
@@ -368,6 +392,7 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
     return f.unionByName(p)
 
 
+@shared_plan
 def indicators(spark: SparkSession, sf: str) -> DataFrame:
     """Sources of every fifth user, twice over, and every fourth page address."""
     from flowguard.functions.text import indicator_hash

@@ -10,8 +10,13 @@ from flowguard.plans.registry import query
 
 START, END = B.utc(2024, 1, 5), B.utc(2024, 1, 25)
 START_US, END_US = (int(t.timestamp()) * 1_000_000 for t in (START, END))
-GROUP_TEXT = F.concat_ws(",", F.transform(F.map_entries("grouping"), lambda e: F.concat(
-    e["key"], F.lit("="), e["value"])))
+
+
+def group_text():
+    return F.concat_ws(",", F.transform(F.map_entries("grouping"), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"])))
+
+
 GROUP_SQL = """concat_ws(',', 'dst_address=' || dst_address, 'dst_port=' || dst_port,
   'protocol=' || protocol, 'sensor_id=' || coalesce(sensor_id, 'unspecified'),
   'src_address=' || src_address)"""
@@ -105,9 +110,9 @@ def prj_17(spark, sf):
     from flowguard.functions.flow_columns import mask_group
     now, _ = B.all_signals(spark, sf)
     return now.select(A.fingerprint(F.col("series_key")).alias("fingerprint"),
-                      GROUP_TEXT.alias("full_group"),
+                      group_text().alias("full_group"),
                       mask_group(F.col("grouping"), False).alias("grouping")) \
-        .select("fingerprint", "full_group", GROUP_TEXT.alias("masked_group"))
+        .select("fingerprint", "full_group", group_text().alias("masked_group"))
 
 
 def rule_versions(spark, sf):

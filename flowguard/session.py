@@ -17,6 +17,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -38,6 +39,9 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     """Times are UTC everywhere; a session opened elsewhere is brought in line."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.python.sql.dataFrameDebugging.enabled", "true") != "false":
+        # Building plans is several times faster without a stack trace per column.
+        spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
     return spark
 
 

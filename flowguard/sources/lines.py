@@ -49,10 +49,24 @@ class JsonField:
                            F.lit(False))
 
 
-def json_field(doc: Column, *path: str) -> JsonField:
-    where = "$" + "".join(f'["{p}"]' for p in path)
-    part = F.try_variant_get(doc, where, "variant")
-    return JsonField(F.try_variant_get(doc, where, "string"), F.schema_of_variant(part))
+def with_fields(rows: DataFrame, paths) -> DataFrame:
+    """Adds text and type of each JSON value as columns ``t.path`` and ``k.path``.
+
+    Later steps read these columns, so each value is taken out of the document once.
+    """
+    out = []
+    for path in paths:
+        where = "$" + "".join(f'["{p}"]' for p in path)
+        part = F.try_variant_get("doc", where, "variant")
+        out += [F.try_variant_get("doc", where, "string").alias("t." + "/".join(path)),
+                F.schema_of_variant(part).alias("k." + "/".join(path))]
+    return rows.select("*", *out)
+
+
+def json_field(*path: str) -> JsonField:
+    """A value taken out by :func:`with_fields`."""
+    name = "/".join(path)
+    return JsonField(F.col(f"`t.{name}`"), F.col(f"`k.{name}`"))
 
 
 def text_lines(lines: DataFrame, skip_blank: bool) -> DataFrame:
@@ -120,5 +134,9 @@ def finish(rows: DataFrame, flow: dict, flow_good: Column, signature: dict | Non
         sig_value = F.lit(None).cast(
             "struct<" + ",".join(f"{c}:{t}" for c, t in SIGNATURE_TYPES.items()) + ">")
     error = F.when(~flow_hit & ~sig_hit, F.coalesce("line_error", F.lit(K.INVALID_RECORD)))
-    return wide.select(*keep, F.when(flow_hit, F.col("_f")).alias("flow"),
-                       sig_value.alias("signature"), error.alias("error_code"))
+    # One outcome per line, as a generated row: filters on outcomes stay above it and do
+    # not repeat the parsing expressions below.
+    outcome = F.struct(F.when(flow_hit, F.col("_f")).alias("flow"), sig_value.alias("signature"),
+                       error.alias("error_code"))
+    return wide.select(*keep, F.explode(F.array(outcome)).alias("o")).select(
+        *keep, "o.flow", "o.signature", "o.error_code")

@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from flowguard import constants as K
 from flowguard.functions.network import canonical_ip
 from flowguard.functions.parsing import half_even, parse_ts, to_float, to_int
-from flowguard.sources.lines import finish, json_field, parse_doc, text_lines, whole_in
+from flowguard.sources.lines import (finish, json_field, parse_doc, text_lines, whole_in,
+                                     with_fields)
 
 NORMALIZED_KEYS = ("schema_version", "source_event_id", "event_time", "src_address",
                    "dst_address", "src_port", "dst_port", "protocol", "duration_ms",
@@ -35,13 +36,17 @@ def _one_entry(key: str, value: Column) -> Column:
 
 def parse_flow_lines(lines: DataFrame) -> DataFrame:
     """Canonical JSON lines: twelve known keys, everything else is a reject."""
-    rows = parse_doc(text_lines(lines, skip_blank=False))
-    f = {k: json_field(F.col("doc"), k) for k in NORMALIZED_KEYS}
+    rows = with_fields(parse_doc(text_lines(lines, skip_blank=False)),
+                       [(k,) for k in NORMALIZED_KEYS])
+    f = {k: json_field(k) for k in NORMALIZED_KEYS}
+    whole = ("src_port", "dst_port", "duration_ms", "packet_count", "byte_count")
+    rows = rows.select("*", parse_ts(f["event_time"].text).alias("at"), *[
+        to_int(f[n].text, f[n].is_text, None).alias(f"n.{n}") for n in whole])
     known = F.size(F.array_except(F.json_object_keys(F.to_json("doc")),
                                   F.array(*[F.lit(k) for k in NORMALIZED_KEYS]))) == 0
 
     def number(name: str) -> tuple[Column, Column]:
-        got = to_int(f[name].text, f[name].is_text, None)
+        got = F.col(f"`n.{name}`")
         there = f[name].text.isNotNull() & ~f[name].text.isin("-", "")
         return got["value"], got["ok"] & there & ~f[name].is_bool
 
@@ -60,7 +65,7 @@ def parse_flow_lines(lines: DataFrame) -> DataFrame:
     flow = {
         "schema_version": f["schema_version"].text, "source_type": F.lit("normalized"),
         "source_event_id": f["source_event_id"].text,
-        "event_time": parse_ts(f["event_time"].text),
+        "event_time": F.col("at"),
         "src_address": f["src_address"].text, "dst_address": f["dst_address"].text,
         **{n: whole_in(v, 0, K.MAX_PORT) for n, (v, _) in ports.items()},
         "protocol": F.lower(f["protocol"].text), **{n: v for n, (v, _) in counters.items()},
@@ -92,23 +97,29 @@ def parse_zeek_lines(lines: DataFrame, headers: DataFrame | None = None) -> Data
     """Zeek connection records, tab-separated under a #fields header or as JSON lines."""
     headers = zeek_headers(lines) if headers is None else headers
     data = text_lines(lines.where(~F.col("value").startswith("#")), skip_blank=True)
-    rows = (parse_doc(data.join(headers, F.col("input_file") == F.col("_file"), "left"))
-            .withColumn("_parts", F.split(F.regexp_replace("value", r"[\r\n]+$", ""), "\t")))
-    is_json = F.col("value").startswith("{")
-    fits = F.coalesce(F.size("_parts") == F.size("fields"), F.lit(False))
-    text, quoted, scalar = {}, {}, F.lit(True)
+    rows = parse_doc(data.join(headers, F.col("input_file") == F.col("_file"), "left"))
+    rows = with_fields(rows, [(n,) for n in ZEEK_FIELDS]).select(
+        "*", F.split(F.regexp_replace("value", r"[\r\n]+$", ""), "\t").alias("_parts"),
+        F.col("value").startswith("{").alias("is_json"))
+    is_json = F.col("is_json")
+    rows = rows.select("*", F.coalesce(F.size("_parts") == F.size("fields"), F.lit(False))
+                       .alias("fits"))
+    scalar = F.lit(True)
     for name in ZEEK_FIELDS:
-        j = json_field(F.col("doc"), name)
-        at = F.array_position("fields", name).cast("int")
-        cell = F.when(fits & (at > 0), F.try_element_at("_parts", F.when(at > 0, at)))
-        text[name] = F.when(is_json, j.text).otherwise(cell)
-        quoted[name] = F.when(is_json, j.is_text).otherwise(F.lit(True))
+        j = json_field(name)
         scalar = scalar & (~is_json | (j.is_scalar & ~j.is_bool))
-    ints = {n: to_int(text[n], quoted[n]) for n in ("id.orig_p", "id.resp_p", "orig_pkts",
-                                                    "resp_pkts", "orig_bytes", "resp_bytes")}
-    span = to_float(text["duration"])
-    good = (F.when(is_json, F.col("doc").isNotNull()).otherwise(fits) & scalar & span["ok"]
-            & text["uid"].isNotNull() & text["proto"].isNotNull())
+        at = F.array_position("fields", name).cast("int")
+        cell = F.when(F.col("fits") & (at > 0), F.try_element_at("_parts", F.when(at > 0, at)))
+        rows = rows.withColumn(f"z.{name}", F.when(is_json, j.text).otherwise(cell))
+    text = {n: F.col(f"`z.{n}`") for n in ZEEK_FIELDS}
+    whole = ("id.orig_p", "id.resp_p", "orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes")
+    rows = rows.select("*", to_float(text["duration"]).alias("span"),
+                       parse_ts(text["ts"]).alias("at"), *[
+        to_int(text[n], ~is_json | json_field(n).is_text).alias(f"n.{n}") for n in whole])
+    ints = {n: F.col(f"`n.{n}`") for n in whole}
+    span = F.col("span")
+    good = (F.when(is_json, F.col("doc").isNotNull()).otherwise(F.col("fits")) & scalar
+            & span["ok"] & text["uid"].isNotNull() & text["proto"].isNotNull())
     for c in ints.values():
         good = good & c["ok"]
     for n in ("id.orig_p", "id.resp_p"):
@@ -116,7 +127,7 @@ def parse_zeek_lines(lines: DataFrame, headers: DataFrame | None = None) -> Data
     state = text["conn_state"]
     flow = {
         "schema_version": F.lit(K.FLOW_SCHEMA_VERSION), "source_type": F.lit("zeek"),
-        "source_event_id": text["uid"], "event_time": parse_ts(text["ts"]),
+        "source_event_id": text["uid"], "event_time": F.col("at"),
         "src_address": text["id.orig_h"], "dst_address": text["id.resp_h"],
         "src_port": whole_in(ints["id.orig_p"]["value"], 0, K.MAX_PORT),
         "dst_port": whole_in(ints["id.resp_p"]["value"], 0, K.MAX_PORT),
@@ -137,27 +148,34 @@ def read_zeek(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_eve_lines(lines: DataFrame) -> DataFrame:
     """EVE JSON: ``flow`` records become flows, ``alert`` records signature events."""
-    rows = parse_doc(text_lines(lines, skip_blank=False))
+    top_names = ("event_type", "timestamp", "flow_id", "src_ip", "dest_ip", "src_port",
+                 "dest_port", "proto", "app_proto", "flow", "alert")
+    inner_names = ("pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient", "start",
+                   "end", "state")
+    alert_names = ("action", "signature_id", "rev", "signature", "category", "severity")
+    rows = with_fields(
+        parse_doc(text_lines(lines, skip_blank=False)),
+        [(n,) for n in top_names] + [("flow", n) for n in inner_names]
+        + [("alert", n) for n in alert_names])
     doc = F.col("doc")
-    top = {n: json_field(doc, n) for n in ("event_type", "timestamp", "flow_id", "src_ip",
-                                           "dest_ip", "src_port", "dest_port", "proto",
-                                           "app_proto", "flow", "alert")}
-    inner = {n: json_field(doc, "flow", n) for n in (
-        "pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient", "start", "end",
-        "state")}
-    alert = {n: json_field(doc, "alert", n) for n in ("action", "signature_id", "rev",
-                                                      "signature", "category", "severity")}
-    num = lambda field: to_int(field.text, field.is_text)
-    ports = {n: num(top[n]) for n in ("src_port", "dest_port")}
-    counters = {n: num(inner[n]) for n in ("pkts_toserver", "pkts_toclient", "bytes_toserver",
-                                           "bytes_toclient")}
-    numbers = {n: num(alert[n]) for n in ("signature_id", "rev", "severity")}
-    at = parse_ts(top["timestamp"].text)
-    start_text = F.when(inner["start"].kind.isNull(), top["timestamp"].text) \
-        .otherwise(inner["start"].text)
-    end_text = F.when(inner["end"].kind.isNull(), top["timestamp"].text) \
-        .otherwise(inner["end"].text)
-    start, end = parse_ts(start_text), parse_ts(end_text)
+    top = {n: json_field(n) for n in top_names}
+    inner = {n: json_field("flow", n) for n in inner_names}
+    alert = {n: json_field("alert", n) for n in alert_names}
+    whole = {**{n: top[n] for n in ("src_port", "dest_port")},
+             **{n: inner[n] for n in inner_names[:4]},
+             **{n: alert[n] for n in ("signature_id", "rev", "severity")}}
+    at_text = top["timestamp"].text
+    rows = rows.select(
+        "*", parse_ts(at_text).alias("at"), parse_ts(F.when(
+            inner["start"].kind.isNull(), at_text).otherwise(inner["start"].text)).alias("start"),
+        parse_ts(F.when(inner["end"].kind.isNull(), at_text).otherwise(inner["end"].text))
+        .alias("end"),
+        *[to_int(field.text, field.is_text).alias(f"n.{n}") for n, field in whole.items()])
+    num = {n: F.col(f"`n.{n}`") for n in whole}
+    ports = {n: num[n] for n in ("src_port", "dest_port")}
+    counters = {n: num[n] for n in inner_names[:4]}
+    numbers = {n: num[n] for n in ("signature_id", "rev", "severity")}
+    at, start, end = F.col("at"), F.col("start"), F.col("end")
     is_alert = F.coalesce(top["event_type"].text == "alert", F.lit(False))
     shared = doc.isNotNull() & top["proto"].text.isNotNull() & ~top["timestamp"].is_bool
     for n in ports:
