@@ -91,7 +91,8 @@ def counts_by(df: DataFrame, names) -> DataFrame:
     for name in names:
         kind = df.schema[name].dataType.simpleString()
         value = F.explode(name) if kind.startswith("array") else F.col(name)
-        part = (df.select(value.cast("string").alias("value")).groupBy("value")
+        part = (df.select(value.alias("value")).select(F.col("value").cast("string")
+                                                       .alias("value")).groupBy("value")
                 .agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "value", "n"))
         out = part if out is None else out.unionByName(part)
     return out
