@@ -23,22 +23,29 @@ def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
                          .otherwise(total / (2.0 * zeros)))
 
 
+ALGORITHMS = ("logistic_regression", "random_forest")
+
+
 def fit_candidates(matrix: DataFrame, names, trees: int = 300, depth: int = 20,
-                   label: str = "label", partition: str = "partition") -> dict:
-    """Fitted models by name, each with the matrix it reads."""
-    scaled = assembled(robust_scale(matrix, names, partition), names)
-    plain = assembled(matrix, names)
-    def train(df):
-        return with_class_weights(df.where(F.col(partition) == K.PARTITIONS[0]), label)
-    rows = train(scaled)
-    n = rows.count()
-    logistic = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_weight",
-                                  maxIter=500, regParam=1.0 / max(n, 1), standardization=False)
-    forest = RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="_weight",
-                                    numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
-                                    featureSubsetStrategy="sqrt", seed=K.SEED)
-    return {"logistic_regression": (logistic.fit(rows), scaled),
-            "random_forest": (forest.fit(train(plain)), plain)}
+                   iterations: int = 500, which=ALGORITHMS, label: str = "label",
+                   partition: str = "partition") -> dict:
+    """Fitted models by name, each with the matrix it reads: name -> (model, rows)."""
+    common = {"featuresCol": "_x", "labelCol": label, "weightCol": "_weight"}
+    out = {}
+    for name in which:
+        logistic = name == "logistic_regression"
+        rows = assembled(robust_scale(matrix, names, partition) if logistic else matrix, names)
+        train = with_class_weights(rows.where(F.col(partition) == K.PARTITIONS[0]), label)
+        if logistic:
+            model = LogisticRegression(
+                maxIter=iterations, regParam=1.0 / max(train.count(), 1), standardization=False,
+                **common)
+        else:
+            model = RandomForestClassifier(
+                numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
+                featureSubsetStrategy="sqrt", seed=K.SEED, **common)
+        out[name] = (model.fit(train), rows)
+    return out
 
 
 def probabilities(model, df: DataFrame) -> DataFrame:

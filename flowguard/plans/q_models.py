@@ -1 +1,117 @@
-"""To be filled."""
+"""Models: classifiers, isolation forest, attribution.
+
+The classifiers are fitted with fewer trees and iterations than the library's defaults (300
+trees of depth 20, 500 iterations). Both are parameters; the rows are those of the whole
+tables.
+"""
+
+from pyspark.sql import functions as F
+
+from flowguard import constants as K
+from flowguard.operators import attribution as AT, classifiers as C, encoders as E, \
+    features as FT, forest as FO
+from flowguard.operators.splits import group_time_split
+from flowguard.plans import bindings as B
+from flowguard.plans.registry import query
+
+WINDOWS = K.DEFAULT_WINDOWS
+NAMES = list(K.feature_names(WINDOWS))
+TREES, DEPTH, ITERATIONS = 20, 5, 20
+
+
+def matrix(spark, sf):
+    """Encoded features of all flows with label and partition."""
+    f = B.flows(spark, sf).withColumn("label", (F.col("value") > 20).cast("int"))
+    f = group_time_split(f, "user_id", "event_time")
+    table = FT.feature_columns(f, WINDOWS, carry=("label", "partition"))
+    return E.encoded_matrix(table, NAMES, keep=("event_key", "label", "partition"))
+
+
+def fitted(spark, sf, *which):
+    rows = matrix(spark, sf).persist()
+    return C.fit_candidates(rows, NAMES, TREES, DEPTH, ITERATIONS, which or C.ALGORITHMS)
+
+
+@query("ml_4_logistic_regression")
+def ml_4(spark, sf):
+    model, rows = fitted(spark, sf, "logistic_regression")["logistic_regression"]
+    return C.probabilities(model, rows).select("event_key", "label", "partition",
+                                               "probability_1")
+
+
+@query("ml_5_random_forest")
+def ml_5(spark, sf):
+    model, rows = fitted(spark, sf, "random_forest")["random_forest"]
+    return C.probabilities(model, rows).select("event_key", "label", "partition",
+                                               "probability_1")
+
+
+@query("ml_6_selected_candidate")
+def ml_6(spark, sf):
+    return C.select_candidate(fitted(spark, sf))[1]
+
+
+@query("ml_11_class_counts")
+def ml_11(spark, sf):
+    model, rows = fitted(spark, sf, "logistic_regression")["logistic_regression"]
+    return C.score_counts(rows, model)
+
+
+def benign(rows):
+    return rows.where("partition = 'training' AND label = 0")
+
+
+@query("ml_7_isolation_forest")
+def ml_7(spark, sf):
+    return FO.fit_forest(benign(matrix(spark, sf)), "event_key", NAMES)
+
+
+def forest_model(rows):
+    return FO.load_forest(FO.fit_forest(benign(rows), "event_key", NAMES), NAMES)
+
+
+@query("ml_8_isolation_scores")
+def ml_8(spark, sf):
+    rows = matrix(spark, sf).persist()
+    scored = FO.score_forest(rows, forest_model(rows))
+    anchors = E.score_anchors(benign(scored), "raw_score")
+    return E.normalize_scores(scored, "raw_score", anchors).select(
+        "event_key", "partition", "raw_score", "score")
+
+
+def explained(spark, sf):
+    rows = matrix(spark, sf).persist()
+    base = {r["feature"]: r["median"] for r in E.baseline_medians(rows, NAMES).collect()}
+    return AT.attribute(rows.where("partition = 'validation'"), forest_model(rows), base, 5)
+
+
+@query("ml_12_occlusion_attribution")
+def ml_12(spark, sf):
+    return explained(spark, sf)
+
+
+@query("agg_16_lead_directions")
+def agg_16_lead(spark, sf):
+    return AT.lead_directions(explained(spark, sf))
+
+
+# Fixed pseudo-deltas: the ranking is what is checked here, not the model.
+NINE = K.DIRECT_FEATURES[:9]
+
+
+@query("srt_7_top_attributions", f"""WITH {B.EVENTS},
+d AS (SELECT event_id, unnest([{', '.join(f"'{n}'" for n in NINE)}]) AS feature,
+    unnest([{', '.join(f"((k * {7 * i + 3} + event_id) % 11 - 5) / 10.0::DOUBLE"
+                       for i in range(9))}]) AS delta FROM ev),
+r AS (SELECT *, max(abs(delta)) OVER (PARTITION BY event_id) AS top,
+  row_number() OVER (PARTITION BY event_id ORDER BY abs(delta) DESC, feature) AS rank FROM d)
+SELECT event_id, CAST(rank AS BIGINT) AS rank, feature,
+  CASE WHEN delta > 1e-9 THEN 'increase' WHEN delta < -1e-9 THEN 'decrease' ELSE 'neutral' END
+    AS direction, round(abs(delta) / CASE WHEN top > 1e-9 THEN top ELSE 1 END, 6) AS magnitude
+FROM r WHERE rank <= 4""")
+def srt_7(spark, sf):
+    k, e = F.col("k"), F.col("event_id")
+    rows = B.events(spark, sf).withColumn("deltas", F.array(*[
+        ((k * (7 * i + 3) + e) % 11 - 5) / F.lit(10.0) for i in range(9)]))
+    return AT.top_attributions(rows, NINE, 4, key="event_id").select(
+        "event_id", F.col("rank").cast("long").alias("rank"), "feature", "direction", "magnitude")

@@ -1 +1,49 @@
-"""To be filled."""
+"""The streaming paths run to the end over the given tables, as files that arrive."""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from flowguard.plans import bindings as B
+from flowguard.plans.registry import query
+from flowguard.session import shared_dir
+from flowguard.streaming import detect, ingest
+
+
+def scratch(spark, name):
+    return f"{shared_dir(spark)}/flowguard-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def flow_stream(spark, sf):
+    """The events file as a stream of flows."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+           .parquet(sf))
+    raw = raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k",
+                                                                       B.number_in_props())
+    return raw.select("event_id", *[c.alias(n) for n, c in B.flow_columns().items()])
+
+
+@query("str_4_exact_alerts", f"""WITH {B.SIGNALS}
+SELECT fingerprint, category, CAST(count(*) AS BIGINT) AS occurrence_count,
+  min(bucket_us) AS first_us, max(bucket_end_us) AS last_us FROM signals GROUP BY 1, 2""")
+def str_4(spark, sf):
+    B.pin_utc(spark)
+    out = scratch(spark, "alerts")
+    detect.start_detection(flow_stream(spark, sf), out, f"{out}/checkpoint",
+                           B.RULES).awaitTermination()
+    return detect.current_alerts(spark, out).select(
+        "fingerprint", "category", "occurrence_count", B.micros("first_seen").alias("first_us"),
+        B.micros("last_seen").alias("last_us"))
+
+
+@query("str_2_stream_dedup", f"WITH {B.FLOWS} SELECT event_key FROM flows")
+def str_2(spark, sf):
+    B.pin_utc(spark)
+    out = scratch(spark, "dedup")
+    twice = flow_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    once = ingest.stream_dedup(twice, "2 days").select("event_key")
+    (once.writeStream.format("parquet").option("path", f"{out}/rows")
+     .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+     .awaitTermination())
+    return spark.read.parquet(f"{out}/rows")
