@@ -111,8 +111,10 @@ def alert_detail(alerts: DataFrame, evidence: DataFrame, n: int = 100,
 
 
 def latest_versions(rules: DataFrame, active_only: bool = False) -> DataFrame:
-    """Rule versions, newest first per key, with the number the next one gets."""
-    top = rules.groupBy("rule_key").agg((F.max("version") + 1).alias("next_version"))
+    """Rule versions, newest first per key, which is the latest, and the next number."""
+    top = rules.groupBy("rule_key").agg(F.max("version").alias("_top"))
     rows = rules.where("is_active") if active_only else rules
-    order = W.partitionBy("rule_key").orderBy(F.col("version").desc())
-    return (rows.withColumn("position", F.row_number().over(order)).join(top, "rule_key"))
+    return (rows.join(top, "rule_key")
+            .select(*rules.columns, (F.col("version") == F.col("_top")).alias("is_latest"),
+                    (F.col("_top") + 1).alias("next_version"))
+            .orderBy("rule_key", F.col("version").desc()))

@@ -124,13 +124,13 @@ def rule_versions(spark, sf):
 
 @query("srt_4_rule_catalogue", """
 WITH r AS (SELECT p_brand AS rule_key, p_partkey AS version, p_size % 5 = 0 AS is_active FROM part)
-SELECT rule_key, version, CAST(row_number() OVER (PARTITION BY rule_key ORDER BY version DESC)
-    AS BIGINT) AS position,
+SELECT rule_key, version, version = (SELECT max(version) FROM r AS x WHERE x.rule_key = r.rule_key)
+    AS is_latest,
   (SELECT max(version) + 1 FROM r AS x WHERE x.rule_key = r.rule_key) AS next_version
 FROM r WHERE is_active""")
 def srt_4(spark, sf):
     return A.latest_versions(rule_versions(spark, sf), active_only=True).select(
-        "rule_key", "version", F.col("position").cast("long").alias("position"), "next_version")
+        "rule_key", "version", "is_latest", "next_version")
 
 
 INCIDENT_NOW = B.utc(2024, 2, 10)

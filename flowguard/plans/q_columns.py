@@ -123,15 +123,15 @@ def prj_8(spark, sf):
 
 
 @query("prj_9_bounded_rates", f"""WITH {B.FLOWS}
-SELECT event_id, round(CASE WHEN packet_count = 0 THEN 0 ELSE least(
-  byte_count::DOUBLE * 1000000000 / packet_count, 1000000000000.0) END, 3) AS rate,
+SELECT event_id, CAST(floor(CASE WHEN packet_count = 0 THEN 0 ELSE least(
+  byte_count::DOUBLE * 1000000000 / packet_count, 1000000000000.0) END) AS BIGINT) AS rate,
   packet_count > 0 AND byte_count::DOUBLE * 1000000000 / packet_count > 1000000000000.0 AS clipped
 FROM flows""")
 def prj_9(spark, sf):
     from flowguard.functions.flow_columns import raw_rate
     top = F.col("byte_count").cast("double") * 1_000_000_000
     return B.flows(spark, sf).select(
-        "event_id", F.round(bounded_rate(top, F.col("packet_count")), 3).alias("rate"),
+        "event_id", F.floor(bounded_rate(top, F.col("packet_count"))).cast("long").alias("rate"),
         (raw_rate(top, F.col("packet_count")) > K.RATE_CAP).alias("clipped"))
 
 

@@ -4,10 +4,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from flowguard import constants as K
 from flowguard.plans import bindings as B
 from flowguard.plans.registry import query
+from flowguard.plans.q_features import WINDOW_SQL, rounded, window_cte
+from flowguard.plans.q_ingest import flow_json_lines
 from flowguard.session import shared_dir
-from flowguard.streaming import detect, ingest
+from flowguard.streaming import detect, features, ingest
 
 
 def scratch(spark, name):
@@ -47,3 +50,75 @@ def str_2(spark, sf):
      .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
      .awaitTermination())
     return spark.read.parquet(f"{out}/rows")
+
+
+@query("str_1_file_ingest", f"""WITH {B.FLOWS}
+SELECT CAST(event_id AS VARCHAR) AS source_event_id, t_us, 'accepted' AS outcome FROM flows
+WHERE NOT (event_id % 20 BETWEEN 1 AND 6)
+UNION ALL SELECT NULL, NULL, CASE WHEN event_id % 20 = 2 THEN 'empty_record'
+  WHEN event_id % 20 = 6 THEN 'line_too_long' ELSE 'invalid_record' END
+FROM flows WHERE event_id % 20 BETWEEN 1 AND 6""")
+def str_1(spark, sf):
+    out = scratch(spark, "ingest")
+    flow_json_lines(spark, sf).select("value").write.text(f"{out}/input")
+    ingest.start_ingest(spark, f"{out}/input", "normalized", f"{out}/tables", f"{out}/checkpoint",
+                        "job-1").awaitTermination()
+    flows = ingest.read_batches(spark, f"{out}/tables/flows").select(
+        "source_event_id", B.micros("event_time").alias("t_us"), F.lit("accepted")
+        .alias("outcome"))
+    rejects = ingest.read_batches(spark, f"{out}/tables/rejects").select(
+        F.lit(None).cast("string").alias("source_event_id"), F.lit(None).cast("long")
+        .alias("t_us"), F.col("error_code").alias("outcome"))
+    return flows.unionByName(rejects)
+
+
+@query("str_3_append_rules", f"""WITH {B.FLOWS}, {B.sql_matches()}
+SELECT rule_key, bucket_us, coalesce(sensor_id, 'unspecified') AS sensor, src_address,
+  CAST(observed_value AS BIGINT) AS observed_value, {B.sql_digest()} AS evidence_digest
+FROM matches WHERE bucket_us + {B.DAY_US} <= (SELECT max(t_us) // 1000 * 1000 FROM flows)""")
+def str_3(spark, sf):
+    """Days the watermark has passed; the last one stays open, as it does on a live stream."""
+    B.pin_utc(spark)
+    out = scratch(spark, "rules")
+    once = ingest.stream_dedup(flow_stream(spark, sf), "0 seconds")
+    found = detect.stream_rules(once, B.RULES)
+    (found.writeStream.format("parquet").option("path", f"{out}/rows")
+     .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+     .awaitTermination())
+    return spark.read.parquet(f"{out}/rows").select(
+        "rule_key", B.micros("bucket_start").alias("bucket_us"),
+        F.coalesce("sensor_id", F.lit("unspecified")).alias("sensor"), "src_address",
+        "observed_value", "evidence_digest")
+
+
+@query("str_5_alert_feed", f"""WITH {B.SIGNALS}
+SELECT fingerprint, CAST(0 AS BIGINT) AS sequence FROM signals GROUP BY 1""")
+def str_5(spark, sf):
+    B.pin_utc(spark)
+    out = scratch(spark, "feed")
+    detect.start_detection(flow_stream(spark, sf), out, f"{out}/checkpoint",
+                           B.RULES).awaitTermination()
+    schema = spark.read.parquet(f"{out}/alert_changes/*").schema
+    feed = detect.alert_feed(spark, out, schema)
+    detect.start_feed(feed, f"{out}/feed", f"{out}/feed-checkpoint").awaitTermination()
+    return spark.read.schema("fingerprint string, sequence long").json(f"{out}/feed")
+
+
+WINDOWS = (3600, 86400)
+
+
+@query("str_6_stream_features", f"""WITH {B.FLOWS},
+{', '.join(window_cte(w, WINDOW_SQL) for w in WINDOWS)}
+SELECT event_key, {', '.join(f"w{w}_{n}" for w in WINDOWS for n in K.WINDOW_FEATURES)}
+FROM flows {' '.join(f"JOIN w{w} USING (event_key)" for w in WINDOWS)}
+WHERE t_us < (SELECT max(t_us) // 1000 * 1000 FROM flows)""")
+def str_6(spark, sf):
+    """Flows the watermark has passed."""
+    B.pin_utc(spark)
+    out = scratch(spark, "features")
+    rows = features.stream_features(flow_stream(spark, sf), WINDOWS, "0 seconds")
+    (rows.writeStream.format("parquet").option("path", f"{out}/rows")
+     .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+     .awaitTermination())
+    cols = [f"w{w}_{n}" for w in WINDOWS for n in K.WINDOW_FEATURES]
+    return spark.read.parquet(f"{out}/rows").select("event_key", *rounded(cols))

@@ -1,12 +1,14 @@
 """Streaming rules: a fast append path, and the exact path that re-reads touched buckets."""
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowguard.functions.hashing import lane_sums, lanes_to_digest
 from flowguard.operators import rules as R
 from flowguard.operators.alerts import rollup_alerts
 from flowguard.operators.signals import novel_signals, with_signal_keys
-from flowguard.streaming.ingest import read_batches, write_batch
+from flowguard.streaming.ingest import read_batches, span, write_batch
 
 
 def stream_rule(flows: DataFrame, rule: R.RuleSpec) -> DataFrame:
@@ -64,24 +66,27 @@ def upsert_batch(batch: DataFrame, batch_id: int, out: str, rules, assets=None)
     Everything goes into folders of this batch, so a repeated batch gives the same tables.
     """
     spark = batch.sparkSession
+    write_batch(batch.dropDuplicates(["event_key"]), f"{out}/staged", batch_id)
+    fresh = spark.read.parquet(f"{out}/staged/batch_id={batch_id}")
+    times = span(fresh)
+    if times is None:
+        return
+    between = lambda c, lo, hi: F.col(c).between(F.lit(lo), F.lit(hi))
     seen = read_batches(spark, f"{out}/flows", before=batch_id)
-    fresh = batch.dropDuplicates(["event_key"])
     if seen is not None:
-        fresh = fresh.join(seen.select("event_key"), "event_key", "left_anti")
+        fresh = fresh.join(seen.where(between("event_time", *times)).select("event_key"),
+                           "event_key", "left_anti")
     write_batch(fresh, f"{out}/flows", batch_id)
     stored = read_batches(spark, f"{out}/flows", before=batch_id + 1)
-    fresh = stored.where(F.col("batch_id") == batch_id)
-    bounds = fresh.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).first()
-    if bounds["lo"] is None:
-        return
-    # Literal bounds let the scan skip files; the semi join inside makes it exact.
-    longest = max(r.window_seconds for r in rules)
-    near = stored.where(F.col("event_time").between(
-        F.timestamp_seconds(F.unix_seconds(F.lit(bounds["lo"])) - longest),
-        F.timestamp_seconds(F.unix_seconds(F.lit(bounds["hi"])) + longest)))
-    signals = with_signal_keys(R.evaluate_rules(near, rules, assets, fresh, unique=True))
+    fresh = spark.read.parquet(f"{out}/flows/batch_id={batch_id}")
+    # Literal bounds let scans skip files; the semi join inside makes it exact.
+    reach = timedelta(seconds=max(r.window_seconds for r in rules))
+    low, high = times[0] - reach, times[1] + reach
+    signals = with_signal_keys(R.evaluate_rules(
+        stored.where(between("event_time", low, high)), rules, assets, fresh, unique=True))
     known = read_batches(spark, f"{out}/signals", before=batch_id)
-    new = signals if known is None else novel_signals(signals, known)
+    new = signals if known is None else novel_signals(
+        signals, known.where(between("bucket_start", low, high)))
     write_batch(new, f"{out}/signals", batch_id)
     new = spark.read.parquet(f"{out}/signals/batch_id={batch_id}")
     changes = rollup_alerts(new).withColumn("sequence", F.lit(batch_id).cast("long"))

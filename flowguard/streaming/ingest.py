@@ -30,22 +30,33 @@ def read_batches(spark: SparkSession, path: str, schema=None, before: int | None
     return rows if before is None else rows.where(F.col("batch_id") < before)
 
 
+def span(frame: DataFrame, column: str = "event_time"):
+    """Smallest and largest time of a frame, or null when it is empty."""
+    row = frame.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    return None if row["lo"] is None else (row["lo"], row["hi"])
+
+
 def accept_batch(lines: DataFrame, batch_id: int, kind: str, out: str, job_id: str,
                  sensor_id: str | None = None) -> None:
     """Parse one batch of lines; write new flows, signatures and rejects.
 
-    The flows written earlier are the ledger: what is in an earlier batch is a repeat.
-    Running a batch again rewrites its own folders only, so a lost executor or a
-    restart changes nothing.
+    Lines are parsed once, into a staged table. The rows written earlier are the ledger:
+    what is in an earlier batch is a repeat. A repeat has the same event time, as the time
+    is part of its identity, so only that span of the ledger is read. Running a batch again
+    rewrites its own folders only, so a lost executor or a restart changes nothing.
     """
     spark = lines.sparkSession
     parse = readers.parse_zeek_lines if kind == "zeek" else PARSERS[kind]
-    tagged = outcomes.with_identity(parse(lines), job_id, sensor_id)
-    flows, signatures, rejects = outcomes.split_outcomes(tagged)
+    write_batch(outcomes.with_identity(parse(lines), job_id, sensor_id), f"{out}/staged",
+                batch_id)
+    staged = spark.read.parquet(f"{out}/staged/batch_id={batch_id}")
+    flows, signatures, rejects = outcomes.split_outcomes(staged)
     for name, rows in (("flows", flows), ("signatures", signatures)):
         rows = rows.dropDuplicates(IDENTITY)
         seen = read_batches(spark, f"{out}/{name}", before=batch_id)
-        if seen is not None:
+        times = span(rows) if seen is not None else None
+        if times is not None:
+            seen = seen.where(F.col("event_time").between(*map(F.lit, times)))
             rows = rows.join(seen.select(*IDENTITY), IDENTITY, "left_anti")
         write_batch(rows, f"{out}/{name}", batch_id)
     write_batch(rejects, f"{out}/rejects", batch_id)
