@@ -4,6 +4,7 @@ from pyspark.sql import Column, functions as F
 
 LANES = 4
 LANE_HEX = 12
+LANE_PARTS = 3
 
 
 def iso_z(ts: Column) -> Column:
@@ -65,24 +66,39 @@ def lane_values(key: Column) -> list[Column]:
     """Four 48-bit numbers out of the key's hash; their sums identify a set of keys."""
     h = F.sha2(key, 256)
     return [
-        F.conv(F.substring(h, 1 + LANE_HEX * i, LANE_HEX), 16, 10).cast("decimal(28,0)")
+        F.conv(F.substring(h, 1 + LANE_HEX * i, LANE_HEX), 16, 10).cast("long")
         for i in range(LANES)
     ]
 
 
+def lane_names(prefix: str = "_lane") -> list[str]:
+    return [f"{prefix}{i}_{j}" for i in range(LANES) for j in range(LANE_PARTS)]
+
+
+def lane_parts(key: Column) -> list[Column]:
+    """Each lane in three 16-bit parts, whose sums stay whole numbers for 10^14 rows."""
+    return [F.shiftright(v, 16 * j).bitwiseAND(F.lit(0xFFFF)) for v in lane_values(key)
+            for j in range(LANE_PARTS)]
+
+
 def lane_sums(key: Column, prefix: str = "_lane") -> list[Column]:
     """Aggregates whose partial sums combine on the map side, whatever the order."""
-    return [F.sum(v).alias(f"{prefix}{i}") for i, v in enumerate(lane_values(key))]
+    return [F.sum(v).alias(n) for v, n in zip(lane_parts(key), lane_names(prefix))]
 
 
 def lane_totals(prefix: str = "_lane") -> list[Column]:
     """Second-level sums over columns made by :func:`lane_sums`."""
-    return [F.sum(F.col(f"{prefix}{i}")).cast("decimal(38,0)").alias(f"{prefix}{i}")
-            for i in range(LANES)]
+    return [F.sum(n).alias(n) for n in lane_names(prefix)]
 
 
 def lanes_to_digest(count: Column, prefix: str = "_lane") -> Column:
     """Digest of a set from its size and its four lane sums."""
-    parts = [F.coalesce(F.col(f"{prefix}{i}").cast("decimal(38,0)"), F.lit(0)).cast("string")
-             for i in range(LANES)]
+    parts = []
+    for i in range(LANES):
+        total = F.lit(0).cast("decimal(38,0)")
+        for j in range(LANE_PARTS):
+            part = F.coalesce(F.col(f"{prefix}{i}_{j}"), F.lit(0)).cast("decimal(19,0)")
+            total = (total + part * F.lit(1 << (16 * j)).cast("decimal(11,0)")).cast(
+                "decimal(38,0)")
+        parts.append(total.cast("string"))
     return F.sha2(F.concat_ws("|", count.cast("string"), *parts), 256)

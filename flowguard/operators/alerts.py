@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowguard import constants as K
 from flowguard.functions.flow_columns import mask_group
-from flowguard.functions.hashing import LANES, canonical_hash, iso_offset, lane_sums, \
+from flowguard.functions.hashing import canonical_hash, iso_offset, lane_names, lane_sums, \
     lanes_to_digest, sorted_map
 
 ALERT_COLUMNS = ["fingerprint", "source_type", "category", "severity", "rule_version_id",
@@ -77,8 +77,8 @@ def bounded_evidence(signals: DataFrame, n: int = K.MAX_EVIDENCE_PER_ALERT
     rest = (whole.join(part, "fingerprint")
             .withColumn("overflow_count", F.col("_n") - F.col("_kn"))
             .select("fingerprint", "overflow_count",
-                    *[(F.col(f"_lane{i}") - F.col(f"_kept{i}")).alias(f"_lane{i}")
-                      for i in range(LANES)]))
+                    *[(F.col(n) - F.col(k)).alias(n)
+                      for n, k in zip(lane_names(), lane_names("_kept"))]))
     overflow = rest.select("fingerprint", "overflow_count", F.when(
         F.col("overflow_count") > 0, lanes_to_digest(F.col("overflow_count")))
         .alias("overflow_digest"))

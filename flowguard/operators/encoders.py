@@ -87,8 +87,12 @@ def score_anchors(scores: DataFrame, column: str) -> DataFrame:
 
 def normalize_scores(df: DataFrame, column: str, anchors: DataFrame, out: str = "score"
                      ) -> DataFrame:
-    """Scores between the anchors, cut off at 0 and 1."""
-    lower, upper = anchors.select("lower").scalar(), anchors.select("upper").scalar()
+    """Scores between the anchors, cut off at 0 and 1.
+
+    Anchors are fitted once; the two numbers become constants of the plan.
+    """
+    fitted = anchors.first()
+    lower, upper = F.lit(fitted["lower"]), F.lit(fitted["upper"])
     return df.withColumn(out, F.least(F.lit(1.0), F.greatest(
         F.lit(0.0), (F.col(column) - lower) / (upper - lower))))
 
@@ -98,4 +102,5 @@ def quantile_threshold(df: DataFrame, column: str = "score", q: float = 0.95) ->
 
 
 def flagged(df: DataFrame, threshold: DataFrame, column: str = "score") -> DataFrame:
-    return df.where(F.col(column) >= threshold.select("threshold").scalar())
+    """Rows at or above a fitted threshold, which becomes a constant of the plan."""
+    return df.where(F.col(column) >= F.lit(threshold.first()["threshold"]))

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowguard import constants as K
 from flowguard.functions.flow_columns import bucket, signature_severity
-from flowguard.functions.hashing import canonical_hash, iso_offset, json_object, lane_values, \
-    lanes_to_digest
+from flowguard.functions.hashing import canonical_hash, iso_offset, json_object, lane_names, \
+    lane_parts, lanes_to_digest
 
 SIGNAL_COLUMNS = ["semantic_key", "series_key", "source_type", "rule_version_id", "category",
                   "severity", "sensor_id", "bucket_start", "bucket_end", "grouping",
@@ -50,7 +50,7 @@ def signature_signals(events: DataFrame) -> DataFrame:
         src_address=F.col("src_address"), dst_address=F.col("dst_address"),
         dst_port=F.coalesce(F.col("dst_port"), F.lit(0)), protocol=F.col("protocol"),
         signature_id=F.col("signature_id"), signature_revision=F.col("signature_revision"))
-    lanes = [v.alias(f"_lane{i}") for i, v in enumerate(lane_values(F.col("event_key")))]
+    lanes = [v.alias(n) for v, n in zip(lane_parts(F.col("event_key")), lane_names())]
     rows = (events.select("*", start.alias("bucket_start"), *lanes)
             .withColumn("evidence_digest", lanes_to_digest(F.lit(1)))
             .withColumn("series_key", canonical_hash(

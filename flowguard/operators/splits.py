@@ -1,6 +1,6 @@
 """Train/validation/test splits by group and time, and their leakage checks."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowguard import constants as K
 from flowguard.operators.digest import set_digest
@@ -75,9 +75,9 @@ def split_report(df: DataFrame, time: str, identity: str, partition: str = "part
     total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()
     expected = F.create_map(*[x for p, s in zip(K.PARTITIONS, K.SPLIT_SHARES)
                               for x in (F.lit(p), F.lit(s))])
-    end_of = {p: df.where(F.col(partition) == p).agg(F.max(time)).scalar() for p in K.PARTITIONS}
-    previous_end = (F.when(F.col(partition) == K.PARTITIONS[1], end_of[K.PARTITIONS[0]])
-                    .when(F.col(partition) == K.PARTITIONS[2], end_of[K.PARTITIONS[1]]))
+    # One row per partition by now, so at most three.
+    order = F.array_position(F.array(*[F.lit(p) for p in K.PARTITIONS]), F.col(partition))
+    previous_end = F.lag("time_end").over(W.orderBy(order))
     return (stats.join(ids, partition)
             .select(F.col(partition), "rows", "time_start", "time_end", "identity_digest",
                     (F.abs(F.col("rows") / total - F.try_element_at(expected, partition))

@@ -221,7 +221,7 @@ def ml_10(spark, sf):
     rows = split_flows(spark, sf)
     cut = E.quantile_threshold(rows.where("partition = 'validation' AND label = 0"), "value")
     return E.flagged(rows, cut, "value").select(
-        "event_key", F.round(cut.select("threshold").scalar(), 6).alias("threshold"))
+        "event_key", F.round(F.lit(cut.first()["threshold"]), 6).alias("threshold"))
 
 
 @query("ml_13_baseline_medians", f"""WITH {SPLIT},
