@@ -4,8 +4,10 @@ Rows wait in state until the watermark has passed them, then they are worked off
 (time, key) order. What the longest window no longer needs leaves the state.
 """
 
-from datetime import datetime, timezone
+import heapq
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -28,16 +30,55 @@ def output_schema(seconds) -> str:
         f"w{w}_{n} {TYPES[n]}" for w in seconds for n in K.WINDOW_FEATURES)
 
 
-def window_values(row, window) -> list:
-    """Features of one row out of the rows in its window, itself included."""
-    count = len(window)
-    ports = {r[3] for r in window if r[3] is not None}
-    prior = [r[0] for r in window if r[1] != row[1] and r[2:5] == row[2:5]]
-    octets = sum(r[6] for r in window)
-    return [count, len({r[2] for r in window}), len(ports), sum(r[5] for r in window), octets,
-            sum(r[8] for r in window), sum(r[7] for r in window) / count,
-            max(r[7] for r in window), octets / count,
-            (row[0] - max(prior)) / 1e6 if prior else 0.0, not prior]
+def sliding(rows, first: int, reach: int) -> list[list]:
+    """Window features of rows[first:], rows being in (time, key) order.
+
+    Counts and sums move with the two ends of the window, so the work grows with the rows
+    and not with the length of a window.
+    """
+    t = np.array([r[0] for r in rows], dtype=np.int64)
+    start = np.searchsorted(t, t - reach, side="left")
+    sums = [np.concatenate([[0], np.cumsum([r[c] for r in rows])]) for c in (5, 6, 8, 7)]
+    distinct = [_distinct([r[2] for r in rows], start), _distinct([r[3] for r in rows], start)]
+    largest = _largest([r[7] for r in rows], start)
+    last_seen, out = {}, []
+    for i, row in enumerate(rows):
+        before = last_seen.get(row[2:5])
+        last_seen[row[2:5]] = row[0]
+        if i < first:
+            continue
+        prior = before is not None and before >= row[0] - reach
+        n = i + 1 - int(start[i])
+        packets, octets, failures, duration = (int(s[i + 1] - s[start[i]]) for s in sums)
+        out.append([n, distinct[0][i], distinct[1][i], packets, octets, failures, duration / n,
+                    largest[i], octets / n, (row[0] - before) / 1e6 if prior else 0.0, not prior])
+    return out
+
+
+def _distinct(values, start) -> list[int]:
+    held, low, out = Counter(), 0, []
+    for i, v in enumerate(values):
+        if v is not None:
+            held[v] += 1
+        while low < start[i]:
+            old = values[low]
+            low += 1
+            if old is not None:
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+        out.append(len(held))
+    return out
+
+
+def _largest(values, start) -> list[int]:
+    heap, out = [], []
+    for i, v in enumerate(values):
+        heapq.heappush(heap, (-v, i))
+        while heap[0][1] < start[i]:
+            heapq.heappop(heap)
+        out.append(-heap[0][0])
+    return out
 
 
 class WindowFeatures(StatefulProcessor):
@@ -62,7 +103,7 @@ class WindowFeatures(StatefulProcessor):
             for values in frame[ROW].itertuples(index=False, name=None):
                 clean = self._plain(values)
                 port = None if clean[3] is None else int(clean[3])
-                new.append((*map(lambda v: v, clean[:3]), port, *clean[4:]))
+                new.append((*clean[:3], port, *clean[4:]))
         if new:
             self.waiting.appendList(new)
             due = min(r[0] for r in new) // 1000 + 1
@@ -77,19 +118,13 @@ class WindowFeatures(StatefulProcessor):
         held = {r[1]: tuple(r) for r in self.waiting.get()}
         ready = sorted(r for r in held.values() if r[0] < mark)
         rest = [r for r in held.values() if r[0] >= mark]
-        recent = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
+        recent = sorted(tuple(r) for r in self.recent.get()) if self.recent.exists() else []
         known = {r[1] for r in recent}
-        out, reach = [], max(self.seconds) * 1_000_000
-        for row in ready:
-            if row[1] in known:
-                continue
-            recent = [r for r in recent if r[0] >= row[0] - reach]
-            recent.append(row)
-            values = [row[1]]
-            for w in self.seconds:
-                values += window_values(row, [r for r in recent
-                                              if r[0] >= row[0] - w * 1_000_000])
-            out.append(values)
+        ready = [r for r in ready if r[1] not in known]
+        reach, rows = max(self.seconds) * 1_000_000, recent + ready
+        parts = [sliding(rows, len(recent), w * 1_000_000) for w in self.seconds]
+        out = [[row[1], *(v for part in parts for v in part[i])] for i, row in enumerate(ready)]
+        recent = rows
         if rest:
             self.waiting.put(rest)
             self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
