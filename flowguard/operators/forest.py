@@ -27,10 +27,13 @@ def sample_per_tree(df: DataFrame, key: str, names, trees: int, rows: int) -> Da
     pool = (df.select(F.xxhash64(F.lit(K.SEED), F.col(key)).alias("_h"), F.col(key).alias("_key"),
                       *names)
             .orderBy("_h", "_key").limit(trees * rows))
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = W.partitionBy("tree").orderBy(F.xxhash64("tree", "_key"), "_key")
-    return (spread.withColumn("_rank", F.row_number().over(order))
-            .where(F.col("_rank") <= rows).select("tree", "_rank", *names))
+    # Trees rank keys only; the features of the few chosen rows are joined afterwards.
+    order = W.partitionBy("tree").orderBy("_t", "_key")
+    chosen = (pool.select("_key", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+              .withColumn("_t", F.xxhash64("tree", "_key"))
+              .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows))
+    return chosen.select("_key", "tree", "_rank").join(pool.drop("_h"), "_key").select(
+        "tree", "_rank", *names)
 
 
 def mean_path(n: float) -> float:

@@ -1,29 +1,44 @@
 """Policy gates over proposed actions and the facts they need."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowguard import constants as K
 from flowguard.functions.network import is_valid_target, target_scope
 
 
-def allowlisted(requests: DataFrame, allow: DataFrame, now) -> DataFrame:
-    """Requests whose target is on the list; entries without an expiry never end."""
+TARGET = ["target_type", "target_value"]
+
+
+def with_allowlist(requests: DataFrame, allow: DataFrame, now) -> DataFrame:
+    """Adds ``allowlist_match``; entries without an expiry never end."""
     live = allow.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now))) \
-        .select("target_type", "target_value").distinct()
-    return requests.join(live, ["target_type", "target_value"], "left_semi")
+        .select(*TARGET, F.lit(True).alias("_hit")).distinct()
+    return requests.join(live, TARGET, "left").withColumn(
+        "allowlist_match", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def critical_target(requests: DataFrame, assets: DataFrame) -> DataFrame:
-    """Requests whose target is an active asset of critical importance."""
+def with_critical(requests: DataFrame, assets: DataFrame) -> DataFrame:
+    """Adds ``target_is_critical``: the target is an active asset of critical importance."""
     critical = assets.where(F.col("is_active") & (F.col("criticality") == "critical")
                             & F.col("address").isNotNull()) \
-        .select(F.col("address").alias("target_value")).distinct()
-    return requests.join(critical, "target_value", "left_semi")
+        .select(F.col("address").alias("target_value"), F.lit(True).alias("_hit")).distinct()
+    return requests.join(critical, "target_value", "left").withColumn(
+        "target_is_critical", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def evidence_flags(requests: DataFrame, alerts: DataFrame, incidents: DataFrame,
-                   members: DataFrame) -> DataFrame:
-    """Per request: evidence present, corroborated by a deterministic source, model only.
+def allowlisted(requests: DataFrame, allow: DataFrame, now) -> DataFrame:
+    """Requests whose target is on the list."""
+    return with_allowlist(requests, allow, now).where("allowlist_match")
+
+
+def critical_target(requests: DataFrame, assets: DataFrame) -> DataFrame:
+    """Requests against a critical asset."""
+    return with_critical(requests, assets).where("target_is_critical")
+
+
+def with_evidence(requests: DataFrame, alerts: DataFrame, incidents: DataFrame,
+                  members: DataFrame) -> DataFrame:
+    """Adds: evidence present, corroborated by a deterministic source, model only.
 
     Incidents are reduced to one row each before requests look them up.
     """
@@ -35,28 +50,40 @@ def evidence_flags(requests: DataFrame, alerts: DataFrame, incidents: DataFrame,
                           "incident_id", "left")
                     .select("incident_id", F.coalesce("_sure", F.lit(False))
                             .alias("_incident_sure")))
-    rows = (requests.select("request_id", "alert_id", "incident_id")
-            .join(per_alert, "alert_id", "left").join(per_incident, "incident_id", "left"))
+    rows = requests.join(per_alert, "alert_id", "left").join(per_incident, "incident_id", "left")
+    no = F.lit(False)
     present = F.col("_alert_sure").isNotNull() | F.col("_incident_sure").isNotNull()
-    sure_any = F.coalesce("_alert_sure", F.lit(False)) | F.coalesce("_incident_sure",
-                                                                    F.lit(False))
-    return rows.select("request_id", present.alias("evidence_present"),
-                       sure_any.alias("corroborated"), (present & ~sure_any).alias("model_only"))
+    return (rows.withColumn("evidence_present", present)
+            .withColumn("corroborated", F.coalesce("_alert_sure", no)
+                        | F.coalesce("_incident_sure", no))
+            .withColumn("model_only", F.col("evidence_present") & ~F.col("corroborated"))
+            .drop("_alert_sure", "_incident_sure"))
+
+
+def evidence_flags(requests: DataFrame, alerts: DataFrame, incidents: DataFrame,
+                   members: DataFrame) -> DataFrame:
+    return with_evidence(requests, alerts, incidents, members).select(
+        "request_id", "evidence_present", "corroborated", "model_only")
+
+
+def with_intelligence(requests: DataFrame, indicators: DataFrame, now) -> DataFrame:
+    """Adds: an indicator is used, it is the only proof, it is fresh."""
+    side = indicators.select("indicator_id", F.col("expires_at").alias("_until"))
+    used = F.col("_until").isNotNull()
+    return (requests.join(side, "indicator_id", "left")
+            .withColumn("intelligence_used", used)
+            .withColumn("intelligence_sole", used & ~F.col("corroborated"))
+            .withColumn("intelligence_fresh", F.coalesce(F.col("_until") > F.lit(now),
+                                                         F.lit(True))).drop("_until"))
 
 
 def intelligence_flags(requests: DataFrame, indicators: DataFrame, now) -> DataFrame:
-    """Per request: an indicator is used, it is the only proof, it is fresh."""
-    rows = requests.select("request_id", "indicator_id", "corroborated").join(
-        indicators.select("indicator_id", "expires_at"), "indicator_id", "left")
-    used = F.col("expires_at").isNotNull()
-    return rows.select("request_id", used.alias("intelligence_used"),
-                       (used & ~F.col("corroborated")).alias("intelligence_sole"),
-                       F.coalesce(F.col("expires_at") > F.lit(now), F.lit(True))
-                       .alias("intelligence_fresh"))
+    return with_intelligence(requests, indicators, now).select(
+        "request_id", "intelligence_used", "intelligence_sole", "intelligence_fresh")
 
 
-def replay_flags(requests: DataFrame, cooldown_seconds: int) -> DataFrame:
-    """Per request: an earlier open request of the same kind, and one within the cooldown.
+def with_replay(requests: DataFrame, cooldown_seconds: int) -> DataFrame:
+    """Adds: an earlier open request of the same kind, and one within the cooldown.
 
     Both come from minima and maxima per key (and time bucket as wide as the cooldown),
     never from comparing requests of a target with each other.
@@ -64,49 +91,48 @@ def replay_flags(requests: DataFrame, cooldown_seconds: int) -> DataFrame:
     order = F.struct("created_at", "request_id")
     t = F.unix_micros("created_at")
     width = F.lit(cooldown_seconds * 1_000_000)
-    slot = t - F.pmod(t, width)
-    target = ["target_type", "target_value"]
-    base = requests.select("request_id", "action_type", *target, "created_at",
-                           order.alias("_at"), slot.alias("_slot"))
+    base = requests.withColumn("_at", order).withColumn("_slot", t - F.pmod(t, width))
     opened = (requests.where(~F.col("status").isin(*K.REQUEST_TERMINAL))
-              .groupBy("action_type", *target).agg(F.min(order).alias("_first_open")))
-    slots = base.groupBy(*target, "_slot").agg(F.min("_at").alias("_slot_first"),
-                                               F.max("created_at").alias("_slot_last"))
-    before = slots.select(*target, (F.col("_slot") + width).alias("_slot"),
-                          F.col("_slot_last").alias("_before"))
-    return (base.join(opened, ["action_type", *target], "left")
-            .join(slots.drop("_slot_last"), [*target, "_slot"])
-            .join(before, [*target, "_slot"], "left")
-            .select("request_id",
-                    F.coalesce(F.col("_first_open") < F.col("_at"), F.lit(False))
-                    .alias("duplicate_detected"),
-                    ((F.col("_slot_first") < F.col("_at"))
-                     | F.coalesce(F.unix_micros("_before") >= F.unix_micros("created_at") - width,
-                                  F.lit(False))).alias("cooldown_active")))
+              .groupBy("action_type", *TARGET).agg(F.min(order).alias("_first_open")))
+    slots = base.groupBy(*TARGET, "_slot").agg(F.min("_at").alias("_slot_first"),
+                                               F.max("created_at").alias("_last"))
+    # A slot speaks to its own requests and to those of the next one.
+    spoken = slots.select(*TARGET, F.explode(F.array(
+        F.struct("_slot", "_slot_first", F.lit(None).cast("timestamp").alias("_before")),
+        F.struct((F.col("_slot") + width).alias("_slot"), F.lit(None).cast(
+            slots.schema["_slot_first"].dataType).alias("_slot_first"),
+            F.col("_last").alias("_before")))).alias("s")).select(*TARGET, "s.*")
+    near = spoken.groupBy(*TARGET, "_slot").agg(F.min("_slot_first").alias("_slot_first"),
+                                                F.max("_before").alias("_before"))
+    no = F.lit(False)
+    return (base.join(near, [*TARGET, "_slot"], "left")
+            .join(opened, ["action_type", *TARGET], "left")
+            .withColumn("duplicate_detected", F.coalesce(F.col("_first_open") < F.col("_at"), no))
+            .withColumn("cooldown_active", F.coalesce(F.col("_slot_first") < F.col("_at"), no)
+                        | F.coalesce(F.unix_micros("_before") >= t - width, no))
+            .drop("_at", "_slot", "_slot_first", "_before", "_first_open"))
+
+
+def replay_flags(requests: DataFrame, cooldown_seconds: int) -> DataFrame:
+    return with_replay(requests, cooldown_seconds).select("request_id", "duplicate_detected",
+                                                          "cooldown_active")
 
 
 def gate_context(requests: DataFrame, allow: DataFrame, assets: DataFrame, alerts: DataFrame,
                  incidents: DataFrame, members: DataFrame, indicators: DataFrame, now,
                  cooldown_seconds: int = 3600) -> DataFrame:
-    """Requests with every fact the gates ask for."""
-    flags = evidence_flags(requests, alerts, incidents, members)
-    rows = requests.join(flags, "request_id")
-    intel = intelligence_flags(rows, indicators, now)
-    listed = allowlisted(requests, allow, now).select("request_id",
-                                                      F.lit(True).alias("_listed"))
-    critical = critical_target(requests, assets).select("request_id",
-                                                        F.lit(True).alias("_critical"))
-    return (rows.join(intel, "request_id").join(replay_flags(requests, cooldown_seconds),
-                                                "request_id")
-            .join(listed, "request_id", "left").join(critical, "request_id", "left")
-            .withColumn("allowlist_match", F.coalesce("_listed", F.lit(False)))
-            .withColumn("target_is_critical", F.coalesce("_critical", F.lit(False)))
-            .drop("_listed", "_critical"))
+    """Requests with every fact the gates ask for; each fact is one look-up."""
+    rows = with_evidence(with_replay(requests, cooldown_seconds), alerts, incidents, members)
+    rows = with_intelligence(rows, indicators, now)
+    return with_critical(with_allowlist(rows, allow, now), assets)
 
 
-def evaluate_gates(ctx: DataFrame, ipv6: bool = True,
-                   max_seconds: int = K.POLICY_MAX_DURATION_SECONDS) -> DataFrame:
-    """Thirteen rows per request, in gate order; every gate is always evaluated."""
+# Reasons that do not stop a request.
+PASSING = ("ok", "intelligence_stale_ignored")
+
+
+def gate_array(ipv6: bool = True, max_seconds: int = K.POLICY_MAX_DURATION_SECONDS) -> Column:
+    """All thirteen gates of a request context, in gate order, as one array."""
     scope = target_scope(F.col("target_type"))
     seconds, fine = F.col("duration_seconds"), F.lit("ok")
     # reason per gate; a gate passes when its reason is in `passing`
@@ -138,17 +164,38 @@ def evaluate_gates(ctx: DataFrame, ipv6: bool = True,
         .otherwise(fine),
         "rate_cooldown": F.when(F.col("cooldown_active"), "cooldown_active").otherwise(fine),
     }
-    passing = ("ok", "intelligence_stale_ignored")
-    rows = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(g).alias("gate_key"),
+    return F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(g).alias("gate_key"),
                               reasons[g].alias("reason_code"))
                      for i, g in enumerate(K.GATE_ORDER)])
-    return (ctx.select("request_id", F.explode(rows).alias("g"))
+
+
+def evaluate_gates(ctx: DataFrame, ipv6: bool = True,
+                   max_seconds: int = K.POLICY_MAX_DURATION_SECONDS) -> DataFrame:
+    """Thirteen rows per request, in gate order; every gate is always evaluated."""
+    return (ctx.select("request_id", F.explode(gate_array(ipv6, max_seconds)).alias("g"))
             .select("request_id", "g.position", "g.gate_key",
-                    F.col("g.reason_code").isin(*passing).alias("passed"), "g.reason_code"))
+                    F.col("g.reason_code").isin(*PASSING).alias("passed"), "g.reason_code"))
+
+
+def decide(ctx: DataFrame, ipv6: bool = True,
+           max_seconds: int = K.POLICY_MAX_DURATION_SECONDS) -> DataFrame:
+    """Per request: eligible only if all gates pass; the first failure is kept.
+
+    Gates are judged inside the row, so nothing is shuffled.
+    """
+    rows = ctx.select("request_id", gate_array(ipv6, max_seconds).alias("_g")).select(
+        "request_id", F.filter("_g", lambda g: ~g["reason_code"].isin(*PASSING)).alias("_bad"))
+    first = F.get("_bad", F.lit(0))
+    fine = F.size("_bad") == 0
+    return rows.select(
+        "request_id", (F.lit(len(K.GATE_ORDER)) - F.size("_bad")).cast("long")
+        .alias("passed_gates"), fine.alias("eligible"), first["gate_key"].alias("first_failure"),
+        F.coalesce(first["reason_code"], F.lit("ok")).alias("reason_code"),
+        F.when(fine, "previewed").otherwise("rejected").alias("status"))
 
 
 def decisions(gates: DataFrame) -> DataFrame:
-    """Per request: eligible only if all gates pass; the first failure is kept."""
+    """The same decision out of stored gate rows."""
     failed = F.when(~F.col("passed"), F.struct("position", "gate_key", "reason_code"))
     rows = gates.groupBy("request_id").agg(F.count_if("passed").alias("passed_gates"),
                                            F.min(failed).alias("_first"))

@@ -159,11 +159,14 @@ def replay(spark, sf):
     return G.replay_flags(B.requests(spark, sf), COOLDOWN)
 
 
-def gate_rows(spark, sf):
+def context(spark, sf):
     t = B.policy_tables(spark, sf)
-    ctx = G.gate_context(B.requests(spark, sf), t["allow"], t["assets"], t["alerts"],
-                         t["incidents"], t["members"], t["indicators"], B.ORDERS_NOW, COOLDOWN)
-    return G.evaluate_gates(ctx, ipv6=False)
+    return G.gate_context(B.requests(spark, sf), t["allow"], t["assets"], t["alerts"],
+                          t["incidents"], t["members"], t["indicators"], B.ORDERS_NOW, COOLDOWN)
+
+
+def gate_rows(spark, sf):
+    return G.evaluate_gates(context(spark, sf), ipv6=False)
 
 
 GATES = FACTS + """,
@@ -206,7 +209,7 @@ SELECT request_id, count(*) FILTER (WHERE passed) AS passed_gates, bool_and(pass
   CASE WHEN bool_and(passed) THEN 'previewed' ELSE 'rejected' END AS status
 FROM judged GROUP BY request_id""")
 def fld_5_decisions(spark, sf):
-    return G.decisions(gate_rows(spark, sf))
+    return G.decide(context(spark, sf), ipv6=False)
 
 
 @query("srt_9_request_detail", f"""WITH {GATES},

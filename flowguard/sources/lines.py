@@ -72,7 +72,7 @@ def json_field(*path: str) -> JsonField:
 def text_lines(lines: DataFrame, skip_blank: bool) -> DataFrame:
     """Adds ``line_error``: too long, blank or not UTF-8. Input column: value."""
     raw = F.col("value")
-    blank = F.trim(F.regexp_replace(raw, r"[\s\x0b]+", " ")) == ""
+    blank = ~raw.rlike(r"\S")
     error = (F.when(F.octet_length(raw) > K.MAX_LINE_BYTES, K.LINE_TOO_LONG)
              .when(~F.is_valid_utf8(raw), K.INVALID_RECORD))
     rows = lines.withColumn("line_error", error)
@@ -85,9 +85,9 @@ def text_lines(lines: DataFrame, skip_blank: bool) -> DataFrame:
 
 def parse_doc(rows: DataFrame) -> DataFrame:
     """Adds ``doc``: the JSON object of the line, null when it is none."""
-    usable = F.when(F.col("line_error").isNull(), F.col("value"))
-    doc = F.try_parse_json(usable)
-    return rows.withColumn("doc", F.when(F.schema_of_variant(doc).startswith("OBJECT"), doc))
+    usable = F.when(F.col("line_error").isNull() & F.col("value").rlike(r"^\s*\{"),
+                    F.col("value"))
+    return rows.withColumn("doc", F.try_parse_json(usable))
 
 
 def whole_in(value: Column, low: int, high: int) -> Column:

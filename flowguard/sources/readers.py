@@ -42,7 +42,7 @@ def parse_flow_lines(lines: DataFrame) -> DataFrame:
     whole = ("src_port", "dst_port", "duration_ms", "packet_count", "byte_count")
     rows = rows.select("*", parse_ts(f["event_time"].text).alias("at"), *[
         to_int(f[n].text, f[n].is_text, None).alias(f"n.{n}") for n in whole])
-    known = F.size(F.array_except(F.json_object_keys(F.to_json("doc")),
+    known = F.size(F.array_except(F.json_object_keys("value"),
                                   F.array(*[F.lit(k) for k in NORMALIZED_KEYS]))) == 0
 
     def number(name: str) -> tuple[Column, Column]:

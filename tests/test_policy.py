@@ -126,7 +126,9 @@ def test_each_gate(spark):
     rows.append({**BASE, "request_id": 99, "intelligence_used": True, "intelligence_fresh": False})
     schema = ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'long' if isinstance(v, int) else 'string'}"
                        for k, v in BASE.items())
-    gates = G.evaluate_gates(spark.createDataFrame([tuple(r.values()) for r in rows], schema))
+    ctx = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    gates = G.evaluate_gates(ctx)
+    assert sorted(G.decide(ctx).collect()) == sorted(G.decisions(gates).collect())
     assert gates.count() == 13 * len(rows)
     got = {r["request_id"]: r for r in G.decisions(gates).collect()}
     assert got[1]["eligible"] and got[99]["eligible"]
