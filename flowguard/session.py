@@ -39,17 +39,19 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     """Times are UTC everywhere; a session opened elsewhere is brought in line."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if spark.conf.get("spark.python.sql.dataFrameDebugging.enabled", "true") != "false":
-        # Building plans is several times faster without a stack trace per column.
-        spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
     return spark
 
 
+_OWN_DIRS: dict = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own, or a new one in tests."""
+    """The shared folder for checkpoints: the cluster's own, or a new one where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    folder = tempfile.mkdtemp(prefix="flowguard-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIRS:
+        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="flowguard-")
+        spark.sparkContext.setCheckpointDir(_OWN_DIRS[app])
+    return _OWN_DIRS[app]

@@ -25,6 +25,10 @@ TYPES = {"flow_count": "long", "unique_dst_address_count": "long",
          "prior_service_missing": "boolean"}
 
 
+# Stateful processors need this state store.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def output_schema(seconds) -> str:
     return "event_key string, " + ", ".join(
         f"w{w}_{n} {TYPES[n]}" for w in seconds for n in K.WINDOW_FEATURES)
@@ -145,6 +149,7 @@ def stream_features(flows: DataFrame, seconds=K.DEFAULT_WINDOWS, delay: str = "1
                     ) -> DataFrame:
     """Features per flow, emitted once the watermark has passed the flow."""
     from flowguard.functions.flow_columns import is_failure
+    flows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = (flows.withWatermark("event_time", delay)
             .withColumn("t", F.unix_micros("event_time"))
             .withColumn("failed", is_failure(F.col("source_type"), F.col("state")).cast("long"))
