@@ -17,8 +17,21 @@ def scratch(spark, name):
     return f"{shared_dir(spark)}/flowguard-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def live_session(spark):
+    """A session of its own for a stream: one state partition per core at most.
+
+    The number of state partitions is fixed when a stream first starts.
+    """
+    live = B.pin_utc(spark.newSession())
+    name = "spark.sql.shuffle.partitions"
+    live.conf.set(name, str(min(int(spark.conf.get(name)),
+                                spark.sparkContext.defaultParallelism)))
+    return live
+
+
 def flow_stream(spark, sf):
     """The events file as a stream of flows."""
+    spark = live_session(spark)
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
            .parquet(sf))
