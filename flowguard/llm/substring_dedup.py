@@ -110,10 +110,13 @@ def anchors(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
 
 
 def _windows(asked: DataFrame, size: int) -> DataFrame:
-    """(w0, w1, doc_id, start) of every window asked for: rows of (doc_id, text, firsts, ns)."""
+    """(w0, w1, doc_id, start) of every window asked for: rows of (doc_id, text, firsts, ns).
+
+    Rows without ranges (null) ask for nothing.
+    """
     def run(batches):
         hasher = WordHasher()
-        for batch, values in blocks(batches):
+        for batch, values in blocks(b.filter(b.column(2).is_valid()) for b in batches):
             hashes, counts = hasher.texts(values)
             spans, begins = Spans(hashes), np.cumsum(counts) - counts
             owner, starts = [], []
@@ -137,7 +140,7 @@ def _windows(asked: DataFrame, size: int) -> DataFrame:
 
 def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(doc_id, first, last): ranges of windows that also start earlier; ranges may overlap."""
-    read = texts(docs).filter("doc_id IS NOT NULL")
+    read = texts(docs)
     seeds = anchors(docs, size, gram)
     again = seeds.groupBy("anchor").count().filter("count > 1").select("anchor")
     seeds = cut(seeds.join(again, "anchor"))
@@ -151,7 +154,7 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     asked = (classes.join(several, "anchor").select("one.*").distinct()
              .groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("a"))
              .select("doc_id", F.col("a.first").alias("firsts"), F.col("a.n").alias("ns")))
-    windows = _windows(read.join(asked, "doc_id").select("doc_id", "text", "firsts", "ns"), size)
+    windows = _windows(read.join(asked, "doc_id", "left").select("doc_id", "text", "firsts", "ns"), size)
     firsts = (windows.groupBy("w0", "w1").agg(F.min(F.struct("doc_id", "start")).alias("one"),
                                               F.count("*").alias("members"))
               .filter("members > 1").select("w0", "w1", "one"))
@@ -191,10 +194,6 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    # Read as in repeats(), so that one shuffle of the texts serves both.
-    read = texts(docs).filter("doc_id IS NOT NULL").join(found, "doc_id", "left")
-    no_range = F.lit(None).cast("array<int>")
-    other = texts(docs).filter("doc_id IS NULL")
-    return (read.select("doc_id", "text", "firsts", "lasts")
-            .unionAll(other.select("doc_id", "text", no_range, no_range))
+    # The same outer join on the texts as in repeats(), so that one shuffle of them serves both.
+    return (texts(docs).join(found, "doc_id", "left").select("doc_id", "text", "firsts", "lasts")
             .mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string"))
