@@ -2,9 +2,7 @@
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from flowguard import constants as K
 
@@ -12,29 +10,76 @@ OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = f"^{OCTET}(\\.{OCTET}){{3}}$"
 
 
-def _v6(text):
-    try:
-        return str(ipaddress.IPv6Address(text))
-    except ValueError:
-        return None
+GROUP = "[0-9a-f]{1,4}"
+HALF = f"(?:{GROUP}(?::{GROUP})*)?"
+#: Either eight groups, or two runs of groups around one double colon.
+IPV6 = f"^(?:{GROUP}(?::{GROUP}){{7}}|{HALF}::{HALF})$"
+DOTTED_END = r"^(.*:)([0-9]+)[.]([0-9]+)[.]([0-9]+)[.]([0-9]+)$"
 
 
-@F.pandas_udf(StringType())
-def compress_ipv6(values: pd.Series) -> pd.Series:
-    """Compressed IPv6 text, or null when the text is no IPv6 address."""
-    return values.map(_v6, na_action="ignore")
+def _bound(value: Column, body) -> Column:
+    """``body`` over a value that is computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def canonical_ip(c: Column, ipv6: bool = True) -> Column:
-    """Canonical address text or null.
+def _pair(text: Column, first: int) -> Column:
+    """The group of two octets of a dotted end, as hexadecimal text."""
+    high, low = (F.regexp_extract(text, DOTTED_END, i).cast("long") for i in (first, first + 1))
+    return F.lower(F.hex(high * 256 + low))
 
-    IPv4 stays in the JVM. Only texts with a colon reach the Arrow function; with
-    ``ipv6=False`` no Python worker takes part at all and IPv6 texts give null.
-    """
-    v4 = F.when(c.rlike(IPV4), c)
-    if not ipv6:
-        return v4
-    return F.coalesce(v4, compress_ipv6(F.when(c.contains(":"), c)))
+
+def _groups(text: Column) -> Column:
+    """The eight groups without leading zeros, of lower-case text without a zone; null if invalid."""
+    dotted = F.when(F.substring_index(text, ":", -1).rlike(IPV4), F.concat(
+        F.regexp_extract(text, DOTTED_END, 1), _pair(text, 2), F.lit(":"), _pair(text, 4)))
+    plain = F.when(text.contains("."), dotted).otherwise(text)
+
+    def parts(half):
+        return F.array_remove(F.split(half, ":"), "")
+
+    def eight(t):
+        cut = F.instr(t, "::")
+        head = parts(F.when(cut > 0, F.substring_index(t, "::", 1)).otherwise(t))
+        tail = parts(F.when(cut > 0, F.substring_index(t, "::", -1)).otherwise(F.lit("")))
+        missing = 8 - F.size(head) - F.size(tail)
+        whole = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail)
+        return F.when(t.rlike(IPV6) & F.when(cut > 0, missing > 0).otherwise(missing == 0),
+                      F.transform(whole, lambda g: F.regexp_replace(g, "^0+(?=.)", "")))
+    return _bound(plain, eight)
+
+
+def _shortest(groups: Column) -> Column:
+    """Text with the first longest run of two or more zero groups left out."""
+    def written(t):
+        out = F.lit(None).cast("string")
+        for n in range(2, 9):
+            run = f"^(.*?):0(?::0){{{n - 1}}}:(.*)$"
+            out = F.when(t.rlike(run), F.regexp_replace(t, run, "$1::$2")).otherwise(out)
+        return F.regexp_replace(F.coalesce(out, t), "^:(?!:)|(?<!:):$", "")
+    mapped = F.concat_ws(":", F.slice(groups, 1, 6)) == "0:0:0:0:0:ffff"
+
+    def octets(k):
+        n = F.conv(F.get(groups, F.lit(k)), 16, 10).cast("long")
+        return F.concat_ws(".", F.shiftright(n, 8).cast("string"), (n % 256).cast("string"))
+    return F.when(mapped, F.concat(F.lit("::ffff:"), octets(6), F.lit("."), octets(7))).otherwise(
+        _bound(F.concat(F.lit(":"), F.concat_ws(":", groups), F.lit(":")), written))
+
+
+def compress_ipv6(c: Column) -> Column:
+    """Shortest text of an IPv6 address, or null when the text is none; a zone is kept."""
+    zone = F.substring_index(c, "%", -1)
+    zoned = c.contains("%")
+    address = F.when(~zoned, c).when((zone != "") & (F.length(c) - F.length(
+        F.translate(c, "%", "")) == 1), F.substring_index(c, "%", 1))
+    short = _bound(_groups(F.lower(F.when(address.rlike("^[0-9A-Fa-f:.]+$"), address))),
+                   lambda g: F.when(g.isNotNull(), _shortest(g)))
+    return F.when(c.contains(":"), F.when(zoned, F.concat(short, F.lit("%"), zone)).otherwise(
+        short))
+
+
+def canonical_ip(c: Column) -> Column:
+    """Canonical address text or null; only texts with a colon are looked at as IPv6."""
+    return F.coalesce(F.when(c.rlike(IPV4), c), compress_ipv6(c))
 
 
 def ipv4_number(c: Column) -> Column:
@@ -52,24 +97,25 @@ def in_v4_blocks(number: Column, blocks=K.INTERNAL_V4_BLOCKS) -> Column:
     return hit
 
 
-def _v6_class(text):
-    try:
-        address = ipaddress.IPv6Address(text)
-    except ValueError:
-        return None
-    if address.is_multicast or address.is_unspecified:
-        return "reserved"
-    inside = any(address in ipaddress.ip_network(b) for b in K.INTERNAL_V6_BLOCKS)
-    return "internal" if inside else "external"
-
-
-@F.pandas_udf(StringType())
-def ipv6_class(values: pd.Series) -> pd.Series:
+def ipv6_class(c: Column) -> Column:
     """internal, external or reserved for IPv6 texts; null for anything else."""
-    return values.map(_v6_class, na_action="ignore")
-
-
-def address_class(c: Column, ipv6: bool = True) -> Column:
+    groups = _groups(F.lower(F.substring_index(compress_ipv6(c), "%", 1)))
+
+    def judged(number):
+        inside = F.lit(False)
+        for block in K.INTERNAL_V6_BLOCKS:
+            net = ipaddress.ip_network(block)
+            inside = inside | number.between(f"{int(net.network_address):032x}",
+                                             f"{int(net.broadcast_address):032x}")
+        return (F.when(number.isNull(), F.lit(None).cast("string"))
+                .when((number >= "ff" + "0" * 30) | (number == "0" * 32), "reserved")
+                .when(inside, "internal").otherwise("external"))
+    wide = _bound(groups, lambda g: F.when(g.isNotNull(), F.concat_ws(
+        "", F.transform(g, lambda x: F.lpad(x, 4, "0")))))
+    return F.when(c.contains(":"), _bound(wide, judged))
+
+
+def address_class(c: Column) -> Column:
     """internal, external or reserved (multicast, unspecified); null if no address."""
     number = ipv4_number(c)
     multicast = number.between(224 << 24, (240 << 24) - 1)
@@ -77,9 +123,7 @@ def address_class(c: Column, ipv6: bool = True) -> Column:
           .when((number == 0) | multicast, "reserved")
           .when(in_v4_blocks(number), "internal")
           .otherwise("external"))
-    if not ipv6:
-        return v4
-    return F.coalesce(v4, ipv6_class(F.when(c.contains(":"), c)))
+    return F.coalesce(v4, ipv6_class(c))
 
 
 def target_scope(kind: Column) -> Column:
@@ -89,21 +133,13 @@ def target_scope(kind: Column) -> Column:
     return scope
 
 
-def is_valid_target(kind: Column, value: Column, ipv6: bool = True) -> Column:
+def is_valid_target(kind: Column, value: Column) -> Column:
     """True for a well-formed target whose address class agrees with its kind."""
     bounded = (F.length(value).between(1, 253)) & (F.trim(value) == value) \
         & ~value.rlike(r"^\s|\s$")
-    cls = address_class(value, ipv6)
+    cls = address_class(value)
     kind_ok = (F.when(kind == "external_domain", value.rlike(K.HOSTNAME_PATTERN))
                .when(kind == "internal_ip", F.coalesce(cls == "internal", F.lit(False)))
                .when(kind == "external_ip", F.coalesce(cls == "external", F.lit(False)))
                .otherwise(False))
     return F.coalesce(bounded & kind_ok, F.lit(False))
-
-
-def register(spark) -> None:
-    """Make the Arrow functions callable from SQL."""
-    from flowguard.functions.text import nfc
-    spark.udf.register("compress_ipv6", compress_ipv6)
-    spark.udf.register("ipv6_class", ipv6_class)
-    spark.udf.register("nfc", nfc)

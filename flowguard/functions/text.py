@@ -37,7 +37,7 @@ def sanitize_note(c: Column) -> Column:
     return F.struct(F.when(error.isNull(), masked).alias("body"), error.alias("error"))
 
 
-def normalize_indicator(kind: Column, raw: Column, ipv6: bool = True) -> Column:
+def normalize_indicator(kind: Column, raw: Column) -> Column:
     """Normal form of an indicator value, or null when it does not fit its type."""
     value = strip(raw)
     bounded = F.length(value).between(1, 2048)
@@ -47,8 +47,7 @@ def normalize_indicator(kind: Column, raw: Column, ipv6: bool = True) -> Column:
     scheme = F.lower(F.regexp_extract(value, url, 1))
     host = F.regexp_replace(F.lower(F.regexp_extract(value, url, 2)), r"[\[\]]", "")
     digest = F.lower(value)
-    v6 = compress_ipv6(F.when((kind == "ipv6") & value.contains(":"), value)) if ipv6 \
-        else F.lit(None).cast("string")
+    v6 = compress_ipv6(F.when(kind == "ipv6", value))
     return F.when(
         bounded,
         F.when(kind == "ipv4", F.when(value.rlike(IPV4), value))
@@ -60,6 +59,6 @@ def normalize_indicator(kind: Column, raw: Column, ipv6: bool = True) -> Column:
         .when(kind == "sha256", F.when(digest.rlike("^[0-9a-f]{64}$"), digest)))
 
 
-def indicator_hash(kind: Column, raw: Column, ipv6: bool = True) -> Column:
+def indicator_hash(kind: Column, raw: Column) -> Column:
     """Hash of type and normal form; the raw value itself is never stored."""
-    return F.sha2(F.concat(kind, F.lit(":"), normalize_indicator(kind, raw, ipv6)), 256)
+    return F.sha2(F.concat(kind, F.lit(":"), normalize_indicator(kind, raw)), 256)

@@ -131,7 +131,7 @@ def gate_context(requests: DataFrame, allow: DataFrame, assets: DataFrame, alert
 PASSING = ("ok", "intelligence_stale_ignored")
 
 
-def gate_array(ipv6: bool = True, max_seconds: int = K.POLICY_MAX_DURATION_SECONDS) -> Column:
+def gate_array(max_seconds: int = K.POLICY_MAX_DURATION_SECONDS) -> Column:
     """All thirteen gates of a request context, in gate order, as one array."""
     scope = target_scope(F.col("target_type"))
     seconds, fine = F.col("duration_seconds"), F.lit("ok")
@@ -142,7 +142,7 @@ def gate_array(ipv6: bool = True, max_seconds: int = K.POLICY_MAX_DURATION_SECON
         "authorization": F.when(F.col("has_permission"), fine)
         .otherwise("missing_simulation_permission"),
         "target_validity": F.when(
-            is_valid_target(F.col("target_type"), F.col("target_value"), ipv6), fine)
+            is_valid_target(F.col("target_type"), F.col("target_value")), fine)
         .otherwise("target_not_canonical"),
         "internal_external": F.when(scope == "unknown", "scope_unknown")
         .when(scope == "internal", "internal_stricter_denial").otherwise(fine),
@@ -169,21 +169,21 @@ def gate_array(ipv6: bool = True, max_seconds: int = K.POLICY_MAX_DURATION_SECON
                      for i, g in enumerate(K.GATE_ORDER)])
 
 
-def evaluate_gates(ctx: DataFrame, ipv6: bool = True,
+def evaluate_gates(ctx: DataFrame,
                    max_seconds: int = K.POLICY_MAX_DURATION_SECONDS) -> DataFrame:
     """Thirteen rows per request, in gate order; every gate is always evaluated."""
-    return (ctx.select("request_id", F.explode(gate_array(ipv6, max_seconds)).alias("g"))
+    return (ctx.select("request_id", F.explode(gate_array(max_seconds)).alias("g"))
             .select("request_id", "g.position", "g.gate_key",
                     F.col("g.reason_code").isin(*PASSING).alias("passed"), "g.reason_code"))
 
 
-def decide(ctx: DataFrame, ipv6: bool = True,
+def decide(ctx: DataFrame,
            max_seconds: int = K.POLICY_MAX_DURATION_SECONDS) -> DataFrame:
     """Per request: eligible only if all gates pass; the first failure is kept.
 
     Gates are judged inside the row, so nothing is shuffled.
     """
-    rows = ctx.select("request_id", gate_array(ipv6, max_seconds).alias("_g")).select(
+    rows = ctx.select("request_id", gate_array(max_seconds).alias("_g")).select(
         "request_id", F.filter("_g", lambda g: ~g["reason_code"].isin(*PASSING)).alias("_bad"))
     first = F.get("_bad", F.lit(0))
     fine = F.size("_bad") == 0

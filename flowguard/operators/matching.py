@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 from flowguard.functions.text import indicator_hash
 
 
-def match_indicators(indicators: DataFrame, observations: DataFrame, allowlist: DataFrame, now,
-                     ipv6: bool = True) -> DataFrame:
+def match_indicators(indicators: DataFrame, observations: DataFrame, allowlist: DataFrame, now
+                     ) -> DataFrame:
     """Every (observation, indicator) pair of one type and value hash, with its state.
 
     Observations: indicator_type, raw_value, provenance_hash. Distinct observed values
@@ -15,7 +15,7 @@ def match_indicators(indicators: DataFrame, observations: DataFrame, allowlist:
     """
     observed = (observations.select("indicator_type", "raw_value").distinct()
                 .withColumn("value_hash", indicator_hash(F.col("indicator_type"),
-                                                         F.col("raw_value"), ipv6)))
+                                                         F.col("raw_value"))))
     allowed = allowlist.select("value_hash", F.lit(True).alias("_allowed")).distinct()
     state = (F.when(F.col("_allowed"), "allowlist_conflict")
              .when(F.lit(now) >= F.col("expires_at"), "expired").otherwise("active"))

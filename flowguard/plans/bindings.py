@@ -410,7 +410,7 @@ def indicators(spark: SparkSession, sf: str) -> DataFrame:
         (F.lit(utc(2024, 1, 10)) + F.make_dt_interval((F.col("page_id") % 20).cast("int")))
         .alias("expires_at"))
     rows = ip.unionByName(url).withColumn("value_hash", indicator_hash(
-        F.col("indicator_type"), F.col("raw"), ipv6=False)).where("value_hash IS NOT NULL")
+        F.col("indicator_type"), F.col("raw"))).where("value_hash IS NOT NULL")
     return (rows.withColumn("indicator_hash", F.sha2(F.concat_ws(
         "|", "indicator_type", "value_hash", "source_name"), 256)).drop("raw"))
 

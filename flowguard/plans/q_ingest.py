@@ -153,7 +153,7 @@ SELECT src_address, dst_address, CAST(src_port AS BIGINT) AS src_port,
   count(*) AS packet_count, CAST(sum(byte_count) AS BIGINT) AS byte_count
 FROM p GROUP BY ALL""")
 def src_5(spark, sf):
-    flows, _ = readers.packets_to_flows(packets(spark, sf), ipv6=False)
+    flows, _ = readers.packets_to_flows(packets(spark, sf))
     return flows.select("src_address", "dst_address", F.col("src_port").cast("long")
                         .alias("src_port"), F.col("dst_port").cast("long").alias("dst_port"),
                         "protocol", B.micros("event_time").alias("t_us"), "duration_ms",
@@ -163,7 +163,7 @@ def src_5(spark, sf):
 @query("src_5_rejected_packets", f"""WITH {B.FLOWS}
 SELECT 'unsupported_packet' AS error_code, count(*) AS n FROM flows WHERE k = 50 HAVING n > 0""")
 def src_5_rejects(spark, sf):
-    return readers.packets_to_flows(packets(spark, sf), ipv6=False)[1].groupBy("error_code").agg(
+    return readers.packets_to_flows(packets(spark, sf))[1].groupBy("error_code").agg(
         F.count(F.lit(1)).alias("n"))
 
 

@@ -30,7 +30,7 @@ matched AS (SELECT sha256(i.indicator_hash || ':' || o.provenance_hash) AS match
 
 def matched(spark, sf):
     return X.match_indicators(B.indicators(spark, sf), B.observations(spark, sf),
-                              allowed_values(spark, sf), B.EVENTS_NOW, ipv6=False)
+                              allowed_values(spark, sf), B.EVENTS_NOW)
 
 
 @query("jn_7_indicator_match", f"""WITH {MATCHES}
@@ -166,7 +166,7 @@ def context(spark, sf):
 
 
 def gate_rows(spark, sf):
-    return G.evaluate_gates(context(spark, sf), ipv6=False)
+    return G.evaluate_gates(context(spark, sf))
 
 
 GATES = FACTS + """,
@@ -209,7 +209,7 @@ SELECT request_id, count(*) FILTER (WHERE passed) AS passed_gates, bool_and(pass
   CASE WHEN bool_and(passed) THEN 'previewed' ELSE 'rejected' END AS status
 FROM judged GROUP BY request_id""")
 def fld_5_decisions(spark, sf):
-    return G.decide(context(spark, sf), ipv6=False)
+    return G.decide(context(spark, sf))
 
 
 @query("srt_9_request_detail", f"""WITH {GATES},

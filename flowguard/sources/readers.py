@@ -228,26 +228,26 @@ def read_eve(spark: SparkSession, path: str) -> DataFrame:
     return parse_eve_lines(text_source(spark, path))
 
 
-def packet_ok(ipv6: bool = True) -> Column:
+def packet_ok() -> Column:
     """A packet counts when its time is finite and both hosts are addresses."""
     finite = F.abs(F.col("ts")) < F.lit(253402300800.0)
-    return F.coalesce(finite & canonical_ip(F.col("src"), ipv6).isNotNull()
-                      & canonical_ip(F.col("dst"), ipv6).isNotNull(), F.lit(False))
+    return F.coalesce(finite & canonical_ip(F.col("src")).isNotNull()
+                      & canonical_ip(F.col("dst")).isNotNull(), F.lit(False))
 
 
-def packets_to_flows(packets: DataFrame, ipv6: bool = True) -> tuple[DataFrame, DataFrame]:
+def packets_to_flows(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(flows, rejects) out of decoded packets: ts, src, dst, sport, dport, proto, length.
 
     One flow per directed 5-tuple; the sums are partial on the map side, so a tuple
     with most packets is no burden. ICMP and other protocols have no ports.
     """
-    rows = packets.withColumn("_ok", packet_ok(ipv6))
+    rows = packets.withColumn("_ok", packet_ok())
     kind = F.when(F.col("proto").isin("tcp", "udp", "icmp"), F.col("proto")) \
         .when(F.col("proto") == "icmpv6", "icmp").otherwise("other")
     ported = kind.isin("tcp", "udp")
     flows = (rows.where("_ok").groupBy(
-        canonical_ip(F.col("src"), ipv6).alias("src_address"),
-        canonical_ip(F.col("dst"), ipv6).alias("dst_address"),
+        canonical_ip(F.col("src")).alias("src_address"),
+        canonical_ip(F.col("dst")).alias("dst_address"),
         F.when(ported, F.col("sport")).cast("int").alias("src_port"),
         F.when(ported, F.col("dport")).cast("int").alias("dst_port"), kind.alias("protocol"))
         .agg(F.min("ts").alias("first"), F.max("ts").alias("last"),
