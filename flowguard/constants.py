@@ -188,3 +188,7 @@ SEED = 20260714
 FOREST_TREES = 100
 FOREST_ROWS = 256
 ATTRIBUTION_EPSILON = 1e-9
+
+# Words a summary of an explanation must not use.
+CAUSAL_WORDS = ("cause", "causes", "caused", "proves", "proof", "malicious", "attacker",
+                "guarantee", "guaranteed")

@@ -1,8 +1,7 @@
 """Isolation forest: bounded samples, trees in parallel, scoring in Arrow batches.
 
-A tree sees at most 256 rows and the model holds at most 100 trees of 511 nodes, so
-the pool of candidates and the model are small whatever the table's size; the table
-itself is only scanned.
+A tree sees a fixed number of rows, so the rows drawn and the model are small whatever the
+table's size; the table itself is only scanned.
 """
 
 import math
@@ -10,30 +9,41 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import DoubleType
 
 from flowguard import constants as K
 
+#: ``rows`` is how many rows the tree was grown on.
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
-               "path double")
+               "path double, rows int")
+#: Nodes of 48 bytes that a model may have to be held by the driver and the tasks.
+MOST_NODES = 1_000_000
 
 
 def sample_per_tree(df: DataFrame, key: str, names, trees: int, rows: int) -> DataFrame:
-    """Rows (tree, features…): the smallest hashes make the pool, then each tree ranks it.
+    """Rows (tree, features…): for each tree the ``rows`` smallest hashes of (tree, key).
 
-    The pool is the top-k of the key's hash, k = trees times rows; it does not depend on
-    how the table is split up.
+    Every tree draws from the whole table. Only rows under a bound on the hash are ranked, some
+    more than ``rows`` a tree; should a tree have too few, the bound is raised.
     """
-    pool = (df.select(F.xxhash64(F.lit(K.SEED), F.col(key)).alias("_h"), F.col(key).alias("_key"),
-                      *names)
-            .orderBy("_h", "_key").limit(trees * rows))
-    # Trees rank keys only; the features of the few chosen rows are joined afterwards.
+    total = df.count()
+    share = min(1.0, (rows + 8 * math.sqrt(rows) + 16) / max(total, 1))
+    while True:
+        bound = F.lit(int(-2 ** 63 + share * (2 ** 64 - 1)) if share < 1 else 2 ** 63 - 1)
+        drawn = (df.select(F.col(key).alias("_key"), *names, F.explode(F.filter(
+            F.sequence(F.lit(0), F.lit(trees - 1)),
+            lambda t: F.xxhash64(F.lit(K.SEED), t, F.col(key)) <= bound)).alias("tree"))
+            .withColumn("_t", F.xxhash64(F.lit(K.SEED), "tree", "_key")))
+        if share == 1.0:
+            break
+        each = drawn.groupBy("tree").count().agg(F.min("count").alias("least"),
+                                                 F.count("*").alias("trees")).first()
+        if each["trees"] == trees and each["least"] >= min(rows, total):
+            break
+        share = min(1.0, 2 * share)
     order = W.partitionBy("tree").orderBy("_t", "_key")
-    chosen = (pool.select("_key", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-              .withColumn("_t", F.xxhash64("tree", "_key"))
-              .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows))
-    return chosen.select("_key", "tree", "_rank").join(pool.drop("_h"), "_key").select(
-        "tree", "_rank", *names)
+    return (drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows)
+            .select("tree", "_rank", *names))
 
 
 def mean_path(n: float) -> float:
@@ -83,6 +93,7 @@ def fit_forest(df: DataFrame, key: str, names, trees: int = K.FOREST_TREES,
         out = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "path"])
         out.insert(0, "node", range(len(out)))
         out.insert(0, "tree", tree)
+        out["rows"] = len(values)
         return out
 
     return (sample_per_tree(df, key, names, trees, rows).groupBy("tree")
@@ -92,8 +103,9 @@ def fit_forest(df: DataFrame, key: str, names, trees: int = K.FOREST_TREES,
 class ForestModel:
     """The trees as arrays (tree by node), ready to be shipped to tasks."""
 
-    def __init__(self, nodes: pd.DataFrame, names, rows: int):
+    def __init__(self, nodes: pd.DataFrame, names):
         self.names = list(names)
+        rows = int(nodes["rows"].max())
         self.expected = mean_path(rows) or 1.0
         trees = int(nodes["tree"].max()) + 1
         width = int(nodes["node"].max()) + 1
@@ -122,14 +134,12 @@ class ForestModel:
         return np.power(2.0, -mean / self.expected) - 0.5
 
 
-def load_forest(forest: DataFrame, names, rows: int = K.FOREST_ROWS,
-                trees: int = K.FOREST_TREES) -> ForestModel:
-    """Bring the bounded node table to the driver as a model."""
-    most = trees * (2 * rows - 1)
+def load_forest(forest: DataFrame, names, most: int = MOST_NODES) -> ForestModel:
+    """Bring the node table to the driver as a model; more than ``most`` nodes are an error."""
     nodes = forest.limit(most + 1).toPandas()
     if len(nodes) > most or nodes.empty:
         raise ValueError("forest size out of bounds")
-    return ForestModel(nodes, names, rows)
+    return ForestModel(nodes, names)
 
 
 def _inputs(names) -> Column:
@@ -150,14 +160,14 @@ def score_forest(df: DataFrame, model: ForestModel, out: str = "raw_score") -> D
     return df.withColumn(out, score(_inputs(model.names)))
 
 
-def occlusion_deltas(df: DataFrame, model: ForestModel, baseline: dict, out: str = "deltas"
-                     ) -> DataFrame:
-    """Adds the score's change when one feature at a time is set to its baseline."""
+def occlusion_deltas(df: DataFrame, model: ForestModel, baseline: dict, out: str = "deltas",
+                     score: str = "subject_score") -> DataFrame:
+    """Adds the row's score, and its change when one feature at a time is set to its baseline."""
     shared = df.sparkSession.sparkContext.broadcast(
         (model, np.array([baseline[n] for n in model.names])))
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def deltas(x: pd.DataFrame) -> pd.Series:
+    @F.pandas_udf("deltas array<double>, whole double")
+    def deltas(x: pd.DataFrame) -> pd.DataFrame:
         forest, base = shared.value
         values = x.to_numpy(dtype=np.float64)
         whole = forest.raw(values)
@@ -167,6 +177,8 @@ def occlusion_deltas(df: DataFrame, model: ForestModel, baseline: dict, out: str
             values[:, i] = base[i]
             change[:, i] = whole - forest.raw(values)
             values[:, i] = kept
-        return pd.Series(list(change))
+        return pd.DataFrame({"deltas": list(change), "whole": whole})
 
-    return df.withColumn(out, deltas(_inputs(model.names)))
+    return (df.withColumn("_occluded", deltas(_inputs(model.names)))
+            .withColumns({out: F.col("_occluded.deltas"), score: F.col("_occluded.whole")})
+            .drop("_occluded"))

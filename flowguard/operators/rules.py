@@ -159,13 +159,15 @@ def evidence(flows: DataFrame, rule: RuleSpec, matches: DataFrame) -> DataFrame:
     return rows.join(side, on).select("rule_key", *keys, "event_key")
 
 
-def exclude_assets(flows: DataFrame, assets: DataFrame, asset_ids) -> DataFrame:
+def exclude_assets(flows: DataFrame, assets: DataFrame | None, asset_ids) -> DataFrame:
     """Flows without the sources a rule leaves out; assets lacking an address exclude none.
 
     At most 100 assets can be named by a rule, which bounds the small side.
     """
     if not asset_ids:
         return flows
+    if assets is None:
+        raise ValueError("a rule leaves assets out, but no assets are given")
     sources = (assets.where(F.col("asset_id").isin(*asset_ids) & F.col("address").isNotNull())
                .select(F.col("address").alias("src_address")).distinct())
     return flows.join(sources, "src_address", "left_anti")
@@ -181,13 +183,15 @@ def touched_flows(all_flows: DataFrame, batch: DataFrame, window_seconds: int) -
 
 def evaluate_rules(flows: DataFrame, rules, assets: DataFrame | None = None,
                    batch: DataFrame | None = None, unique: bool = False) -> DataFrame:
-    """Matches of all active rules. With ``batch`` only the buckets it touches count."""
+    """Matches of all active rules. With ``batch`` only the buckets it touches count.
+
+    A rule that leaves assets out needs the table of assets.
+    """
     out = None
     for rule in sorted((r for r in rules if r.active), key=lambda r: r.rule_key):
         rule.check()
         rows = flows if batch is None else touched_flows(flows, batch, rule.window_seconds)
-        if assets is not None:
-            rows = exclude_assets(rows, assets, rule.excluded_asset_ids)
+        rows = exclude_assets(rows, assets, rule.excluded_asset_ids)
         part = EVALUATORS[rule.evaluator_key](rows, rule, unique).select(*MATCH_COLUMNS)
         out = part if out is None else out.unionByName(part)
     if out is None:

@@ -193,15 +193,16 @@ def first_requests(df: DataFrame, keys=("actor_id", "idempotency_key")) -> DataF
             .select(*keys, F.col("_f.request_id").alias("request_id"), "copies", "conflict"))
 
 
-def stale_work(df: DataFrame, now, pending_seconds: int, processing_seconds: int, n: int = 100
-               ) -> DataFrame:
-    """Jobs waiting or running for too long, oldest first."""
+def stale_work(df: DataFrame, now, pending_seconds: int, processing_seconds: int,
+               n: int | None = None) -> DataFrame:
+    """Jobs waiting or running for too long, oldest first; all of them unless ``n`` is given."""
     from datetime import timedelta
     waiting = ((F.col("status") == "pending")
                & (F.col("created_at") < F.lit(now - timedelta(seconds=pending_seconds))))
     running = ((F.col("status") == "processing")
                & (F.col("started_at") < F.lit(now - timedelta(seconds=processing_seconds))))
-    return df.where(waiting | running).orderBy("created_at", "job_id").limit(n)
+    late = df.where(waiting | running).orderBy("created_at", "job_id")
+    return late if n is None else late.limit(n)
 
 
 def over_quota(df: DataFrame, n: int = K.MAX_BATCHES_IN_FLIGHT) -> DataFrame:

@@ -1,9 +1,4 @@
-"""Models: classifiers, isolation forest, attribution.
-
-The classifiers are fitted with fewer trees and iterations than the library's defaults (300
-trees of depth 20, 500 iterations). Both are parameters; the rows are those of the whole
-tables.
-"""
+"""Models: classifiers, isolation forest, attribution, with the operators' default sizes."""
 
 from pyspark.sql import functions as F
 
@@ -16,7 +11,6 @@ from flowguard.plans.registry import query
 
 WINDOWS = K.DEFAULT_WINDOWS
 NAMES = list(K.feature_names(WINDOWS))
-TREES, DEPTH, ITERATIONS = 20, 5, 20
 
 
 def matrix(spark, sf):
@@ -29,7 +23,7 @@ def matrix(spark, sf):
 
 def fitted(spark, sf, *which):
     rows = matrix(spark, sf).persist()
-    return C.fit_candidates(rows, NAMES, TREES, DEPTH, ITERATIONS, which or C.ALGORITHMS)
+    return C.fit_candidates(rows, NAMES, which=which or C.ALGORITHMS)
 
 
 @query("ml_4_logistic_regression")

@@ -18,14 +18,13 @@ def scratch(spark, name):
 
 
 def live_session(spark):
-    """A session of its own for a stream: one state partition per core at most.
+    """A session of its own for a stream, with as many state partitions as the caller's shuffles.
 
     The number of state partitions is fixed when a stream first starts.
     """
     live = B.pin_utc(spark.newSession())
     name = "spark.sql.shuffle.partitions"
-    live.conf.set(name, str(min(int(spark.conf.get(name)),
-                                spark.sparkContext.defaultParallelism)))
+    live.conf.set(name, spark.conf.get(name))
     return live
 
 

@@ -206,7 +206,7 @@ WHERE (status = 'pending' AND created_at < TIMESTAMP '1998-07-02')
   OR (status = 'processing' AND started_at < TIMESTAMP '1998-07-28')
 ORDER BY created_at, job_id LIMIT 100""")
 def fld_9(spark, sf):
-    return WF.stale_work(jobs(spark, sf), B.ORDERS_NOW, 31 * B.DAY, 5 * B.DAY).select("job_id",
+    return WF.stale_work(jobs(spark, sf), B.ORDERS_NOW, 31 * B.DAY, 5 * B.DAY, 100).select("job_id",
                                                                                      "status")
 
 

@@ -11,14 +11,14 @@ from flowguard.operators.signals import novel_signals, with_signal_keys
 from flowguard.streaming.ingest import read_batches, span, write_batch
 
 
-def stream_rule(flows: DataFrame, rule: R.RuleSpec) -> DataFrame:
+def stream_rule(flows: DataFrame, rule: R.RuleSpec, assets: DataFrame | None = None) -> DataFrame:
     """Matches of one rule on a deduplicated stream with a watermark, in append mode.
 
     Ports are a set of at most 65,536 numbers per group; events are only counted and
     summed, so the state of a group stays small however many flows it has.
     """
     rule.check()
-    rows = flows
+    rows = R.exclude_assets(flows, assets, rule.excluded_asset_ids)
     if rule.evaluator_key == "port_scan_v1":
         rows = rows.where(F.col("dst_port").isNotNull())
     elif rule.evaluator_key == "repeated_failure_v1":
@@ -49,11 +49,11 @@ def stream_rule(flows: DataFrame, rule: R.RuleSpec) -> DataFrame:
                     lanes_to_digest(F.col("n")).alias("evidence_digest")))
 
 
-def stream_rules(flows: DataFrame, rules) -> DataFrame:
-    """All active rules over one stream."""
+def stream_rules(flows: DataFrame, rules, assets: DataFrame | None = None) -> DataFrame:
+    """All active rules over one stream; ``assets`` is a static table."""
     out = None
     for rule in sorted((r for r in rules if r.active), key=lambda r: r.rule_key):
-        part = stream_rule(flows, rule)
+        part = stream_rule(flows, rule, assets)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -99,9 +99,10 @@ def current_alerts(spark: SparkSession, out: str) -> DataFrame:
     return rollup_alerts(signals.drop("batch_id"))
 
 
-def start_detection(flows: DataFrame, out: str, checkpoint: str, rules, **trigger):
+def start_detection(flows: DataFrame, out: str, checkpoint: str, rules,
+                    assets: DataFrame | None = None, **trigger):
     return (flows.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, i: upsert_batch(df, i, out, rules))
+            .foreachBatch(lambda df, i: upsert_batch(df, i, out, rules, assets))
             .trigger(**(trigger or {"availableNow": True})).start())
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowguard import constants as K
 from flowguard.operators import attribution as AT, classifiers as C, encoders as E, forest as FO
 
 NAMES = ["a", "b", "c"]
@@ -26,7 +27,7 @@ def test_forest_finds_outliers_whatever_the_partitions(rows):
     assert sorted(one.collect()) == sorted(two.collect())
     sizes = one.groupBy("tree").count().collect()
     assert len(sizes) == 40 and max(s["count"] for s in sizes) <= 2 * 64 - 1
-    model = FO.load_forest(one, NAMES, 64, 40)
+    model = FO.load_forest(one, NAMES)
     scored = FO.score_forest(rows, model)
     top = scored.orderBy(F.col("raw_score").desc()).limit(6).collect()
     assert sum(r["a"] > 6 for r in top) >= 5
@@ -39,7 +40,7 @@ def test_forest_finds_outliers_whatever_the_partitions(rows):
 
 def test_scores_equal_a_walk_through_the_trees(rows):
     nodes = FO.fit_forest(rows, "event_key", NAMES, 5, 32)
-    model, table = FO.load_forest(nodes, NAMES, 32, 5), {}
+    model, table = FO.load_forest(nodes, NAMES), {}
     for n in nodes.collect():
         table[n["tree"], n["node"]] = n
     sample = rows.limit(20).collect()
@@ -56,14 +57,20 @@ def test_scores_equal_a_walk_through_the_trees(rows):
 
 
 def test_attribution_of_odd_rows(rows):
-    model = FO.load_forest(FO.fit_forest(rows.where("a < 6"), "event_key", NAMES, 40, 64), NAMES,
-                           64, 40)
+    model = FO.load_forest(FO.fit_forest(rows.where("a < 6"), "event_key", NAMES, 40, 64), NAMES)
     base = {r["feature"]: r["median"] for r in E.baseline_medians(rows, NAMES).collect()}
     got = AT.attribute(rows.where("a > 6"), model, base, 2).collect()
     lead = [r for r in got if r["rank"] == 1]
     assert len(got) == 2 * len(lead)
     assert all(r["direction"] == "increase" and r["magnitude"] == 1.0 for r in lead)
-    assert not any(w in r["summary"].lower() for r in lead for w in AT.CAUSAL_WORDS)
+    values = {r["event_key"]: r for r in rows.collect()}
+    scores = {r["event_key"]: r["raw_score"] for r in FO.score_forest(rows, model).collect()}
+    for r in got:
+        assert r["raw_value"] == pytest.approx(values[r["event_key"]][r["feature"]], abs=1e-6)
+        assert r["subject_score"] == pytest.approx(scores[r["event_key"]], abs=1e-6)
+    assert len({r["explanation_id"] for r in got}) == len(lead)
+    assert len({r["baseline_score"] for r in got}) == 1
+    assert not any(w in r["summary"].lower() for r in lead for w in K.CAUSAL_WORDS)
 
 
 def test_candidates_and_choice(rows):
@@ -74,3 +81,22 @@ def test_candidates_and_choice(rows):
     assert sum(r["n"] for r in C.score_counts(frame, model).collect()) == 600
     weights = C.with_class_weights(rows).groupBy("label").agg(F.sum("_weight").alias("w")).collect()
     assert weights[0]["w"] == pytest.approx(weights[1]["w"])
+
+
+def test_each_tree_draws_from_the_whole_table(rows):
+    drawn = FO.sample_per_tree(rows, "event_key", NAMES, 20, 64).collect()
+    assert len(drawn) == 20 * 64
+    by_tree = {}
+    for r in drawn:
+        by_tree.setdefault(r["tree"], set()).add(tuple(r[n] for n in NAMES))
+    assert len(set().union(*by_tree.values())) > 500
+    few = FO.fit_forest(rows.limit(10), "event_key", NAMES, 3, 64)
+    assert {r["rows"] for r in few.collect()} == {10}
+    assert FO.load_forest(few, NAMES).expected == FO.mean_path(10)
+
+
+def test_a_summary_claims_no_cause(rows):
+    bad = rows.limit(1).select(AT.summary_text(F.lit("the_attacker_rate"), F.lit("increase"),
+                                               F.lit(1.0)))
+    with pytest.raises(Exception, match="claims a cause"):
+        bad.collect()

@@ -44,6 +44,28 @@ def test_exclusion_and_parameter_errors(spark, make_flows):
         R.RuleSpec("x", "port_scan_v1", "c", "low", 60, 1).check()
 
 
+def test_exclusion_holds_in_rule_sets_and_streams(spark, make_flows, tmp_path):
+    """A rule that leaves assets out needs the table, in batches and in both streams."""
+    from dataclasses import replace
+
+    from flowguard.streaming import detect
+    rule = replace(RATE, excluded_asset_ids=("a1",))
+    assets = spark.createDataFrame([("a1", "192.0.2.1")], "asset_id string, address string")
+    flows = make_flows([{}] * 4 + [{"src_address": "192.0.2.9"}] * 4)
+    found = R.evaluate_rules(flows, [rule], assets).collect()
+    assert [m["src_address"] for m in found] == ["192.0.2.9"]
+    with pytest.raises(ValueError, match="no assets"):
+        R.evaluate_rules(flows, [rule])
+    with pytest.raises(ValueError, match="no assets"):
+        detect.stream_rules(flows, [rule])
+    flows.write.parquet(f"{tmp_path}/flows")
+    live = spark.readStream.schema(flows.schema).parquet(f"{tmp_path}/flows")
+    detect.start_detection(live, f"{tmp_path}/out", f"{tmp_path}/check", [rule],
+                           assets).awaitTermination()
+    assert detect.current_alerts(spark, f"{tmp_path}/out").count() == 1
+    assert R.evaluate_rules(flows, [RATE]).count() == 2
+
+
 def test_hot_source_gives_one_match(spark, make_flows):
     """A third of all rows in one group: partial sums, one match, whole evidence count."""
     flows = make_flows([{}]).drop("event_key").crossJoin(spark.range(30_000)) \
