@@ -339,7 +339,7 @@ def policy_tables(spark: SparkSession, sf: str) -> dict:
     base = F.lit(utc(1998, 6, 1))
     seg = F.col("c_mktsegment")
     return {
-        "allow": part.where("p_partkey % 10 = 0").select(
+        "allow": part.select(
             F.lit("external_domain").alias("target_type"),
             F.concat(F.lit("host-"), text("p_partkey"), F.lit(".example.com"))
             .alias("target_value"),
@@ -351,7 +351,7 @@ def policy_tables(spark: SparkSession, sf: str) -> dict:
                                                                 "suricata_signature")
             .otherwise("anomaly").alias("source_type")),
         "incidents": nation.select(F.col("n_nationkey").alias("incident_id")),
-        "members": cust.where("c_custkey % 3 = 0").select(
+        "members": cust.select(
             F.col("c_nationkey").alias("incident_id"), F.col("c_custkey").alias("alert_id")),
         "indicators": supplier.select(
             F.col("s_suppkey").alias("indicator_id"),
@@ -365,14 +365,13 @@ POLICY = FLOWS + "," + ASSETS + "," + REQUESTS + """,
 allow AS (
   SELECT 'external_domain' AS target_type, 'host-' || p_partkey || '.example.com' AS target_value,
     CASE WHEN p_size >= 10 THEN TIMESTAMP '1998-06-01' + to_days(p_size * 2) END AS expires_at
-  FROM part WHERE p_partkey % 10 = 0),
+  FROM part),
 p_alerts AS (
   SELECT c_custkey AS alert_id, CASE WHEN c_mktsegment LIKE 'A%' THEN 'behavioral_rule'
     WHEN c_mktsegment LIKE 'B%' THEN 'suricata_signature' ELSE 'anomaly' END AS source_type
   FROM customer),
 incidents AS (SELECT n_nationkey AS incident_id FROM nation),
-members AS (SELECT c_nationkey AS incident_id, c_custkey AS alert_id FROM customer
-            WHERE c_custkey % 3 = 0),
+members AS (SELECT c_nationkey AS incident_id, c_custkey AS alert_id FROM customer),
 p_indicators AS (
   SELECT s_suppkey AS indicator_id,
     TIMESTAMP '1998-06-01' + to_days(CAST(s_suppkey % 120 AS INT)) AS expires_at FROM supplier)"""

@@ -50,10 +50,11 @@ def agg_26(spark, sf):
 
 
 PAIR = HALVES + f""",
-b AS (SELECT * FROM snap WHERE half = 19941 AND metric_key <> 'positive_rate'),
-c AS (SELECT * FROM snap WHERE half = 19961 AND metric_key <> 'unseen_rate'),
-al AS (SELECT metric_key, b.value AS bv, c.value AS cv, least(coalesce(b.sample_count, 0),
-    coalesce(c.sample_count, 0)) AS n FROM b FULL OUTER JOIN c USING (metric_key)),
+b AS (SELECT CASE half % 10 WHEN 1 THEN half + 1 ELSE half + 9 END AS half, metric_key, value,
+  sample_count FROM snap),
+c AS (SELECT * FROM snap),
+al AS (SELECT half, metric_key, b.value AS bv, c.value AS cv, least(coalesce(b.sample_count, 0),
+    coalesce(c.sample_count, 0)) AS n FROM b FULL OUTER JOIN c USING (half, metric_key)),
 dr AS (SELECT *, CASE WHEN bv IS NULL OR cv IS NULL OR n < 30 THEN NULL ELSE abs(cv - bv) END AS d
   FROM al),
 st AS (SELECT *, CASE WHEN d IS NULL THEN 'not_evaluable' WHEN d >= 0.5 THEN 'critical'
@@ -61,33 +62,37 @@ st AS (SELECT *, CASE WHEN d IS NULL THEN 'not_evaluable' WHEN d >= 0.5 THEN 'cr
 
 
 def pair(spark, sf):
+    """Each half-year's snapshot and, under the same half, that of the half before it."""
     s = snapshots(spark, sf)
-    return (s.where("half = 19941 AND metric_key <> 'positive_rate'"),
-            s.where("half = 19961 AND metric_key <> 'unseen_rate'"))
+    following = F.when(F.col("half") % 10 == 1, F.col("half") + 1).otherwise(F.col("half") + 9)
+    return s.withColumn("half", following), s
 
 
 @query("jn_14_metric_alignment", f"""WITH {PAIR}
-SELECT metric_key, round(bv, 6) AS baseline_value, round(cv, 6) AS current_value FROM al""")
+SELECT CAST(half AS BIGINT) AS half, metric_key, round(bv, 6) AS baseline_value,
+  round(cv, 6) AS current_value FROM al""")
 def jn_14(spark, sf):
-    return D.align_metrics(*pair(spark, sf)).select(
-        "metric_key", F.round("baseline_value", 6).alias("baseline_value"),
+    return D.align_metrics(*pair(spark, sf), ["half"]).select(
+        F.col("half").cast("long").alias("half"), "metric_key", F.round("baseline_value", 6).alias("baseline_value"),
         F.round("current_value", 6).alias("current_value"))
 
 
 @query("agg_18_drift", f"""WITH {PAIR}
-SELECT metric_key, round(d, 6) AS delta, status, CAST(n AS BIGINT) AS sample_count FROM st""")
+SELECT CAST(half AS BIGINT) AS half, metric_key, round(d, 6) AS delta, status, CAST(n AS BIGINT) AS sample_count FROM st""")
 def agg_18(spark, sf):
-    return D.drift(*pair(spark, sf)).select("metric_key", F.round("delta", 6).alias("delta"),
-                                            "status", "sample_count")
+    return D.drift(*pair(spark, sf), ["half"]).select(
+        F.col("half").cast("long").alias("half"), "metric_key", F.round("delta", 6).alias("delta"),
+        "status", "sample_count")
 
 
 @query("agg_18_drift_overall", f"""WITH {PAIR}
-SELECT CASE WHEN bool_or(status = 'not_evaluable') THEN 'not_evaluable'
+SELECT CAST(half AS BIGINT) AS half, CASE WHEN bool_or(status = 'not_evaluable') THEN 'not_evaluable'
   WHEN bool_or(status = 'critical') THEN 'critical' WHEN bool_or(status = 'warning') THEN 'warning'
   ELSE 'ok' END AS status, count(*) FILTER (WHERE status = 'warning') AS warning_count,
-  count(*) FILTER (WHERE status = 'critical') AS critical_count FROM st""")
+  count(*) FILTER (WHERE status = 'critical') AS critical_count FROM st GROUP BY half""")
 def agg_18_overall(spark, sf):
-    return D.drift_overall(D.drift(*pair(spark, sf)))
+    found = D.drift_overall(D.drift(*pair(spark, sf), ["half"]), ["half"])
+    return found.withColumn("half", F.col("half").cast("long"))
 
 
 @query("prj_20_metric_allow_list", """
@@ -175,7 +180,7 @@ def report_tables(spark, sf):
         "metrics": l.select(F.col("l_orderkey").alias("run_id"),
                             F.when(flag == "A", "warning").when(flag == "R", "critical")
                             .otherwise("ok").alias("status")),
-        "feedback": l.where("l_linestatus = 'F' AND l_linenumber = 1").select(
+        "feedback": l.select(
             F.when(flag == "R", "benign").otherwise("false_positive").alias("disposition"),
             F.col("l_orderkey").alias("run_id"), F.col("l_shipdate").alias("created_at"),
             F.sha2(F.concat(B.text("l_orderkey"), F.lit("|"), (F.col("l_partkey") % 4)
@@ -189,8 +194,7 @@ r AS (SELECT id AS run_id, status, id % 3 AS sample_count FROM j
   WHERE created_at BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-01-01'),
 m AS (SELECT CASE l_returnflag WHEN 'A' THEN 'warning' WHEN 'R' THEN 'critical' ELSE 'ok' END
   AS status FROM lineitem WHERE l_orderkey IN (SELECT run_id FROM r)),
-fb AS (SELECT * FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 1
-  AND l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-01-01'),
+fb AS (SELECT * FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-01-01'),
 oe AS (SELECT * FROM lineitem
   WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-01-01'),
 rs AS (SELECT 'run_status_counts' AS section, status AS key, count(*) AS n FROM r GROUP BY status),
@@ -233,7 +237,7 @@ def agg_14(spark, sf):
 
 @query("agg_12_summary", f"""WITH {JOBS_SQL}
 SELECT count(*) AS run_count, (SELECT count(*) FROM lineitem) AS report_count,
-  (SELECT count(*) FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 1) AS feedback_count,
+  (SELECT count(*) FROM lineitem) AS feedback_count,
   sum(id % 3) >= 30 AS evaluable FROM j""")
 def agg_12(spark, sf):
     t = report_tables(spark, sf)
@@ -242,7 +246,7 @@ def agg_12(spark, sf):
 
 @query("agg_13_feedback", """
 SELECT CASE WHEN l_returnflag = 'R' THEN 'benign' ELSE 'false_positive' END AS disposition,
-  count(*) AS n FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 1 GROUP BY 1""")
+  count(*) AS n FROM lineitem GROUP BY 1""")
 def agg_13(spark, sf):
     return R.feedback_summary(report_tables(spark, sf)["feedback"])
 
@@ -257,7 +261,7 @@ def agg_28(spark, sf):
 
 @query("jn_18_feedback_evidence", """
 SELECT l_orderkey AS run_id, sha256(l_orderkey || '|' || (l_partkey % 4)) AS evidence_hash
-FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 1 AND l_partkey % 4 < 3
+FROM lineitem WHERE l_partkey % 4 < 3
   AND l_orderkey IN (SELECT o_orderkey FROM orders)""")
 def jn_18(spark, sf):
     t = report_tables(spark, sf)

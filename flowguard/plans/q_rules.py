@@ -128,16 +128,16 @@ def jn_6_rows(spark, sf):
 
 
 def signature_events(spark, sf):
-    """Error and click events as reported signatures."""
-    return B.flows(spark, sf).where("source_type = 'zeek'").select(
+    """All events as reported signatures."""
+    return B.flows(spark, sf).select(
         "event_key", "event_time", "sensor_id", "src_address", "dst_address", "dst_port",
         "protocol", (F.col("k") % 5 + 2_100_000).cast("int").alias("signature_id"),
         F.lit(1).alias("signature_revision"), F.lit("policy").alias("category"),
         (F.col("k") % 5).cast("int").alias("reported_severity"))
 
 
-SIGNATURE_GROUP = """'{"dst_address":"' || dst_address || '","dst_port":' || dst_port
-    || ',"protocol":"' || protocol || '","sensor_id":"' || coalesce(sensor_id, 'unspecified')
+SIGNATURE_GROUP = """'{"dst_address":"' || dst_address || '","dst_port":'
+    || coalesce(dst_port, 0) || ',"protocol":"' || protocol || '","sensor_id":"' || coalesce(sensor_id, 'unspecified')
     || '","signature_id":' || (k % 5 + 2100000) || ',"signature_revision":1,"src_address":"'
     || src_address || '"}'"""
 MINUTE = "(t_us // 60000000) * 60000000"
@@ -147,7 +147,7 @@ MINUTE = "(t_us // 60000000) * 60000000"
 s AS (SELECT *, {MINUTE} AS m_us, {SIGNATURE_GROUP} AS grouping,
   {', '.join(f"CAST('0x' || substr(sha256(event_key), {1 + 12 * i}, 12) AS BIGINT) AS lane{i}"
              for i in range(4))}
-  FROM flows WHERE source_type = 'zeek'),
+  FROM flows),
 d AS (SELECT *, {B.sql_digest('1')} AS evidence_digest,
   sha256('{{"bucket_start":"' || {B.ISO.format('m_us')} || '","group":' || grouping
     || ',"source_type":"suricata_signature","window_seconds":60}}') AS series_key FROM s)
