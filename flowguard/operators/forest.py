@@ -13,9 +13,9 @@ from pyspark.sql.types import DoubleType
 
 from flowguard import constants as K
 
-#: ``rows`` is how many rows the tree was grown on.
+#: ``size`` and ``depth`` are those of the node, ``rows`` how many rows the tree was grown on.
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
-               "path double, rows int")
+               "path double, size int, depth int, rows int")
 #: Nodes of 48 bytes that a model may have to be held by the driver and the tasks.
 MOST_NODES = 1_000_000
 
@@ -56,7 +56,7 @@ def mean_path(n: float) -> float:
 
 
 def grow(values: np.ndarray, seed: int, limit: int) -> list[tuple]:
-    """Nodes (feature, threshold, left, right, path) of one random tree."""
+    """Nodes (feature, threshold, left, right, path, size, depth) of one random tree."""
     rng = np.random.default_rng(seed)
     nodes: list = []
     todo = [(np.arange(len(values)), 0, -1, 0)]
@@ -69,11 +69,11 @@ def grow(values: np.ndarray, seed: int, limit: int) -> list[tuple]:
         low, high = part.min(axis=0), part.max(axis=0)
         open_ = np.flatnonzero(high > low)
         if depth >= limit or len(index) <= 1 or not len(open_):
-            nodes.append([-1, 0.0, me, me, depth + mean_path(len(index))])
+            nodes.append([-1, 0.0, me, me, depth + mean_path(len(index)), len(index), depth])
             continue
         f = int(rng.choice(open_))
         cut = float(rng.uniform(low[f], high[f]))
-        nodes.append([f, cut, -1, -1, 0.0])
+        nodes.append([f, cut, -1, -1, 0.0, len(index), depth])
         goes_left = part[:, f] <= cut
         todo.append((index[goes_left], depth + 1, me, 0))
         todo.append((index[~goes_left], depth + 1, me, 1))
@@ -90,7 +90,8 @@ def fit_forest(df: DataFrame, key: str, names, trees: int = K.FOREST_TREES,
         tree = int(pdf["tree"].iloc[0])
         values = pdf.sort_values("_rank")[names].to_numpy(dtype=np.float64)
         nodes = grow(values, seed + tree, limit)
-        out = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "path"])
+        out = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "path", "size",
+                                           "depth"])
         out.insert(0, "node", range(len(out)))
         out.insert(0, "tree", tree)
         out["rows"] = len(values)

@@ -55,3 +55,12 @@ def shared_dir(spark: SparkSession) -> str:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="flowguard-")
         spark.sparkContext.setCheckpointDir(_OWN_DIRS[app])
     return _OWN_DIRS[app]
+
+
+def materialised(df):
+    """The same rows, stored once in the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    folder = shared_dir(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
