@@ -15,10 +15,18 @@ EMPTY_MAP = "map<string,string>"
 
 
 def text_source(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Raw lines with the file they come from."""
+    """Raw lines with the file they come from and, unless streamed, their order in it.
+
+    ``line_at`` is the block of the file and a number that rises within the block.
+    """
     reader = spark.readStream if stream else spark.read
-    return reader.format("text").option("lineSep", "\n").load(path).select(
-        "value", F.col("_metadata.file_path").alias("input_file"))
+    lines = reader.format("text").option("lineSep", "\n").load(path)
+    origin = F.col("_metadata.file_path").alias("input_file")
+    if stream:
+        return lines.select("value", origin)
+    return lines.select("value", origin, F.struct(
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")).alias("line_at"))
 
 
 def _none(kind: str = "string") -> Column:
@@ -84,20 +92,32 @@ ZEEK_FIELDS = ("uid", "ts", "id.orig_h", "id.resp_h", "id.orig_p", "id.resp_p",
 
 
 def zeek_headers(lines: DataFrame) -> DataFrame:
-    """One row per file with its field names; files with two different headers have none."""
-    return (lines.where(F.col("value").startswith("#fields")).groupBy("input_file")
-            .agg(F.min("value").alias("_h"), F.max("value").alias("_z"))
-            .where("_h = _z")
-            .select(F.col("input_file").alias("_file"), F.slice(
-                F.split(F.regexp_replace("_h", r"[\r\n]+$", ""), "\t"), 2, 1_000_000)
-                .alias("fields")))
+    """One row per file with its headers in order, each with its place and field names.
+
+    Lines without an order (no ``line_at``) need one header for the whole file; files with
+    different ones have none.
+    """
+    marks = lines.where(F.col("value").startswith("#fields"))
+    fields = F.slice(F.split(F.regexp_replace("value", r"[\r\n]+$", ""), "\t"), 2, 1_000_000)
+    ordered = "line_at" in lines.columns
+    place = F.col("line_at") if ordered else F.lit(None).cast("struct<block:bigint,row:bigint>")
+    headers = (marks.select(F.col("input_file").alias("_file"),
+                            F.struct(place.alias("at"), fields.alias("fields")).alias("h"))
+               .groupBy("_file").agg(F.array_sort(F.collect_set("h")).alias("headers")))
+    return headers if ordered else headers.where(F.size("headers") == 1)
 
 
 def parse_zeek_lines(lines: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Zeek connection records, tab-separated under a #fields header or as JSON lines."""
     headers = zeek_headers(lines) if headers is None else headers
     data = text_lines(lines.where(~F.col("value").startswith("#")), skip_blank=True)
-    rows = parse_doc(data.join(headers, F.col("input_file") == F.col("_file"), "left"))
+    # A record is read by the last header before it.
+    above = F.col("headers")
+    if "line_at" in lines.columns:
+        above = F.filter(above, lambda h: h["at"].isNull() | (h["at"] < F.col("line_at")))
+    data = (data.join(headers, F.col("input_file") == F.col("_file"), "left")
+            .withColumn("fields", F.try_element_at(above, F.lit(-1))["fields"]))
+    rows = parse_doc(data)
     rows = with_fields(rows, [(n,) for n in ZEEK_FIELDS]).select(
         "*", F.split(F.regexp_replace("value", r"[\r\n]+$", ""), "\t").alias("_parts"),
         F.col("value").startswith("{").alias("is_json"))

@@ -52,9 +52,33 @@ def test_zeek_lines_and_headers(spark, tmp_path):
     assert two["state"] is None and two["src_port"] == 0
 
 
-def test_two_headers_in_one_file_are_rejected(spark, tmp_path):
-    lines = ["#fields\tts\tuid", "1\ta", "#fields\tuid\tts", "b\t2"]
-    assert codes(readers.read_zeek(spark, write(tmp_path, "c.log", lines))) == ["invalid_record"] * 2
+def test_records_follow_the_last_header_before_them(spark, tmp_path):
+    names = ("ts uid id.orig_h id.orig_p id.resp_h id.resp_p proto service duration orig_bytes "
+             "resp_bytes conn_state orig_pkts resp_pkts").split()
+    row = ["1704067200", "C", "192.0.2.1", "1234", "198.51.100.2", "80", "tcp", "http", "0.5",
+           "1600", "2000", "SF", "6", "7"]
+
+    def record(order, uid):
+        held = {**dict(zip(names, row)), "uid": uid}
+        return "\t".join(held[n] for n in order)
+    lines = [record(names, "early")]
+    for k in range(6):
+        order = names[k:] + names[:k]
+        lines += ["#fields\t" + "\t".join(order)]
+        lines += [record(order, f"C{k}_{i}") for i in range(40)]
+    path = write(tmp_path, "c.log", lines)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = readers.read_zeek(spark, path)
+        assert rows.rdd.getNumPartitions() > 3
+        got = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [r["error_code"] for r in got if r["error_code"]] == ["invalid_record"]
+    ids = {r["flow"]["source_event_id"] for r in got if r["flow"]}
+    assert ids == {f"C{k}_{i}" for k in range(6) for i in range(40)}
+    assert {r["flow"]["src_port"] for r in got if r["flow"]} == {1234}
 
 
 def test_eve_lines(spark, tmp_path):
