@@ -75,15 +75,24 @@ def lane_names(prefix: str = "_lane") -> list[str]:
     return [f"{prefix}{i}_{j}" for i in range(LANES) for j in range(LANE_PARTS)]
 
 
-def lane_parts(key: Column) -> list[Column]:
+def parts_of(values: list[Column]) -> list[Column]:
     """Each lane in three 16-bit parts, whose sums stay whole numbers for 10^14 rows."""
-    return [F.shiftright(v, 16 * j).bitwiseAND(F.lit(0xFFFF)) for v in lane_values(key)
+    return [F.shiftright(v, 16 * j).bitwiseAND(F.lit(0xFFFF)) for v in values
             for j in range(LANE_PARTS)]
 
 
-def lane_sums(key: Column, prefix: str = "_lane") -> list[Column]:
-    """Aggregates whose partial sums combine on the map side, whatever the order."""
-    return [F.sum(v).alias(n) for v, n in zip(lane_parts(key), lane_names(prefix))]
+def lane_parts(key: Column) -> list[Column]:
+    return parts_of(lane_values(key))
+
+
+def lane_sums(key: Column, prefix: str = "_lane", values: list[Column] | None = None
+              ) -> list[Column]:
+    """Aggregates whose partial sums combine on the map side, whatever the order.
+
+    ``values`` are the key's lanes where they have been computed before.
+    """
+    parts = parts_of(values) if values else lane_parts(key)
+    return [F.sum(v).alias(n) for v, n in zip(parts, lane_names(prefix))]
 
 
 def lane_totals(prefix: str = "_lane") -> list[Column]:

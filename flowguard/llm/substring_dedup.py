@@ -35,6 +35,7 @@ from flowguard.llm.common import WORD, blocks, cut, texts
 from flowguard.llm.words import ODD, WordHasher, grams, mix
 
 SIZE, GRAM = 20, 6
+HALF = np.uint64(32)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,13 +68,15 @@ def chosen_anchors(hashes: np.ndarray, counts: np.ndarray, size: int, gram: int)
     n = len(hashes)
     if n < size:
         return (np.zeros(0, np.int64),) * 3
-    g = grams(hashes, gram)
-    m = n - size + 1
-    best, at = g[:m].copy(), np.arange(m)
-    for j in range(1, size - gram + 1):
-        take = g[j:j + m] <= best
-        best[take] = g[j:j + m][take]
-        at[take] = np.flatnonzero(take) + j
+    # One number per place: half a hash to compare, then the place, later ones first.
+    g = grams(hashes, gram) >> HALF << HALF
+    g |= np.uint64(2 ** 32 - 1) - np.arange(len(g), dtype=np.uint64)
+    m, width, want = n - size + 1, 1, size - gram + 1
+    while width < want:
+        step = min(width, want - width)
+        g = np.minimum(g[:-step], g[step:])
+        width += step
+    at = (2 ** 32 - 1) - (g & np.uint64(2 ** 32 - 1)).astype(np.int64)
     ends = np.repeat(np.cumsum(counts), counts)
     starts = np.flatnonzero(np.arange(m) + size <= ends[:m])
     at = at[starts]
@@ -154,7 +157,8 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     asked = (classes.join(several, "anchor").select("one.*").distinct()
              .groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("a"))
              .select("doc_id", F.col("a.first").alias("firsts"), F.col("a.n").alias("ns")))
-    windows = _windows(read.join(asked, "doc_id", "left").select("doc_id", "text", "firsts", "ns"), size)
+    windows = cut(_windows(read.join(asked, "doc_id", "left")
+                           .select("doc_id", "text", "firsts", "ns"), size))
     firsts = (windows.groupBy("w0", "w1").agg(F.min(F.struct("doc_id", "start")).alias("one"),
                                               F.count("*").alias("members"))
               .filter("members > 1").select("w0", "w1", "one"))
@@ -194,6 +198,5 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    # The same outer join on the texts as in repeats(), so that one shuffle of them serves both.
     return (texts(docs).join(found, "doc_id", "left").select("doc_id", "text", "firsts", "lasts")
             .mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string"))

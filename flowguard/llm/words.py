@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -25,22 +26,29 @@ class WordHasher:
 
     def __init__(self, fold_case: bool = False, remember: int = 400_000):
         self.seen: dict[str, int] = {}
+        self.hashes = np.zeros(0, np.uint64)
         self.fold_case, self.remember = fold_case, remember
 
-    def of(self, words: list[str]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > self.remember:
-            seen.clear()
-        for w in set(words).difference(seen):
-            key = w.translate(ASCII_LOWER) if self.fold_case else w
-            seen[w] = xxhash.xxh3_64_intdigest(key.encode())
-        return np.array([seen[w] for w in words], np.uint64)
+    def of(self, split: list[list[str]]) -> np.ndarray:
+        """Hashes of all words in turn; a word's number is its place in a table of hashes."""
+        if len(self.seen) > self.remember:
+            self.seen, self.hashes = {}, np.zeros(0, np.uint64)
+        seen, fresh = self.seen, set()
+        for words in split:
+            fresh.update(words)
+        fresh = list(fresh.difference(seen))
+        keys = (w.translate(ASCII_LOWER) for w in fresh) if self.fold_case else fresh
+        made = np.array([xxhash.xxh3_64_intdigest(k.encode()) for k in keys], np.uint64)
+        seen.update(zip(fresh, range(len(seen), len(seen) + len(fresh))))
+        self.hashes = np.concatenate([self.hashes, made])
+        total = sum(map(len, split))
+        place = np.fromiter(map(seen.__getitem__, chain.from_iterable(split)), np.int64, total)
+        return self.hashes[place]
 
     def texts(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words of all texts in turn, and for each text how many."""
         split = [WORD.findall(t) for t in values]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        return self.of([w for words in split for w in words]), counts
+        return self.of(split), np.fromiter(map(len, split), np.int64, len(split))
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -50,8 +58,10 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     size = len(hashes) - n + 1
     out = np.zeros(size, np.uint64)
     for j in range(n):
-        out = mix(out * ODD + hashes[j:j + size] + np.uint64(j + 1))
-    return out
+        out *= ODD
+        out += hashes[j:j + size]
+        out ^= out >> np.uint64(29)
+    return mix(out)
 
 
 def per_text(values: np.ndarray, counts: np.ndarray, fn: Callable) -> list:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowguard import constants as K
 from flowguard.functions.flow_columns import bucket, is_failure
-from flowguard.functions.hashing import lane_sums, lane_totals, lanes_to_digest
+from flowguard.functions.hashing import (LANES, lane_sums, lane_totals, lane_values,
+                                         lanes_to_digest)
 
 
 @dataclass(frozen=True)
@@ -181,21 +182,83 @@ def touched_flows(all_flows: DataFrame, batch: DataFrame, window_seconds: int) -
             .join(touched, "_bucket", "left_semi").drop("_bucket"))
 
 
+def _in_one_pass(flows: DataFrame, rules, unique: bool) -> DataFrame:
+    """Matches of several rules from one scan and one pair of shuffles.
+
+    A flow gives one row per rule that considers it; from there on the rule is part of the key.
+    """
+    def choose(values):
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("rule"))
+
+    def seen_by(i, rule):
+        held = GROUPS[rule.evaluator_key]
+        applies = F.lit(True)
+        if rule.evaluator_key == "port_scan_v1":
+            applies = F.col("dst_port").isNotNull()
+        elif rule.evaluator_key == "repeated_failure_v1":
+            applies = F.col("dst_port").isNotNull() & is_failure(
+                F.col("source_type"), F.col("state"), rule.failure_states)
+        scan = rule.evaluator_key == "port_scan_v1"
+        none = F.lit(None)
+        return F.when(applies, F.struct(
+            F.lit(i).alias("rule"),
+            bucket(F.col("event_time"), rule.window_seconds).alias("bucket_start"),
+            (F.col("dst_address") if "dst_address" in held else none.cast("string"))
+            .alias("dst_address"),
+            (F.col("dst_port") if "dst_port" in held else none.cast("int")).alias("dst_port"),
+            (F.col("protocol") if "protocol" in held else none.cast("string")).alias("protocol"),
+            (F.col("dst_port") if scan else none.cast("int")).alias("port")))
+    lanes = [f"_v{i}" for i in range(LANES)]
+    wide = flows.select("*", *[v.alias(n) for v, n in zip(lane_values(F.col("event_key")), lanes)]
+                        ) if unique else flows
+    rows = wide.select("sensor_id", "src_address", "event_key", *(lanes if unique else ()), F.explode(
+        F.array_compact(F.array(*[seen_by(i, r) for i, r in enumerate(rules)]))).alias("r"))
+    keys = ["rule", "bucket_start", "sensor_id", "src_address", "dst_address", "dst_port",
+            "protocol"]
+    rows = rows.select("event_key", *(lanes if unique else ()), "sensor_id", "src_address", "r.*")
+    if not unique:
+        rows = rows.distinct()
+    per_port = rows.groupBy(*keys, "port").agg(
+        F.count(F.lit(1)).alias("n"), *lane_sums(
+            F.col("event_key"), values=[F.col(n) for n in lanes] if unique else None))
+    counted = per_port.groupBy(*keys).agg(F.count(F.lit(1)).alias("ports"),
+                                          F.sum("n").alias("n"), *lane_totals())
+    scans = choose([r.evaluator_key == "port_scan_v1" for r in rules])
+    seconds = choose([r.window_seconds for r in rules])
+    threshold = choose([r.threshold for r in rules])
+    found = counted.withColumn("observed_value", F.when(scans, F.col("ports")).otherwise(
+        F.col("n")).cast("long")).where(F.col("observed_value") >= threshold)
+    return found.select(
+        choose([r.rule_key for r in rules]).alias("rule_key"),
+        choose([r.version_id for r in rules]).alias("rule_version_id"),
+        choose([r.category for r in rules]).alias("category"),
+        choose([r.severity for r in rules]).alias("severity"), "bucket_start",
+        F.timestamp_micros(F.unix_micros("bucket_start") + seconds.cast("long") * 1_000_000)
+        .alias("bucket_end"), seconds.alias("window_seconds"), "sensor_id", "src_address",
+        "dst_address", "dst_port", "protocol", "observed_value",
+        threshold.cast("long").alias("threshold_value"), F.col("n").alias("evidence_count"),
+        lanes_to_digest(F.col("n")).alias("evidence_digest")).select(*MATCH_COLUMNS)
+
+
 def evaluate_rules(flows: DataFrame, rules, assets: DataFrame | None = None,
                    batch: DataFrame | None = None, unique: bool = False) -> DataFrame:
     """Matches of all active rules. With ``batch`` only the buckets it touches count.
 
-    A rule that leaves assets out needs the table of assets.
+    A rule that leaves assets out needs the table of assets. Rules that see the same flows share
+    one scan: those without exclusions and, with a batch, of the same window.
     """
-    out = None
+    shared: dict = {}
     for rule in sorted((r for r in rules if r.active), key=lambda r: r.rule_key):
         rule.check()
-        rows = flows if batch is None else touched_flows(flows, batch, rule.window_seconds)
-        rows = exclude_assets(rows, assets, rule.excluded_asset_ids)
-        part = EVALUATORS[rule.evaluator_key](rows, rule, unique).select(*MATCH_COLUMNS)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        window = None if batch is None else rule.window_seconds
+        shared.setdefault((window, tuple(rule.excluded_asset_ids)), []).append(rule)
+    if not shared:
         raise ValueError("no active rules")
+    out = None
+    for (window, excluded), group in shared.items():
+        rows = flows if window is None else touched_flows(flows, batch, window)
+        part = _in_one_pass(exclude_assets(rows, assets, excluded), group, unique)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
