@@ -26,10 +26,13 @@ def row_key(df: DataFrame) -> Column:
                      {"ignoreNullFields": "false"})
 
 
-def content_digest(df: DataFrame) -> DataFrame:
-    """Row count, column count and content digest of a table, duplicates included."""
-    return (set_digest(df, row_key(df), distinct=False)
-            .select(F.col("n").alias("row_count"),
+def content_digest(df: DataFrame, by=()) -> DataFrame:
+    """Row count, column count and content digest of a table, or of each of its parts.
+
+    Duplicates count.
+    """
+    return (set_digest(df, row_key(df), by, distinct=False)
+            .select(*by, F.col("n").alias("row_count"),
                     F.lit(len(df.columns)).cast("long").alias("column_count"), "digest"))
 
 

@@ -144,8 +144,20 @@ def write_features(df: DataFrame, path: str) -> DataFrame:
     return manifest
 
 
-def verify(df: DataFrame, manifest: DataFrame) -> DataFrame:
-    """One row: does the table still have the recorded counts and content?"""
-    now = content_digest(df)
-    same = [F.col(c) == manifest.select(c).scalar() for c in now.columns]
-    return now.select("row_count", (same[0] & same[1] & same[2]).alias("intact"))
+def verify(df: DataFrame, manifest: DataFrame, by=()) -> DataFrame:
+    """Does the table, or each of its parts, still have the recorded counts and content?
+
+    Parts on one side only are not intact.
+    """
+    by = list(by)
+    now = content_digest(df, by)
+    facts = [c for c in now.columns if c not in by]
+    if not by:
+        same = [F.col(c) == manifest.select(c).scalar() for c in facts]
+        return now.select("row_count", (same[0] & same[1] & same[2]).alias("intact"))
+    held = manifest.select(*by, *[F.col(c).alias(f"_{c}") for c in facts])
+    same = F.lit(True)
+    for c in facts:
+        same = same & F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False))
+    return now.join(held, by, "full_outer").select(
+        *by, F.coalesce("row_count", F.lit(0)).alias("row_count"), same.alias("intact"))

@@ -7,6 +7,7 @@ from flowguard.operators import digest as D, features
 from flowguard.plans import bindings as B
 from flowguard.plans.q_columns import QUOTED, Z_TIME
 from flowguard.plans.registry import query
+from flowguard.session import scratch
 from flowguard.sources import outcomes, readers, sinks
 
 
@@ -189,8 +190,9 @@ SELECT CASE WHEN event_id % 20 = 2 THEN 'empty_record' WHEN event_id % 20 = 6 TH
 FROM flows WHERE event_id % 20 BETWEEN 1 AND 6 GROUP BY 1""")
 def src_6_codes(spark, sf):
     tagged = readers.parse_flow_lines(flow_json_lines(spark, sf))
-    return outcomes.split_outcomes(tagged)[2].groupBy("error_code").agg(
-        F.count(F.lit(1)).alias("n"))
+    path = scratch(spark, "quarantine")
+    outcomes.write_quarantine(outcomes.split_outcomes(tagged)[2], path)
+    return spark.read.parquet(path).groupBy("error_code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk_2_flow_lines", f"""WITH {B.FLOWS}
@@ -205,11 +207,38 @@ def snk_2(spark, sf):
     return sinks.flow_lines(B.flows(spark, sf))
 
 
+@query("snk_1_feature_files", f"""WITH {B.FLOWS}
+SELECT event_key, t_us AS cutoff_us, (SELECT count(*) FROM flows) AS manifest_rows FROM flows""")
+def snk_1(spark, sf):
+    """The feature table written with its manifest, and read again."""
+    path = scratch(spark, "features")
+    rows = features.feature_table(B.flows(spark, sf))
+    manifest = features.write_features(rows, path).first()
+    return spark.read.parquet(path).select(
+        "event_key", B.micros("cutoff_time").alias("cutoff_us"),
+        F.lit(manifest["row_count"]).alias("manifest_rows"))
+
+
+@query("snk_2_flow_table", f"""WITH {B.FLOWS}
+SELECT event_key, CAST(event_time AS DATE) AS event_date FROM flows""")
+def snk_2_table(spark, sf):
+    """Flows written by event date and read again."""
+    path = scratch(spark, "flows")
+    sinks.write_flows(B.flows(spark, sf), path)
+    return spark.read.parquet(path).select("event_key", "event_date")
+
+
 @query("snk_5_table_integrity", """
-SELECT count(*) AS row_count, TRUE AS intact FROM lineitem""")
+SELECT l_returnflag, count(*) AS row_count, l_returnflag <> 'R' AS intact FROM lineitem
+GROUP BY l_returnflag""")
 def snk_5(spark, sf):
+    """Line items written in a version where one part was changed, against the manifest of before."""
+    path, by = scratch(spark, "integrity"), ["l_returnflag"]
     rows = B.table(spark, sf, "lineitem")
-    return features.verify(rows, D.content_digest(rows))
+    changed = F.when(F.col("l_returnflag") == "R", F.col("l_quantity") + 1).otherwise(
+        F.col("l_quantity"))
+    rows.withColumn("l_quantity", changed).write.parquet(path)
+    return features.verify(spark.read.parquet(path), D.content_digest(rows, by), by)
 
 
 @query("agg_19_set_digest", f"""WITH {B.FLOWS},

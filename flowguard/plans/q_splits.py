@@ -7,6 +7,8 @@ from flowguard.operators import encoders as E, metrics as M, splits as S
 from flowguard.operators.ordered import quantiles
 from flowguard.plans import bindings as B
 from flowguard.plans.registry import query
+from flowguard.session import scratch
+from flowguard.sources.sinks import write_targets
 
 
 @B.shared_plan
@@ -37,6 +39,15 @@ def win_12(spark, sf):
     return named.join(shares.select("user_id", F.col("_upto").alias("upto")), "user_id")
 
 
+@query("snk_3_target_files", f"""WITH {SPLIT}
+SELECT event_key, label, family, user_id AS group_id, partition FROM sf""")
+def snk_3(spark, sf):
+    """Targets written apart from the features, and read again."""
+    path = scratch(spark, "targets")
+    write_targets(split_flows(spark, sf).withColumn("group_id", F.col("user_id")), path)
+    return spark.read.parquet(path)
+
+
 @query("jn_15_partition_overlap", f"""WITH {SPLIT}
 SELECT sha256(dst_address || '|' || coalesce(dst_port, 0) || '|' || protocol) AS key,
   min(partition) AS first_partition, max(partition) AS last_partition, count(*) AS copies

@@ -1,6 +1,5 @@
 """The streaming paths run to the end over the given tables, as files that arrive."""
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -9,14 +8,10 @@ from flowguard.plans import bindings as B
 from flowguard.plans.registry import query
 from flowguard.plans.q_features import WINDOW_SQL, rounded, window_cte
 from flowguard.plans.q_ingest import flow_json_lines
-from flowguard.session import shared_dir
+from flowguard.session import scratch
 from flowguard.streaming import detect, features, ingest
 
 
-def scratch(spark, name):
-    return f"{shared_dir(spark)}/flowguard-{name}-{uuid.uuid4().hex[:12]}"
-
-
 def live_session(spark):
     """A session of its own for a stream, with as many state partitions as the caller's shuffles.
 

@@ -1,6 +1,7 @@
 """Session settings this library relies on."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,10 +47,17 @@ _OWN_DIRS: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own, or a new one where none is set."""
+    """The cluster's shared folder for checkpoints.
+
+    Where none is set, a session within one process gets a new folder of its own; on a cluster, where
+    executors have disks of their own, that is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="flowguard-")
@@ -57,6 +65,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/flowguard-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialised(df):
     """The same rows, stored once in the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
