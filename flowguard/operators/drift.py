@@ -91,17 +91,45 @@ def metric_snapshot(df: DataFrame, by, key: str, group: str, missing: Column, un
     return long_metrics(wide, K.METRIC_KEYS, by)
 
 
+# Which events a service level counts: their kind, and their status or reason.
+SLI_COUNTS = {
+    "api_request_count": ("api", None, None),
+    "api_error_count": ("api", "failed", None),
+    "queue_depth": ("queue", None, None),
+    "task_success_count": ("task", "succeeded", None),
+    "task_failure_count": ("task", "failed", None),
+    "task_not_evaluable_count": ("task", "not_evaluable", None),
+    "monitoring_stale_count": ("monitoring", None, "stale"),
+    "monitoring_hash_mismatch_count": ("monitoring", None, "hash_mismatch"),
+    "feedback_unresolved_count": ("feedback", "not_evaluable", None),
+    "artifact_integrity_failure_count": ("artifact", "failed", None),
+    "retention_cleanup_success_count": ("retention", "succeeded", None),
+    "retention_cleanup_failure_count": ("retention", "failed", None),
+    "backup_restore_success_count": ("backup", "succeeded", None),
+    "backup_restore_failure_count": ("backup", "failed", None),
+    "readiness_failure_count": ("readiness", "failed", None),
+}
+
+
 def sli_snapshot(events: DataFrame, window_seconds: int, dims=("component",)) -> DataFrame:
-    """Service levels per window and dimensions: counts, failures and exact latencies."""
+    """Service levels per window and dimensions: counts, failures and exact latencies.
+
+    Events have a kind (api, queue, task, monitoring, feedback, artifact, retention, backup,
+    readiness), a status, a reason, a duration (of api events) and an age in seconds (of what waits
+    in a queue). Quantiles of a window without such events are null.
+    """
     from flowguard.functions.flow_columns import bucket
     rows = events.withColumn("window_start", bucket(F.col("occurred_at"), window_seconds))
     by = ["window_start", *dims]
-    counts = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("api_request_count"),
-        F.count_if(F.col("status") == "failed").alias("api_error_count"),
-        F.count_if(F.col("status") == "succeeded").alias("task_success_count"),
-        F.count_if(F.col("status") == "failed").alias("task_failure_count"),
-        F.count_if(F.col("status") == "not_evaluable").alias("task_not_evaluable_count"))
-    tails = quantiles(rows, F.col("duration_ms"),
-                      {"api_latency_ms_p50": 0.5, "api_latency_ms_p95": 0.95}, by)
-    return counts.join(tails, by)
+
+    def counted(kind, status, reason):
+        hit = F.col("kind") == kind
+        for name, value in (("status", status), ("reason", reason)):
+            hit = hit if value is None else hit & (F.col(name) == value)
+        return F.count_if(hit)
+    counts = rows.groupBy(*by).agg(*[counted(*v).alias(k) for k, v in SLI_COUNTS.items()])
+    latency = quantiles(rows.where("kind = 'api'"), F.col("duration_ms"),
+                        {"api_latency_ms_p50": 0.5, "api_latency_ms_p95": 0.95}, by)
+    age = quantiles(rows.where("kind = 'queue'"), F.col("age_seconds"),
+                    {"queue_age_seconds_p95": 0.95}, by)
+    return counts.join(latency, by, "left").join(age, by, "left")

@@ -117,27 +117,47 @@ def prj_20(spark, sf):
 WIDTH = 30 * B.DAY
 
 
+KINDS = ("api", "queue", "task", "monitoring", "feedback", "artifact", "retention", "backup",
+         "readiness")
+
+
+def sli_count_sql():
+    out = []
+    for key, (kind, status, reason) in D.SLI_COUNTS.items():
+        hit = f"kind = '{kind}'" + (f" AND status = '{status}'" if status else "") + (
+            f" AND reason = '{reason}'" if reason else "")
+        out.append(f"count(*) FILTER (WHERE {hit}) AS {key}")
+    return ", ".join(out)
+
+
 @query("agg_27_sli_snapshot", f"""
 WITH e AS (SELECT (epoch_us(o_orderdate) // {WIDTH * 1000000}) * {WIDTH * 1000000} AS window_us,
-  o_orderpriority AS component, o_totalprice AS ms, CASE o_orderstatus WHEN 'F' THEN 'succeeded'
-    WHEN 'P' THEN 'failed' ELSE 'not_evaluable' END AS status FROM orders)
-SELECT window_us, component, count(*) AS api_request_count,
-  count(*) FILTER (WHERE status = 'failed') AS api_error_count,
-  count(*) FILTER (WHERE status = 'not_evaluable') AS task_not_evaluable_count,
-  round(quantile_cont(ms, 0.5), 4) AS api_latency_ms_p50,
-  round(quantile_cont(ms, 0.95), 4) AS api_latency_ms_p95 FROM e GROUP BY 1, 2""")
+  o_orderpriority AS component, o_totalprice AS ms, o_custkey % 600 AS age,
+  list_element([{', '.join(f"'{k}'" for k in KINDS)}], CAST(o_orderkey % 9 AS INT) + 1) AS kind,
+  CASE o_custkey % 3 WHEN 0 THEN 'stale' WHEN 1 THEN 'hash_mismatch' ELSE 'none' END AS reason,
+  CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'failed' ELSE 'not_evaluable' END
+    AS status FROM orders)
+SELECT window_us, component, {sli_count_sql()},
+  round(quantile_cont(ms, 0.5) FILTER (WHERE kind = 'api'), 4) AS api_latency_ms_p50,
+  round(quantile_cont(ms, 0.95) FILTER (WHERE kind = 'api'), 4) AS api_latency_ms_p95,
+  round(quantile_cont(age, 0.95) FILTER (WHERE kind = 'queue'), 4) AS queue_age_seconds_p95
+FROM e GROUP BY 1, 2""")
 def agg_27(spark, sf):
-    s = F.col("o_orderstatus")
+    s, reason = F.col("o_orderstatus"), F.col("o_custkey") % 3
     events = B.table(spark, sf, "orders").select(
         F.col("o_orderdate").alias("occurred_at"), F.col("o_orderpriority").alias("component"),
-        F.col("o_totalprice").alias("duration_ms"),
+        F.col("o_totalprice").alias("duration_ms"), (F.col("o_custkey") % 600).cast("double")
+        .alias("age_seconds"),
+        F.get(F.array(*[F.lit(k) for k in KINDS]), (F.col("o_orderkey") % 9).cast("int"))
+        .alias("kind"),
+        F.when(reason == 0, "stale").when(reason == 1, "hash_mismatch").otherwise("none")
+        .alias("reason"),
         F.when(s == "F", "succeeded").when(s == "P", "failed").otherwise("not_evaluable")
         .alias("status"))
+    tails = ("api_latency_ms_p50", "api_latency_ms_p95", "queue_age_seconds_p95")
     return D.sli_snapshot(events, WIDTH).select(
-        B.micros("window_start").alias("window_us"), "component", "api_request_count",
-        "api_error_count", "task_not_evaluable_count",
-        F.round("api_latency_ms_p50", 4).alias("api_latency_ms_p50"),
-        F.round("api_latency_ms_p95", 4).alias("api_latency_ms_p95"))
+        B.micros("window_start").alias("window_us"), "component", *D.SLI_COUNTS,
+        *[F.round(c, 4).alias(c) for c in tails])
 
 
 # --- counts and reports ------------------------------------------------------------
