@@ -292,12 +292,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents that represent their group, with all their columns, each id once.
 
-    Rows without an id are all kept.
+    Of rows that share an id, the one with the smallest hash of its columns (maps aside) stays. Rows
+    without an id are all kept.
     """
     kept = (near_duplicates(docs, n, percent).filter("kept AND doc_id IS NOT NULL")
             .select(F.col("doc_id").alias("_kept_id")).distinct())
-    rank = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*hashed))
+    rank = "_rank"
+    while rank in docs.columns:
+        rank += "_"
     chosen = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
-    once = (chosen.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1")
-            .select(*docs.columns))
+    once = (chosen.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1)
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
     return once.unionAll(docs.filter(F.col("doc_id").isNull()))

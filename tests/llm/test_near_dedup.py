@@ -53,12 +53,14 @@ def test_groups_equal_brute_force(make_docs, monkeypatch):
 
 def test_null_ids_repeats_and_empty_tables(make_docs):
     text = " ".join(f"w{i}" for i in range(20))
-    docs = make_docs([(None, text), (None, text), (5, text), (5, text), (3, text)])
+    docs = make_docs([(None, text), (None, text), (5, text), (5, text), (3, text), (3, text)],
+                     clash=True)
     got = sorted((r.doc_id or -1, r.component_id, r.kept)
                  for r in N.near_duplicates(docs).collect())
-    assert got == [(-1, None, True), (-1, None, True), (3, 3, True), (5, 3, False), (5, 3, False)]
+    assert got == [(-1, None, True), (-1, None, True), (3, 3, True), (3, 3, True), (5, 3, False),
+                   (5, 3, False)]
     kept = N.keep_one_of_each(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {r._rank for r in kept.collect()} == {"x"}
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 3]
     assert N.near_duplicates(docs.limit(0)).collect() == []
 
