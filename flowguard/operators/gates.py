@@ -36,6 +36,20 @@ def critical_target(requests: DataFrame, assets: DataFrame) -> DataFrame:
     return with_critical(requests, assets).where("target_is_critical")
 
 
+def look_up(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that many rows don't have.
+
+    Rows without it are spread over all tasks by a salt; rows with it, and the other side, have the
+    salt nought.
+    """
+    none = F.col(key).isNull()
+    salted = rows.withColumn("_salt", F.when(none, F.pmod(
+        F.xxhash64("request_id"), F.lit(4096))).otherwise(F.lit(0)))
+    # Not a literal, which the optimizer would take out of the join's keys.
+    nought = F.pmod(F.xxhash64(key), F.lit(1))
+    return salted.join(side.withColumn("_salt", nought), [key, "_salt"], "left").drop("_salt")
+
+
 def with_evidence(requests: DataFrame, alerts: DataFrame, incidents: DataFrame,
                   members: DataFrame) -> DataFrame:
     """Adds: evidence present, corroborated by a deterministic source, model only.
@@ -50,7 +64,7 @@ def with_evidence(requests: DataFrame, alerts: DataFrame, incidents: DataFrame,
                           "incident_id", "left")
                     .select("incident_id", F.coalesce("_sure", F.lit(False))
                             .alias("_incident_sure")))
-    rows = requests.join(per_alert, "alert_id", "left").join(per_incident, "incident_id", "left")
+    rows = look_up(look_up(requests, per_alert, "alert_id"), per_incident, "incident_id")
     no = F.lit(False)
     present = F.col("_alert_sure").isNotNull() | F.col("_incident_sure").isNotNull()
     return (rows.withColumn("evidence_present", present)
@@ -70,7 +84,7 @@ def with_intelligence(requests: DataFrame, indicators: DataFrame, now) -> DataFr
     """Adds: an indicator is used, it is the only proof, it is fresh."""
     side = indicators.select("indicator_id", F.col("expires_at").alias("_until"))
     used = F.col("_until").isNotNull()
-    return (requests.join(side, "indicator_id", "left")
+    return (look_up(requests, side, "indicator_id")
             .withColumn("intelligence_used", used)
             .withColumn("intelligence_sole", used & ~F.col("corroborated"))
             .withColumn("intelligence_fresh", F.coalesce(F.col("_until") > F.lit(now),

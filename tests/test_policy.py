@@ -176,3 +176,18 @@ def test_contracts_and_retention(spark):
     assert kept["alerts"].count() == 1 and kept["signatures"].count() == 0
     assert {r["evidence_id"]: r["signal_id"] for r in kept["evidence"].collect()} == {1: None, 2: 11}
     assert [r["run_id"] for r in kept["runs"].collect()] == [6]
+
+
+def test_rows_without_a_key_are_spread(spark):
+    rows = spark.range(2000).selectExpr("id AS request_id", "IF(id < 5, id, NULL) AS alert_id")
+    side = spark.range(3).selectExpr("id AS alert_id", "id * 2 AS twice")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = G.look_up(rows, side.hint("merge"), "alert_id")
+        held = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        found = {r["request_id"]: r["twice"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in held) < 1000 and len(held) > 2
+    assert len(found) == 2000 and {k: v for k, v in found.items() if v is not None} == {
+        0: 0, 1: 2, 2: 4}
