@@ -145,25 +145,24 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(doc_id, first, last): ranges of windows that also start earlier; ranges may overlap."""
     read = texts(docs)
     seeds = anchors(docs, size, gram)
-    again = seeds.groupBy("anchor").count().filter("count > 1").select("anchor")
+    again = cut(seeds.groupBy("anchor").count().filter("count > 1").select("anchor"))
     seeds = cut(seeds.join(again, "anchor"))
     classes = seeds.groupBy("anchor", "span").agg(
-        F.min(F.struct("doc_id", "first", "n")).alias("one"), F.count("*").alias("members"))
-    later = (seeds.join(classes.filter("members > 1").select("anchor", "span", "one"),
-                        ["anchor", "span"])
-             .filter("doc_id <> one.doc_id OR first <> one.first")
+        F.min(F.struct("doc_id", "first", "n")).alias("one"))
+    # Whatever is not the first of its class: joined by place, so that no class is a hot key.
+    later = (seeds.select("doc_id", "first", "n")
+             .join(classes.select("one.doc_id", "one.first"), ["doc_id", "first"], "left_anti")
              .select("doc_id", "first", (F.col("first") + F.col("n") - 1).alias("last")))
     several = classes.groupBy("anchor").count().filter("count > 1").select("anchor")
-    asked = (classes.join(several, "anchor").select("one.*").distinct()
-             .groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("a"))
+    ranges = classes.join(several, "anchor").select("one.*").distinct()
+    asked = (ranges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("a"))
              .select("doc_id", F.col("a.first").alias("firsts"), F.col("a.n").alias("ns")))
-    windows = cut(_windows(read.join(asked, "doc_id", "left")
-                           .select("doc_id", "text", "firsts", "ns"), size))
-    firsts = (windows.groupBy("w0", "w1").agg(F.min(F.struct("doc_id", "start")).alias("one"),
-                                              F.count("*").alias("members"))
-              .filter("members > 1").select("w0", "w1", "one"))
-    single = (windows.join(firsts, ["w0", "w1"])
-              .filter("doc_id <> one.doc_id OR start <> one.start")
+    windows = _windows(read.join(asked, "doc_id", "left")
+                       .select("doc_id", "text", "firsts", "ns"), size)
+    firsts = windows.groupBy("w0", "w1").agg(F.min(F.struct("doc_id", "start")).alias("one"))
+    places = ranges.select("doc_id", F.explode(F.sequence(
+        F.col("first"), F.col("first") + F.col("n") - 1)).alias("start"))
+    single = (places.join(firsts.select("one.*"), ["doc_id", "start"], "left_anti")
               .select("doc_id", F.col("start").alias("first"), F.col("start").alias("last")))
     return later.unionAll(single)
 

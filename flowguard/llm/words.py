@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of words; those seen are looked up, up to ``remember`` of them."""
 
-    def __init__(self, fold_case: bool = False, remember: int = 400_000):
+    def __init__(self, fold_case: bool = False, remember: int = 200_000):
         self.seen: dict[str, int] = {}
         self.hashes = np.zeros(0, np.uint64)
         self.fold_case, self.remember = fold_case, remember
