@@ -179,7 +179,7 @@ class PartitionEncoder:
     What is remembered is bounded by ``remember`` pieces, after which it starts anew.
     """
 
-    def __init__(self, merges: Merges, remember: int = 500_000):
+    def __init__(self, merges: Merges, remember: int = 250_000):
         self.merges, self.remember = merges, remember
         self.pieces = regex.compile(PIECES)
         self.inner = regex.compile(INNER_BLANK)

@@ -134,7 +134,8 @@ def verify_stars(edges: DataFrame, read: DataFrame, n: int, percent: int) -> Dat
     centre = read.select(F.col("doc_id").alias("centre"), F.col("text").alias("centre_text"))
 
     def run(batches):
-        for batch in batches:
+        # A few hundred texts at a time are taken out of a batch.
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             forest, last, own = Forest(), None, frozenset()
             for c, v, ct, vt in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if c != last:

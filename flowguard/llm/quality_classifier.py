@@ -45,7 +45,7 @@ def index_vectors() -> np.ndarray:
 class Bucketer:
     """Buckets of tokens; those seen are looked up, up to ``remember`` of them."""
 
-    def __init__(self, remember: int = 400_000):
+    def __init__(self, remember: int = 200_000):
         self.seen: dict[str, int] = {}
         self.remember = remember
 

@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     return fit(labelled, float(shares["share"] or 0.0), groups)
 
 
-def _scorer(spark, model: ToxicityModel, remember: int = 300_000):
+def _scorer(spark, model: ToxicityModel, remember: int = 150_000):
     """A function from texts to scores; the model has one number per selected feature."""
     shared = spark.sparkContext.broadcast(model)
 
