@@ -20,7 +20,8 @@ KINDS = {
     "xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b)),
     "max": (F.max, F.greatest),
     "min": (F.min, F.least),
-    "last": (lambda c: F.last(c, ignorenulls=True), lambda a, b: F.coalesce(b, a)),
+    "first": (lambda c: F.first(c, ignorenulls=True), lambda a, b: a),
+    "last": (lambda c: F.last(c, ignorenulls=True), lambda a, b: b),
 }
 
 
@@ -43,28 +44,36 @@ def edge_keys(rows: DataFrame, keys, block: str = "_block") -> DataFrame:
             .select(*[F.col("_lo")[k].alias(f"_k{i}") for i, k in enumerate(keys)]).distinct())
 
 
-def running(rows: DataFrame, keys, order, values: dict, block: str = "_block") -> DataFrame:
+def running(rows: DataFrame, keys, order, values: dict, block: str = "_block",
+            backward: bool = False, exclusive: bool = False) -> DataFrame:
     """Adds, per name, the running total of a column over its key up to and including the row.
 
     ``rows`` come from :func:`in_blocks` with the same keys and order; ``values`` maps new names to
-    (kind, column), the kinds being those of ``KINDS``. Rows that tie in the order must be equal in all
-    that matters, as their order among themselves is open.
+    (kind, column), the kinds being those of ``KINDS``. ``backward`` totals from the last row of a
+    key to the first; ``exclusive`` leaves the row itself out. Rows that tie in the order must be
+    equal in all that matters, as their order among themselves is open.
     """
     names = list(values)
     key_names = [f"_k{i}" for i in range(len(keys))]
-    inside = W.partitionBy(block, *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+
+    def along(columns):
+        return [F.col(c).desc() if backward else F.col(c).asc() for c in columns]
+    inside = W.partitionBy(block, *keys).orderBy(*along(order)).rowsBetween(
+        W.unboundedPreceding, -1 if exclusive else 0)
     local = rows.select("*", *[KINDS[kind][0](c).over(inside).alias(n)
                                for n, (kind, c) in values.items()])
     edges = edge_keys(rows, keys, block)
     split = rows.join(F.broadcast(edges), _same(list(keys), key_names), "left_semi")
-    if any(kind == "last" for kind, _ in values.values()):
-        newest = F.struct(*order)
-        parts = [F.max_by(c, F.when(c.isNotNull(), newest)).alias(f"_t_{n}") if kind == "last"
-                 else KINDS[kind][0](c).alias(f"_t_{n}") for n, (kind, c) in values.items()]
-    else:
-        parts = [KINDS[kind][0](c).alias(f"_t_{n}") for n, (kind, c) in values.items()]
-    totals = split.groupBy(block, *keys).agg(*parts)
-    before = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    place = F.struct(*order)
+
+    def whole(kind, c):
+        if kind not in ("first", "last"):
+            return KINDS[kind][0](c)
+        latest = (kind == "last") != backward
+        return (F.max_by if latest else F.min_by)(c, F.when(c.isNotNull(), place))
+    totals = split.groupBy(block, *keys).agg(
+        *[whole(kind, c).alias(f"_t_{n}") for n, (kind, c) in values.items()])
+    before = W.partitionBy(*keys).orderBy(*along([block])).rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
         F.col(block).alias("_cb"), *[F.col(k).alias(n) for k, n in zip(keys, key_names)],
         *[KINDS[kind][0](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}")

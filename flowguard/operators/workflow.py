@@ -1,18 +1,25 @@
 """State machines folded over tables of requested transitions.
 
 A transition says which state it expects and which it wants. It takes effect when it
-is legal in itself and the expected state is the current one. Such a step is a
-function from state to state, and functions can be chained: each chunk of an entity's
-history is folded once for every state its steps expect, chunks are chained, and only
-then the steps of a chunk are judged. No entity's whole history is gathered; a chunk
-holds the transitions of one entity within ``chunk_seconds``.
+is legal in itself and the expected state is the current one. Such a step is a function from
+state to state, and functions can be chained. An entity's steps are ranked and cut into chunks of a
+fixed number; a chunk is folded into a small map, from each state that its steps expect to the state
+it ends in. Chunks of chunks are chained to maps in the same way, level by level, until an entity is
+one chunk. Then states are handed down again, from the start of an entity to that of every chunk,
+and the steps are judged chunk by chunk. So no history is gathered, whatever its length: a group
+holds ``chunk`` steps or maps, and an entity with most of the rows is as many tasks as it has chunks.
+The size of a map is the number of states its steps expect.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowguard import constants as K
+from flowguard.operators.blocks import in_blocks, running
+from flowguard.session import materialised
 
 ABSENT = ""
+#: Steps of a chunk, and steps of one entity up to which one task ranks them.
+CHUNK, CROWD = 256, 500_000
 
 
 def legal(machine: dict, current: Column, target: Column) -> Column:
@@ -43,65 +50,99 @@ def check_transitions(events: DataFrame, machine: dict, dispositions: bool = Tru
         F.col("disposition") if dispositions else None))
 
 
-def fold_steps(steps: DataFrame, entity: str, start: Column, chunk_seconds: int = 3600
-               ) -> DataFrame:
-    """Judge steps in order. Columns in: entity, at, seq, step_id, expected, target, legal.
+def _ranked(steps: DataFrame, entity: str, crowd: int) -> tuple[DataFrame, int]:
+    """Steps with their rank ``_i`` within the entity from 0, and the most steps of an entity."""
+    most = steps.groupBy(entity).count().agg(F.max("count")).first()[0] or 0
+    order = ["at", "seq", "step_id"]
+    if most <= crowd:
+        rank = F.row_number().over(W.partitionBy(entity).orderBy(*order))
+        return steps.withColumn("_i", (rank - 1).cast("long")), most
+    placed = running(in_blocks(steps, [entity], order), [entity], order,
+                     {"_i": ("sum", F.lit(1).cast("long"))})
+    return placed.withColumn("_i", F.col("_i") - 1).drop("_block"), most
 
-    Rows out: the step, ``before`` (state it met) and ``accepted``.
+
+def _parent(chunk: int) -> Column:
+    return F.floor(F.col("_i") / chunk).alias("_up")
+
+
+def _gathered(rows: DataFrame, entity: str, chunk: int, item: Column) -> DataFrame:
+    """Chunks (entity, _up, _items): up to ``chunk`` items in order of their rank."""
+    return rows.groupBy(entity, _parent(chunk)).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), item.alias("v"))))
+        .alias("_items")).withColumn("_items", F.col("_items.v"))
+
+
+def _step(state: Column, s: Column) -> Column:
+    return F.when(s["legal"] & (s["expected"] == state), s["target"]).otherwise(state)
+
+
+def _map(state: Column, effect: Column) -> Column:
+    """The state after a chunk whose map is a list of (key, value)."""
+    hit = F.filter(effect, lambda e: e["key"] == state)
+    return F.coalesce(F.get(hit, F.lit(0))["value"], state)
+
+
+def _before(items: Column, start: Column, apply) -> Column:
+    """The state that each item of a chunk meets."""
+    none = F.array().cast("array<string>")
+    return F.aggregate(
+        items, F.struct(start.alias("state"), none.alias("seen")),
+        lambda acc, x: F.struct(apply(acc["state"], x).alias("state"),
+                                F.array_append(acc["seen"], acc["state"]).alias("seen")),
+        lambda acc: acc["seen"])
+
+
+def fold_steps(steps: DataFrame, entity: str, start: Column, chunk: int = CHUNK,
+               crowd: int = CROWD) -> DataFrame:
+    """Judge steps in the order (at, seq, step_id).
+
+    Columns in: the entity, at, seq, step_id (unique), expected, target, legal.
+    Rows out: the step, ``before`` (state it met) and ``accepted``. The number of levels is set when
+    this is called, by a count per entity.
     """
-    width = F.lit(int(chunk_seconds) * 1_000_000)
-    t = F.unix_micros("at")
-    rows = steps.select(entity, "step_id", (t - F.pmod(t, width)).alias("_chunk"),
-                        F.struct("at", "seq", "step_id", "expected", "target", "legal")
-                        .alias("_s"))
-    chunks = (rows.groupBy(entity, "_chunk")
-              .agg(F.array_sort(F.collect_list("_s")).alias("_steps")))
-
-    def applied(state: Column, s: Column) -> Column:
-        return F.when(s["legal"] & (s["expected"] == state), s["target"]).otherwise(state)
-
-    ends = F.transform(
-        F.array_distinct(F.transform("_steps", lambda s: s["expected"])),
-        lambda e: F.struct(e.alias("key"), F.aggregate("_steps", e, applied).alias("value")))
-    effect = chunks.select(entity, "_chunk", F.map_from_entries(ends).alias("_effect"))
-    # One small map per chunk; chaining them gives the state each chunk starts with.
-    chained = effect.groupBy(entity).agg(
-        F.array_sort(F.collect_list(F.struct("_chunk", F.map_entries("_effect").alias("_e"))))
-        .alias("_all"))
-    none = F.array().cast("array<struct<chunk:bigint,state:string>>")
-
-    def link(acc: Column, c: Column) -> Column:
-        state = acc["state"]
-        hit = F.filter(c["_e"], lambda e: e["key"] == state)
-        return F.struct(
-            F.coalesce(F.get(hit, F.lit(0))["value"], state).alias("state"),
-            F.array_append(acc["starts"], F.struct(c["_chunk"].alias("chunk"),
-                                                   state.alias("state"))).alias("starts"))
-
-    starts = chained.select(entity, F.explode(F.aggregate(
-        "_all", F.struct(start.alias("state"), none.alias("starts")), link,
-        lambda acc: acc["starts"])).alias("p")).select(
-        entity, F.col("p.chunk").alias("_chunk"), F.col("p.state").alias("_start"))
-
-    verdicts = F.array().cast("array<struct<step_id:string,before:string,accepted:boolean>>")
-
-    def judge(acc: Column, s: Column) -> Column:
-        state = acc["state"]
-        good = s["legal"] & (s["expected"] == state)
-        return F.struct(applied(state, s).alias("state"), F.array_append(
-            acc["out"], F.struct(s["step_id"].alias("step_id"), state.alias("before"),
-                                 good.alias("accepted"))).alias("out"))
-
-    judged = (chunks.join(starts, [entity, "_chunk"])
-              .select(entity, F.explode(F.aggregate(
-                  "_steps", F.struct(F.col("_start").alias("state"), verdicts.alias("out")),
-                  judge, lambda acc: acc["out"])).alias("v"))
-              .select(entity, "v.step_id", "v.before", "v.accepted"))
-    return steps.join(judged, [entity, "step_id"])
+    placed, most = _ranked(steps, entity, crowd)
+    leaves = _gathered(placed, entity, chunk, F.struct(*steps.columns))
+    sizes = [-(-most // chunk)]
+    while sizes[-1] > chunk:
+        sizes.append(-(-sizes[-1] // chunk))
+    if most > chunk:
+        leaves = materialised(leaves)
+
+    # Upwards: the map of every chunk, then of every chunk of chunks.
+    levels, rows = [], leaves
+    for level in range(len(sizes) if most > chunk else 0):
+        apply, keys = (_map, lambda e: e["key"]) if level else (_step, None)
+        if level:
+            wanted = F.array_distinct(F.flatten(F.transform(
+                "_items", lambda e: F.transform(e, keys))))
+        else:
+            wanted = F.array_distinct(F.transform("_items", lambda s: s["expected"]))
+        effect = F.transform(F.filter(wanted, lambda e: e.isNotNull()), lambda e: F.struct(
+            e.alias("key"), F.aggregate("_items", e, apply).alias("value")))
+        effects = rows.select(entity, F.col("_up").alias("_i"), effect.alias("_effect"))
+        rows = _gathered(effects, entity, chunk, F.col("_effect"))
+        if sizes[level] > chunk:
+            rows = materialised(rows)
+        levels.append(rows)
+
+    # Downwards: the state that each chunk starts with.
+    starts = None
+    for rows in reversed(levels):
+        if starts is not None:
+            rows = rows.join(starts, [entity, "_up"])
+        states = _before(F.col("_items"), start if starts is None else F.col("_start"), _map)
+        starts = rows.select(entity, "_up", F.posexplode(states).alias("_p", "_next")).select(
+            entity, (F.col("_up") * chunk + F.col("_p")).alias("_up"), F.col("_next").alias("_start"))
+    judged = leaves if starts is None else leaves.join(starts, [entity, "_up"])
+    states = _before(F.col("_items"), start if starts is None else F.col("_start"), _step)
+    pairs = F.arrays_zip(F.col("_items").alias("s"), states.alias("before"))
+    return (judged.select(F.explode(pairs).alias("p")).select("p.s.*", "p.before")
+            .withColumn("accepted", F.col("legal") & (F.col("expected") == F.col("before"))))
 
 
 def fold_transitions(events: DataFrame, machine: dict, initial: str, entity: str = "entity_id",
-                     dispositions: bool = True, chunk_seconds: int = 3600) -> DataFrame:
+                     dispositions: bool = True, chunk: int = CHUNK) -> DataFrame:
     """All requested transitions of workflow entities, accepted or refused with a reason.
 
     Columns in: entity, at, seq, step_id, current (expected state), target, disposition.
@@ -110,7 +151,7 @@ def fold_transitions(events: DataFrame, machine: dict, initial: str, entity: str
                              F.col("disposition") if dispositions else None)
     steps = events.withColumn("_error", error).withColumn("expected", F.col("current")) \
         .withColumn("legal", F.col("_error").isNull())
-    done = fold_steps(steps, entity, F.lit(initial), chunk_seconds)
+    done = fold_steps(steps, entity, F.lit(initial), chunk)
     reason = (F.when(F.col("before") != F.col("current"), "state_conflict")
               .otherwise(F.col("_error")))
     return done.select(*events.columns, "before", "accepted", reason.alias("error"))
@@ -139,7 +180,7 @@ def reviewed_versions(events: DataFrame) -> DataFrame:
                     .alias("lifecycle")))
 
 
-def fold_rule_lifecycle(events: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def fold_rule_lifecycle(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Activation history of rules.
 
     Columns in: rule_key, at, seq, step_id, kind (review, activate, deactivate), version,
@@ -159,7 +200,7 @@ def fold_rule_lifecycle(events: DataFrame, chunk_seconds: int = 3600) -> DataFra
         F.when(off, F.lit(ABSENT)).otherwise(text("version")).alias("target"),
         F.when(off, F.col("expected_version").isNotNull())
         .otherwise(F.coalesce(approved, F.lit(False))).alias("legal"))
-    done = fold_steps(steps, "rule_key", F.lit(ABSENT), chunk_seconds)
+    done = fold_steps(steps, "rule_key", F.lit(ABSENT), chunk)
     was = F.nullif(F.col("before"), F.lit(ABSENT)).cast("int")
     action = (F.when(~F.col("accepted"), F.when(F.col("before") != F.col("expected"),
                                                 "active_rule_changed")

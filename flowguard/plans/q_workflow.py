@@ -68,7 +68,7 @@ def _machine(key, steps, machine, initial, dispositions=True):
 SELECT CAST(event_id AS VARCHAR) AS step_id, before, accepted, error FROM fold WHERE rn > 0""")
     def run(spark, sf):
         return WF.fold_transitions(step_events(spark, sf, steps, dispositions), machine, initial,
-                                   dispositions=dispositions, chunk_seconds=B.DAY) \
+                                   dispositions=dispositions) \
             .select("step_id", "before", "accepted", "error")
 
     @query(f"{key}_final", f"""WITH {base}
@@ -77,7 +77,7 @@ SELECT user_id AS entity_id, arg_max(state, rn) AS state,
   count(*) FILTER (WHERE NOT accepted) AS refused_steps FROM fold GROUP BY user_id""")
     def final(spark, sf):
         folded = WF.fold_transitions(step_events(spark, sf, steps, dispositions), machine,
-                                     initial, dispositions=dispositions, chunk_seconds=B.DAY)
+                                     initial, dispositions=dispositions)
         return WF.final_states(folded, initial).drop("disposition")
     return run, final
 
@@ -149,7 +149,7 @@ fold AS (
 SELECT rule_key, CAST(event_id AS VARCHAR) AS step_id, was AS previous_version, action
 FROM fold WHERE rn > 0""")
 def fld_4(spark, sf):
-    return WF.fold_rule_lifecycle(rule_events(spark, sf), B.DAY).select(
+    return WF.fold_rule_lifecycle(rule_events(spark, sf)).select(
         "rule_key", "step_id", F.col("previous_version").cast("long").alias("previous_version"),
         "action")
 

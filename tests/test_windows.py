@@ -4,7 +4,7 @@ import pytest
 
 from flowguard import constants as K
 from flowguard.operators import features as FT
-from flowguard.operators.windows import window_features
+from flowguard.operators.windows import busy_sources, window_features
 
 FAIL = set(K.FAILURE_STATES)
 
@@ -28,8 +28,10 @@ def brute(rows, w):
     return out
 
 
-@pytest.mark.parametrize("slice_seconds", [300, 1200, 100_000])
-def test_against_brute_force(make_flows, slice_seconds):
+@pytest.mark.parametrize("slice_seconds, crowd", [(300, 10**6), (1200, 10**6), (100_000, 10**6),
+                                                  (300, 30), (100_000, 100)])
+def test_against_brute_force(spark, make_flows, slice_seconds, crowd):
+    """The same features whether sources are worked on in slices or, some or all, in blocks."""
     rng = random.Random(slice_seconds)
     rows = [dict(key=f"{rng.getrandbits(200):064x}", second=rng.randint(0, 3000),
                  sensor_id=rng.choice([None, "a"]), src_address=rng.choice(["192.0.2.1"] * 3
@@ -39,7 +41,12 @@ def test_against_brute_force(make_flows, slice_seconds):
                  packet_count=rng.randint(0, 9), byte_count=rng.randint(0, 99),
                  duration_ms=rng.randint(0, 50), state=rng.choice(["REJ", "SF", None]))
             for _ in range(500)]
-    got = window_features(make_flows(rows), (60, 300), slice_seconds).collect()
+    flows = make_flows(rows)
+    busy = busy_sources(flows, 300, slice_seconds, crowd)
+    assert bool(busy) == (crowd < 10**6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", crowd == 10**6)
+    got = window_features(flows, (60, 300), slice_seconds, crowd=crowd).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == 500
     for w in (60, 300):
         want = brute(rows, w)
