@@ -20,6 +20,7 @@ they fill, so memory holds one slice.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 from itertools import chain
@@ -122,41 +123,86 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[Rul
 class Words:
     """Token ids of words that white space parts; those seen are looked up.
 
-    The split takes blanks and line breaks alone, which the tokenizer drops and never joins over;
-    what stands between them goes through the tokenizer whole.
+    The split takes blanks and line breaks alone, which the tokenizer drops and never joins over. A word
+    of plain letters with marks behind it is looked up as two pieces, the letters lower-cased, since the
+    tokenizer does so too; all other words go through the tokenizer whole.
     """
 
-    def __init__(self, spec: str, remember: int = 200_000):
+    #: Marks that never join a letter before them, and texts of letters whose lower case and normal
+    #: form are single letters.
+    MARKS = ".,;:!?#$%&*"
+    LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+
+    def __init__(self, spec: str, remember: int = 500_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(1 + max(vocab.values(), default=0), bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.remember = remember
         self._forget()
 
     def _forget(self) -> None:
         self.seen: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.pieces: dict[str, int] = {"": 0}
+        self.parts = np.zeros((0, 2), np.int64)
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def _learn(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.pieces.update(zip(names, range(len(self.pieces), len(self.pieces) + len(names))))
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def _words(self, fresh: list[str]) -> None:
+        heads, tails, letters, known = [], [], set(), self.pieces
+        for w in fresh:
+            head = w.rstrip(self.MARKS)
+            if head.isalpha() and (head.isascii() or self.LATIN(head)):
+                tails.append(w[len(head):])
+                head = head.lower()
+                if head not in known:
+                    letters.add(head)
+            else:
+                head = w
+                tails.append("")
+            heads.append(head)
+        # Words of letters are one piece each, whose last token and no other ends a word.
+        if letters:
+            letters = list(letters)
+            ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            self._learn(letters, ids, np.diff(np.r_[0, ends]))
+        rest = [p for p in {*heads, *tails} if p not in known]
+        if rest:
+            made = [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            self._learn(rest, np.fromiter(chain.from_iterable(made), np.int64, int(sizes.sum())), sizes)
+        self.seen.update(zip(fresh, range(len(self.parts), len(self.parts) + len(fresh))))
+        pairs = [np.fromiter(map(known.__getitem__, p), np.int64, len(fresh)) for p in (heads, tails)]
+        self.parts = np.concatenate([self.parts, np.stack(pairs, axis=1)])
 
     def encode(self, parts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if len(self.seen) > self.remember:
             self._forget()
         split = [p.replace("\n", " ").split(" ") for p in parts]
-        fresh = list(set(chain.from_iterable(split)).difference(self.seen))
+        fresh = set()
+        for words in split:
+            fresh.update(words)
+        fresh = list(fresh.difference(self.seen))
         if fresh:
-            made = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            self.seen.update(zip(fresh, range(len(self.seen), len(self.seen) + len(fresh))))
-            sizes = np.fromiter(map(len, made), np.int64, len(made))
-            self.ids = np.concatenate([self.ids, np.fromiter(
-                chain.from_iterable(made), np.uint32, int(sizes.sum()))])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self._words(fresh)
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
         codes = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(split)), np.int64,
-                            sum(map(len, split)))
-        counts = self.ends[codes + 1] - self.ends[codes]
+                            int(sizes.sum()))
+        piece = self.parts[codes].ravel()
+        begin = self.ends[piece]
+        counts = self.ends[piece + 1] - begin
         total = np.r_[0, np.cumsum(counts)]
-        flat = self.ids[np.repeat(self.ends[codes] - total[:-1], counts) + np.arange(total[-1])]
-        return np.split(flat, total[np.cumsum([len(s) for s in split])][:-1])
+        flat = self.ids[np.repeat(begin - total[:-1], counts) + np.arange(total[-1])]
+        return np.split(flat, total[2 * np.cumsum(sizes)][:-1])
 
 
 def slices(text: str, size: int = SLICE):
