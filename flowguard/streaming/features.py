@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from flowguard import constants as K
+from flowguard.operators.windows import window_features
+from flowguard.session import materialised
 
 ROW = ["t", "event_key", "dst_address", "dst_port", "protocol", "packet_count", "byte_count",
        "duration_ms", "failed"]
@@ -86,32 +88,40 @@ def _largest(values, start) -> list[int]:
 
 
 class WindowFeatures(StatefulProcessor):
-    """State: ``waiting`` rows before the watermark passes, ``recent`` rows of the windows."""
+    """State: ``waiting`` rows before the watermark passes, ``recent`` rows of the windows.
+
+    Both are maps by (time, key): a row is written when it comes, moved once, and removed when the
+    longest window has left it; nothing is rewritten in between.
+    """
 
     def __init__(self, seconds):
         self.seconds = tuple(seconds)
 
     def init(self, handle):
         self.handle = handle
-        self.waiting = handle.getListState("waiting", STATE_SCHEMA)
-        self.recent = handle.getListState("recent", STATE_SCHEMA)
+        place, rest = "t long, event_key string", STATE_SCHEMA.split(", ", 2)[2]
+        self.waiting = handle.getMapState("waiting", place, rest)
+        self.recent = handle.getMapState("recent", place, rest)
 
     @staticmethod
     def _plain(values):
         return tuple(None if v is None or v != v else v for v in values)
 
+    @staticmethod
+    def _rows(state):
+        return sorted((*key, *value) for key, value in state.iterator())
+
     def handleInputRows(self, key, rows, timerValues):
         late = timerValues.getCurrentWatermarkInMs()
-        new = []
+        first = None
         for frame in rows:
             for values in frame[ROW].itertuples(index=False, name=None):
                 clean = self._plain(values)
                 port = None if clean[3] is None else int(clean[3])
-                new.append((*clean[:3], port, *clean[4:]))
-        if new:
-            self.waiting.appendList(new)
-            due = min(r[0] for r in new) // 1000 + 1
-            self.handle.registerTimer(max(due, late + 1))
+                self.waiting.updateValue(clean[:2], (clean[2], port, *clean[4:]))
+                first = clean[0] if first is None else min(first, clean[0])
+        if first is not None:
+            self.handle.registerTimer(max(first // 1000 + 1, late + 1))
         yield pd.DataFrame(columns=self._columns())
 
     def _columns(self):
@@ -119,26 +129,24 @@ class WindowFeatures(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = {r[1]: tuple(r) for r in self.waiting.get()}
-        ready = sorted(r for r in held.values() if r[0] < mark)
-        rest = [r for r in held.values() if r[0] >= mark]
-        recent = sorted(tuple(r) for r in self.recent.get()) if self.recent.exists() else []
+        held = self._rows(self.waiting)
+        due = [r for r in held if r[0] < mark]
+        recent = self._rows(self.recent)
         known = {r[1] for r in recent}
-        ready = [r for r in ready if r[1] not in known]
+        ready = [r for r in due if r[1] not in known]
         reach, rows = max(self.seconds) * 1_000_000, recent + ready
         parts = [sliding(rows, len(recent), w * 1_000_000) for w in self.seconds]
         out = [[row[1], *(v for part in parts for v in part[i])] for i, row in enumerate(ready)]
-        recent = rows
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
-        else:
-            self.waiting.clear()
-        recent = [r for r in recent if r[0] >= mark - reach]
-        if recent:
-            self.recent.put(recent)
-        else:
-            self.recent.clear()
+        for r in due:
+            self.waiting.removeKey(r[:2])
+        for r in ready:
+            if r[0] >= mark - reach:
+                self.recent.updateValue(r[:2], r[2:])
+        for r in recent:
+            if r[0] < mark - reach:
+                self.recent.removeKey(r[:2])
+        if len(held) > len(due):
+            self.handle.registerTimer(held[len(due)][0] // 1000 + 1)
         yield pd.DataFrame(out, columns=self._columns())
 
     def close(self):
@@ -158,3 +166,25 @@ def stream_features(flows: DataFrame, seconds=K.DEFAULT_WINDOWS, delay: str = "1
     return rows.groupBy("sensor", "src_address").transformWithStateInPandas(
         statefulProcessor=WindowFeatures(seconds), outputStructType=output_schema(seconds),
         outputMode="Append", timeMode="EventTime")
+
+
+def settled_features(flows: DataFrame, emitted: DataFrame, seconds=K.DEFAULT_WINDOWS) -> DataFrame:
+    """The stream's features, made whole: the open tail, late flows, and what those change.
+
+    ``flows`` are all flows stored, each once. A source whose flows were not all emitted is computed
+    again from its first missing flow on, with one window length of rows before it; all other rows
+    stay as the stream gave them.
+    """
+    source = ["sensor_id", "src_address"]
+    missing = flows.join(emitted.select("event_key"), "event_key", "left_anti")
+    first = materialised(missing.groupBy(*source).agg(F.min("event_time").alias("_first")))
+    first = first.select(F.col("sensor_id").alias("_sensor"), F.col("src_address").alias("_source"),
+                         "_first")
+    again = flows.join(first, F.col("sensor_id").eqNullSafe(F.col("_sensor"))
+                       & (F.col("src_address") == F.col("_source")))
+    before = F.col("_first") - F.expr(f"INTERVAL {max(seconds)} SECONDS")
+    rows = again.where(F.col("event_time") >= before).withColumn(
+        "_due", F.col("event_time") >= F.col("_first")).drop("_sensor", "_source", "_first")
+    made = window_features(rows, seconds, carry=("_due",)).where("_due").drop("_due")
+    made = materialised(made)
+    return emitted.join(made.select("event_key"), "event_key", "left_anti").unionByName(made)
