@@ -50,27 +50,29 @@ def running(rows: DataFrame, keys, order, values: dict, block: str = "_block",
 
     ``rows`` come from :func:`in_blocks` with the same keys and order; ``values`` maps new names to
     (kind, column), the kinds being those of ``KINDS``. ``backward`` totals from the last row of a
-    key to the first; ``exclusive`` leaves the row itself out. Rows that tie in the order must be
+    key to the first; ``exclusive`` leaves the row itself out. The order consists of names, or, forward and
+    for kinds other than first and last, of any columns. Rows that tie in the order must be
     equal in all that matters, as their order among themselves is open.
     """
     names = list(values)
     key_names = [f"_k{i}" for i in range(len(keys))]
 
     def along(columns):
-        return [F.col(c).desc() if backward else F.col(c).asc() for c in columns]
+        if not backward:
+            return list(columns)
+        return [F.col(c).desc() for c in columns]
     inside = W.partitionBy(block, *keys).orderBy(*along(order)).rowsBetween(
         W.unboundedPreceding, -1 if exclusive else 0)
     local = rows.select("*", *[KINDS[kind][0](c).over(inside).alias(n)
                                for n, (kind, c) in values.items()])
     edges = edge_keys(rows, keys, block)
     split = rows.join(F.broadcast(edges), _same(list(keys), key_names), "left_semi")
-    place = F.struct(*order)
 
     def whole(kind, c):
         if kind not in ("first", "last"):
             return KINDS[kind][0](c)
         latest = (kind == "last") != backward
-        return (F.max_by if latest else F.min_by)(c, F.when(c.isNotNull(), place))
+        return (F.max_by if latest else F.min_by)(c, F.when(c.isNotNull(), F.struct(*order)))
     totals = split.groupBy(block, *keys).agg(
         *[whole(kind, c).alias(f"_t_{n}") for n, (kind, c) in values.items()])
     before = W.partitionBy(*keys).orderBy(*along([block])).rowsBetween(W.unboundedPreceding, -1)

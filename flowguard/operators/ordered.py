@@ -1,14 +1,19 @@
 """Running totals and exact quantiles without a single-task sort.
 
 Rows get a bucket that grows with the value. Bucket totals are few and give each
-bucket its offset; the order inside a bucket is worked out bucket by bucket.
+bucket its offset; the order inside a bucket is worked out bucket by bucket. Where the data crowds one
+bucket, bounds are sampled from the data instead (:mod:`flowguard.operators.blocks`).
 """
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from flowguard.operators.blocks import in_blocks, running
+
 STEPS = 4096
+#: Rows of a bucket that one task sorts.
+CROWD = 500_000
 
 
 def float_bucket(v: Column) -> Column:
@@ -22,13 +27,22 @@ def float_bucket(v: Column) -> Column:
 
 
 def running_totals(df: DataFrame, order: list[Column], bucket: Column, values: dict,
-                   by=()) -> DataFrame:
+                   by=(), crowd: int = CROWD) -> DataFrame:
     """Adds, per value, the total over all rows up to and including this one.
 
     ``order`` must be unique within ``by`` and ``bucket`` must not fall along it.
-    The window over the bucket totals sees one row per bucket, not per input row.
+    The window over the bucket totals sees one row per bucket, not per input row. Buckets are
+    counted when this is called; if one has more than ``crowd`` rows, ranges of the order itself, bounded
+    by a sample, take their place.
     """
     rows = df.withColumn("_b", bucket)
+    most = rows.groupBy(*by, "_b").count().agg(F.max("count")).first()[0] or 0
+    if most > crowd:
+        keys = list(by) or ["_all"]
+        rows = rows if by else rows.withColumn("_all", F.lit(0))
+        blocks = in_blocks(rows, keys, ["_b", *order])
+        return running(blocks, keys, ["_b", *order], {
+            n: ("sum", c) for n, c in values.items()}).select(*df.columns, *values)
     totals = rows.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in values.items()])
     before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(

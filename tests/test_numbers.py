@@ -40,6 +40,21 @@ def test_running_totals(spark):
     assert [r["s"] for r in got.orderBy("i").collect()] == want.tolist()
 
 
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_running_totals_of_a_crowded_bucket(spark, by):
+    """One bucket holds all rows; several blocks work on it and the totals are the same."""
+    df = spark.createDataFrame([(i, i % 5, i % 3 if i % 10 else None) for i in range(3000)],
+                               "i long, v long, g long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    order = [F.col("i").desc()]
+    got, want = (running_totals(df, order, F.lit(0), {"s": F.col("v"), "n": F.lit(1)}, by, crowd=c)
+                 for c in (100, 10 ** 6))
+    pids = {r[0] for r in got.select(F.spark_partition_id()).distinct().collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    text = lambda d: sorted(map(str, d.collect()))
+    assert text(got) == text(want) and len(pids) > 1
+
+
 def test_roc_and_average_precision(spark):
     rng = np.random.default_rng(3)
     y, p = rng.integers(0, 2, 400), rng.integers(0, 20, 400) / 20
