@@ -65,21 +65,25 @@ def _shortest(groups: Column) -> Column:
         _bound(F.concat(F.lit(":"), F.concat_ws(":", groups), F.lit(":")), written))
 
 
-def compress_ipv6(c: Column) -> Column:
-    """Shortest text of an IPv6 address, or null when the text is none; a zone is kept."""
+def _without_zone(c: Column) -> Column:
+    """The address part of an IPv6 text in lower case; null where zone or characters are wrong."""
     zone = F.substring_index(c, "%", -1)
-    zoned = c.contains("%")
-    address = F.when(~zoned, c).when((zone != "") & (F.length(c) - F.length(
+    address = F.when(~c.contains("%"), c).when((zone != "") & (F.length(c) - F.length(
         F.translate(c, "%", "")) == 1), F.substring_index(c, "%", 1))
-    short = _bound(_groups(F.lower(F.when(address.rlike("^[0-9A-Fa-f:.]+$"), address))),
-                   lambda g: F.when(g.isNotNull(), _shortest(g)))
-    return F.when(c.contains(":"), F.when(zoned, F.concat(short, F.lit("%"), zone)).otherwise(
-        short))
+    return F.lower(F.when(address.rlike("^[0-9A-Fa-f:.]+$"), address))
+
+
+def compress_ipv6(c: Column) -> Column:
+    """Shortest text of an IPv6 address, or null when the text is none; a zone is kept."""
+    short = _bound(_groups(_without_zone(c)), lambda g: F.when(g.isNotNull(), _shortest(g)))
+    zoned = F.when(c.contains("%"), F.concat(F.lit("%"), F.substring_index(c, "%", -1))).otherwise(
+        F.lit(""))
+    return F.when(c.contains(":"), F.concat(short, zoned))
 
 
 def canonical_ip(c: Column) -> Column:
     """Canonical address text or null; only texts with a colon are looked at as IPv6."""
-    return F.coalesce(F.when(c.rlike(IPV4), c), compress_ipv6(c))
+    return F.when(c.contains(":"), compress_ipv6(c)).when(c.rlike(IPV4), c)
 
 
 def ipv4_number(c: Column) -> Column:
@@ -99,7 +103,7 @@ def in_v4_blocks(number: Column, blocks=K.INTERNAL_V4_BLOCKS) -> Column:
 
 def ipv6_class(c: Column) -> Column:
     """internal, external or reserved for IPv6 texts; null for anything else."""
-    groups = _groups(F.lower(F.substring_index(compress_ipv6(c), "%", 1)))
+    groups = _groups(_without_zone(c))
 
     def judged(number):
         inside = F.lit(False)
@@ -115,15 +119,20 @@ def ipv6_class(c: Column) -> Column:
     return F.when(c.contains(":"), _bound(wide, judged))
 
 
+def ipv4_class(number: Column) -> Column:
+    """internal, external or reserved for the number of an IPv4 address; null without one."""
+    return _bound(number, lambda n: (
+        F.when(n.isNull(), F.lit(None).cast("string"))
+        .when((n == 0) | n.between(224 << 24, (240 << 24) - 1), "reserved")
+        .when(in_v4_blocks(n), "internal").otherwise("external")))
+
+
 def address_class(c: Column) -> Column:
-    """internal, external or reserved (multicast, unspecified); null if no address."""
-    number = ipv4_number(c)
-    multicast = number.between(224 << 24, (240 << 24) - 1)
-    v4 = (F.when(number.isNull(), F.lit(None).cast("string"))
-          .when((number == 0) | multicast, "reserved")
-          .when(in_v4_blocks(number), "internal")
-          .otherwise("external"))
-    return F.coalesce(v4, ipv6_class(c))
+    """internal, external or reserved (multicast, unspecified); null if no address.
+
+    Only texts with a colon go through the IPv6 expressions.
+    """
+    return F.when(c.contains(":"), ipv6_class(c)).otherwise(ipv4_class(ipv4_number(c)))
 
 
 def target_scope(kind: Column) -> Column:
@@ -137,9 +146,8 @@ def is_valid_target(kind: Column, value: Column) -> Column:
     """True for a well-formed target whose address class agrees with its kind."""
     bounded = (F.length(value).between(1, 253)) & (F.trim(value) == value) \
         & ~value.rlike(r"^\s|\s$")
-    cls = address_class(value)
+    wanted = F.when(kind == "internal_ip", "internal").when(kind == "external_ip", "external")
     kind_ok = (F.when(kind == "external_domain", value.rlike(K.HOSTNAME_PATTERN))
-               .when(kind == "internal_ip", F.coalesce(cls == "internal", F.lit(False)))
-               .when(kind == "external_ip", F.coalesce(cls == "external", F.lit(False)))
+               .when(wanted.isNotNull(), F.coalesce(address_class(value) == wanted, F.lit(False)))
                .otherwise(False))
     return F.coalesce(bounded & kind_ok, F.lit(False))
