@@ -1,19 +1,18 @@
 """Analyst notes and indicator values."""
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from flowguard import constants as K
 from flowguard.functions.network import compress_ipv6, IPV4
 
 
-@F.pandas_udf(StringType())
-def nfc(values: pd.Series) -> pd.Series:
-    """Unicode composition; only texts with non-ASCII characters are sent here."""
-    return values.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+def nfc(c: Column) -> Column:
+    """Unicode composition (NFC), by the ICU library that Spark brings along.
+
+    Only texts with a character from U+0300 on can change; others are passed on as they are.
+    """
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(c.rlike(r"[^\x{0}-\x{2FF}]"), composed).otherwise(c)
 
 
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -26,9 +25,7 @@ def strip(c: Column) -> Column:
 
 def sanitize_note(c: Column) -> Column:
     """struct(body, error): composed, free of control characters, bounded, masked."""
-    composed = F.coalesce(F.when(~c.rlike(r"[^\x00-\x7F]"), c),
-                          nfc(F.when(c.rlike(r"[^\x00-\x7F]"), c)))
-    clean = strip(F.regexp_replace(composed, r"[\p{C}&&[^\t\n]]", ""))
+    clean = strip(F.regexp_replace(nfc(c), r"[\p{C}&&[^\t\n]]", ""))
     masked = F.regexp_replace(
         F.regexp_replace(clean, K.IPV4_IN_TEXT, r"\[redacted-endpoint\]"),
         K.IPV6_IN_TEXT, r"\[redacted-endpoint\]")

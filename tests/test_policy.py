@@ -140,6 +140,24 @@ def step(i, entity, current, target, disposition=None):
     return (entity, NOW + timedelta(hours=5 * i), i, str(i), current, target, disposition)
 
 
+def test_composition_equals_the_standard_and_needs_no_python(spark):
+    import random
+    import unicodedata
+    g = random.Random(7)
+    # Assigned since long ago, so both libraries know them.
+    chars = [chr(i) for i in range(32, 0x3100) if unicodedata.ucd_3_2_0.category(chr(i)) not in ("Cn", "Cs")]
+    marks = [c for c in chars if unicodedata.combining(c)]
+    jamo = [chr(g.randint(0x1100, 0x11FF)) for _ in range(40)] + [chr(g.randint(0xAC00, 0xD7A3)) for _ in range(40)]
+    texts = ["".join(g.choice(g.choice([chars, marks, marks, jamo, ["A", "e", "o"]])) for _ in range(g.randint(0, 12)))
+             for _ in range(3000)] + chars + [unicodedata.normalize("NFD", c) for c in chars] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.nfc(F.col("t")).alias("n"))
+    got = dict(map(tuple, df.collect()))
+    assert [i for i, t in enumerate(texts) if t is not None and got[i] != unicodedata.normalize("NFC", t)] == []
+    assert got[len(texts) - 1] is None
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
 STEP = ("entity_id string, at timestamp, seq long, step_id string, current string, target string, "
         "disposition string")
 
