@@ -1,6 +1,6 @@
 """Quality: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Words are hashed into ``BUCKETS`` buckets. Each bucket has a fixed sparse index vector of a few
+Words are hashed into ``BUCKETS`` buckets, whatever the size of the vocabulary. Each bucket has a fixed sparse index vector of a few
 +1 and -1; its word vector is the sum, over all its occurrences in the whole corpus, of the index
 vectors of the words around it. These are sums of whole numbers, added up per task and then
 across tasks, so they don't depend on how the corpus is split. A document is pooled into the
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,6 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS, DIMS, NONZERO, REACH = 1 << 15, 32, 4, 2
 
 
-def index_vectors() -> np.ndarray:
-    """The fixed sparse vector of each bucket; one bucket more stands for no word."""
-    out = np.zeros((BUCKETS + 1, DIMS), np.int32)
-    for k in range(NONZERO):
-        h = mix(np.arange(BUCKETS, dtype=np.uint64) * ODD + np.uint64(k))
-        at = (h % np.uint64(DIMS)).astype(np.int64)
-        out[np.arange(BUCKETS), at] += np.where(h >> np.uint64(63), 1, -1).astype(np.int32)
-    return out
-
-
 class Bucketer:
     """Buckets of tokens; those seen are looked up, up to ``remember`` of them."""
 
@@ -55,28 +46,56 @@ class Bucketer:
         if len(seen) > self.remember:
             seen.clear()
         split = [TOKEN.findall(t) for t in values]
-        flat = [w for words in split for w in words]
-        for w in set(flat).difference(seen):
+        fresh = set()
+        for words in split:
+            fresh.update(words)
+        for w in fresh.difference(seen):
             seen[w] = xxhash.xxh3_64_intdigest(w.encode()) % BUCKETS
-        return (np.array([seen[w] for w in flat], np.int64),
-                np.fromiter(map(len, split), np.int64, len(split)))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        flat = map(seen.__getitem__, chain.from_iterable(split))
+        return np.fromiter(flat, np.int64, int(counts.sum())), counts
+
+
+def index_vectors() -> np.ndarray:
+    """The fixed sparse vector of each bucket, written out."""
+    places, signs = index_places()
+    out = np.zeros((BUCKETS, DIMS), np.int64)
+    np.add.at(out, (np.arange(BUCKETS)[:, None], places), signs)
+    return out
+
+
+def index_places() -> tuple[np.ndarray, np.ndarray]:
+    """Where each bucket's index vector is not nought, and the signs there (buckets x NONZERO)."""
+    places, signs = [], []
+    for k in range(NONZERO):
+        h = mix(np.arange(BUCKETS, dtype=np.uint64) * ODD + np.uint64(k))
+        places.append((h % np.uint64(DIMS)).astype(np.int64))
+        signs.append(np.where(h >> np.uint64(63), 1, -1))
+    return np.stack(places, axis=1), np.stack(signs, axis=1).astype(np.int64)
 
 
-def _add_contexts(total: np.ndarray, index: np.ndarray, ids: np.ndarray,
+def _add_contexts(total: np.ndarray, places: np.ndarray, signs: np.ndarray, ids: np.ndarray,
                   counts: np.ndarray) -> None:
-    """Adds to each token's row the index vectors of its neighbours in the same text."""
-    gap = len(counts) * REACH
-    place = np.arange(len(ids)) + np.repeat(np.arange(len(counts)) * REACH, counts)
-    padded = np.full(len(ids) + gap + REACH, BUCKETS, np.int64)
-    padded[place + REACH] = ids
-    context = np.zeros((len(ids), DIMS), np.int32)
-    for step in (*range(-REACH, 0), *range(1, REACH + 1)):
-        near = place + REACH + step
-        context += index[padded[np.minimum(near, len(padded) - 1)]]
-    order = np.argsort(ids.astype(np.uint16), kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0]) if len(ids) else order
-    if len(first):
-        total[ids[order[first]]] += np.add.reduceat(context[order], first, axis=0)
+    """Adds to each token's row the index vectors of its neighbours in the same text.
+
+    Pairs of neighbours are counted first, so that an index vector, which is sparse, is added once
+    for each different pair.
+    """
+    text = np.repeat(np.arange(len(counts)), counts)
+    pairs = []
+    for step in range(1, REACH + 1):
+        near = text[step:] == text[:-step]
+        pairs.append((ids[:-step][near] * BUCKETS + ids[step:][near]).astype(np.uint32))
+    pairs = np.sort(np.concatenate(pairs))
+    if not len(pairs):
+        return
+    first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+    times = np.diff(np.r_[first, len(pairs)])
+    a, b = np.divmod(pairs[first].astype(np.int64), BUCKETS)
+    flat = total.reshape(-1)
+    for word, other in ((a, b), (b, a)):
+        np.add.at(flat, (word[:, None] * DIMS + places[other]).ravel(),
+                  (times[:, None] * signs[other]).ravel())
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -86,10 +105,10 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     to the driver, whose size is fixed.
     """
     def run(batches):
-        total, index, bucketer = np.zeros((BUCKETS, DIMS), np.int64), index_vectors(), Bucketer()
+        total, bucketer = np.zeros((BUCKETS, DIMS), np.int64), Bucketer()
+        places, signs = index_places()
         for _, values in blocks(batches):
-            ids, counts = bucketer.texts(values)
-            _add_contexts(total, index, ids, counts)
+            _add_contexts(total, places, signs, *bucketer.texts(values))
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(used.astype(np.int32))] + [pa.array(total[used, d]) for d in range(DIMS)],

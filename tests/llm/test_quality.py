@@ -44,7 +44,7 @@ def test_contexts_equal_plain_sums():
     ids = g.integers(0, 50, counts.sum())
     index = Q.index_vectors()
     total = np.zeros((Q.BUCKETS, Q.DIMS), np.int64)
-    Q._add_contexts(total, index, ids, counts)
+    Q._add_contexts(total, *Q.index_places(), ids, counts)
     want = np.zeros_like(total)
     at = 0
     for n in counts:
