@@ -54,6 +54,23 @@ def probabilities(model, df: DataFrame) -> DataFrame:
             .drop("rawPrediction", "probability", "prediction", "_x"))
 
 
+def slopes(model, df: DataFrame, names, label: str = "label") -> DataFrame:
+    """(feature, slope, size) of a logistic model's penalised loss over weighted rows.
+
+    At the optimum every slope is nought; ``size`` is the mean size of what adds up to it.
+    """
+    part = F.col("_weight") * (F.col("probability_1") - F.col(label))
+    sums = probabilities(model, df).agg(
+        F.sum("_weight").alias("_w"),
+        *[F.struct(F.sum(part * F.col(n)).alias("s"), F.sum(F.abs(part * F.col(n))).alias("a")).alias(n)
+          for n in names])
+    held = {n: float(b) * model.getRegParam() for n, b in zip(names, model.coefficients)}
+    rows = F.array(*[F.struct(
+        F.lit(n).alias("feature"), (F.col(f"{n}.s") / F.col("_w") + F.lit(held[n])).alias("slope"),
+        (F.col(f"{n}.a") / F.col("_w") + F.lit(abs(held[n]))).alias("size")) for n in names])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def candidate_metrics(candidates: dict, which: str = "validation", label: str = "label",
                       partition: str = "partition") -> DataFrame:
     """Metrics per candidate on one partition."""

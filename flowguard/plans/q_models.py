@@ -65,6 +65,40 @@ def ml_4_balance(spark, sf):
         F.sum("r").over(both) / F.sum("w").over(both), 3)) + 0.0).alias("balance"))
 
 
+@query("ml_4_optimum", f"""SELECT unnest([{', '.join(f"'{n}'" for n in NAMES)}]) AS feature, TRUE AS level""")
+def ml_4_optimum(spark, sf):
+    """Every slope of the penalised loss over the training rows is nought, beside what it is made of."""
+    model, rows = fitted(spark, sf, "logistic_regression")
+    train = C.with_class_weights(rows.where("partition = 'training'"))
+    return C.slopes(model, train, NAMES).select(
+        "feature", (F.abs("slope") <= 0.0001 + 0.002 * F.col("size")).alias("level"))
+
+
+# The label follows from the bytes of a flow, which are a feature, so a fit that works knows it.
+KNOWN = f"""WITH {ROWS} SELECT partition, count(*) AS n, sum(label)::BIGINT AS positives, TRUE AS known,
+  TRUE AS apart FROM mr GROUP BY partition"""
+
+
+def known_labels(spark, sf, name):
+    """Per partition: at least 95 of 100 labels are told right, and the classes' mean scores lie apart."""
+    scored = C.probabilities(*fitted(spark, sf, name))
+    right = F.avg(((F.col("probability_1") >= 0.5).cast("int") == F.col("label")).cast("int"))
+    mean = lambda y: F.avg(F.when(F.col("label") == y, F.col("probability_1")))
+    return scored.groupBy("partition").agg(
+        F.count("*").alias("n"), F.sum("label").cast("long").alias("positives"),
+        (right >= 0.95).alias("known"), (mean(1) - mean(0) > 0.5).alias("apart"))
+
+
+@query("ml_4_known_labels", KNOWN)
+def ml_4_known(spark, sf):
+    return known_labels(spark, sf, "logistic_regression")
+
+
+@query("ml_5_known_labels", KNOWN)
+def ml_5_known(spark, sf):
+    return known_labels(spark, sf, "random_forest")
+
+
 @query("ml_5_random_forest", SCORED)
 def ml_5(spark, sf):
     return scored_rows(*fitted(spark, sf, "random_forest"))
