@@ -63,6 +63,20 @@ def with_fields(rows: DataFrame, paths) -> DataFrame:
     return rows.select("*", *out)
 
 
+def with_top_fields(rows: DataFrame, keys) -> DataFrame:
+    """As :func:`with_fields` for values at the top of the document, and ``keys`` with all its keys.
+
+    One pass over the text gives all values and the set of keys.
+    """
+    held = rows.withColumn("_top", F.when(F.col("doc").isNotNull(), F.from_json(
+        "value", "map<string,variant>")))
+    values = [F.col("_top")[k] for k in keys]
+    return held.select(
+        *rows.columns, F.map_keys("_top").alias("keys"),
+        *[v.cast("string").alias(f"t.{k}") for k, v in zip(keys, values)],
+        *[F.schema_of_variant(v).alias(f"k.{k}") for k, v in zip(keys, values)])
+
+
 def json_field(*path: str) -> JsonField:
     """A value taken out by :func:`with_fields`."""
     name = "/".join(path)

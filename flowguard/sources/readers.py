@@ -6,7 +6,7 @@ from flowguard import constants as K
 from flowguard.functions.network import canonical_ip
 from flowguard.functions.parsing import half_even, parse_ts, to_float, to_int
 from flowguard.sources.lines import (finish, json_field, parse_doc, text_lines, whole_in,
-                                     with_fields)
+                                     with_fields, with_top_fields)
 
 NORMALIZED_KEYS = ("schema_version", "source_event_id", "event_time", "src_address",
                    "dst_address", "src_port", "dst_port", "protocol", "duration_ms",
@@ -44,14 +44,12 @@ def _one_entry(key: str, value: Column) -> Column:
 
 def parse_flow_lines(lines: DataFrame) -> DataFrame:
     """Canonical JSON lines: twelve known keys, everything else is a reject."""
-    rows = with_fields(parse_doc(text_lines(lines, skip_blank=False)),
-                       [(k,) for k in NORMALIZED_KEYS])
+    rows = with_top_fields(parse_doc(text_lines(lines, skip_blank=False)), NORMALIZED_KEYS)
     f = {k: json_field(k) for k in NORMALIZED_KEYS}
     whole = ("src_port", "dst_port", "duration_ms", "packet_count", "byte_count")
     rows = rows.select("*", parse_ts(f["event_time"].text).alias("at"), *[
         to_int(f[n].text, f[n].is_text, None).alias(f"n.{n}") for n in whole])
-    known = F.size(F.array_except(F.json_object_keys("value"),
-                                  F.array(*[F.lit(k) for k in NORMALIZED_KEYS]))) == 0
+    known = F.size(F.array_except("keys", F.array(*[F.lit(k) for k in NORMALIZED_KEYS]))) == 0
 
     def number(name: str) -> tuple[Column, Column]:
         got = F.col(f"`n.{name}`")
