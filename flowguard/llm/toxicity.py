@@ -6,8 +6,9 @@ for other terms of their kind, and training penalises the squared change of the
 naming a group does not make a neutral text toxic.
 
 The classifier is fitted on a bounded sample of labelled rows (``per_class`` of each class, by
-the hash of their id). Everything else covers all rows. Fitting is on the driver over the
-sample's features, which the executors extract.
+the hash of their id). Everything else covers all rows. Terms come as groups from the caller and are
+also found among the sample's own words (:func:`train`). The executors extract and count features;
+the driver fits on their numbers.
 
 Defined cases: a null or empty text has no words and gets the score of the intercept; a null id
 is kept as null; repeated rows give repeated results; without labels of both classes every score
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowguard.llm.common import blocks, fold, labelled_sample, texts
+from flowguard.llm.common import blocks, cut, fold, labelled_sample, texts
 
 TOKEN = re.compile(r"\w+")
 #: Lengths of the beginnings of a word that count as features.
@@ -62,8 +63,12 @@ def swapped(words: set[str], groups: Sequence[Sequence[str]]) -> set[str] | None
 
 @dataclass
 class ToxicityModel:
+    """``pairs`` swapped texts took part in the fit; the logit of none changes by more than
+    ``largest_change`` when its terms are swapped."""
     intercept: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
+    pairs: int = 0
+    largest_change: float = 0.0
 
     def word(self, word: str) -> float:
         get = self.weights.get
@@ -79,48 +84,55 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-min(max(total, -30.0), 30.0)))
 
 
-def _counts(words: set[str], known: dict[str, int]) -> np.ndarray:
-    return np.array([known[f] for w in words for f in features(w) if f in known], np.int64)
+def separation(n0, n1, size0, size1, sqrt=np.sqrt):
+    """How far a feature's share of toxic texts is above that of others, in standard deviations.
 
+    For numbers, arrays or columns.
+    """
+    p0, p1 = (n0 + 0.5) / (size0 + 1), (n1 + 0.5) / (size1 + 1)
+    return (p1 - p0) / sqrt(p0 * (1 - p0) / size0 + p1 * (1 - p1) / size1)
+
+
+def paired(words: Sequence[tuple[str, bool]], limit: int) -> list[tuple[str, str]]:
+    """Groups of two out of (word, whether it has a beginning that counts), in the given order.
+
+    A word with such a beginning goes with one without: swapping them changes the features of a
+    text. At most ``limit`` groups.
+    """
+    marked = [w for w, m in words if m]
+    return list(zip(marked, [w for w, m in words if not m]))[:limit]
 
-def _matrix(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+
+def _ids(words: set[str], known: dict[str, int]) -> np.ndarray:
+    return np.array(sorted(known[f] for w in words for f in features(w) if f in known), np.int64)
+
+
+def _matrix(docs: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    return rows, np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    return rows, np.concatenate(docs) if len(docs) else np.zeros(0, np.int64)
 
 
-def fit(labelled: list[tuple[set[str], int]], positive_share: float,
-        groups: Sequence[Sequence[str]] = IDENTITY_TERMS, min_docs: int = 4, min_z: float = 3.0,
-        ridge: float = 1e-3, swap_penalty: float = 1.0, steps: int = 300) -> ToxicityModel:
-    """Weights of the features whose share differs clearly between the classes, by Adam.
+def only_share(share: float) -> ToxicityModel:
+    """The model without labels of both classes."""
+    share = min(max(share, 1e-9), 1 - 1e-9)
+    return ToxicityModel(float(np.log(share / (1 - share))))
+
+
+def fit_weights(y: np.ndarray, docs: Sequence[np.ndarray],
+                pairs: Sequence[tuple[np.ndarray, np.ndarray]], names: Sequence[str],
+                positive_share: float, ridge: float = 1e-3, swap_penalty: float = 0.01,
+                steps: int = 300) -> ToxicityModel:
+    """Weights by Adam, from the features (by number) of each text and each swapped pair.
 
     The loss is the logistic loss, both classes with the same weight, plus a ridge and the mean
     squared difference of the logits of a text and its counterfactual. The intercept is then
     moved from even classes to ``positive_share``.
     """
-    y = np.array([label for _, label in labelled], float)
-    if not 0 < y.sum() < len(y):
-        share = min(max(positive_share if len(y) else 0.0, 0.0), 1.0)
-        return ToxicityModel(float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    counts: dict[str, list[int]] = {}
-    for words, label in labelled:
-        for f in {f for w in words for f in features(w)}:
-            counts.setdefault(f, [0, 0])[label] += 1
     n = np.array([len(y) - y.sum(), y.sum()])
-    names = sorted(f for f, c in counts.items() if sum(c) >= min_docs)
-    share = (np.array([counts[f] for f in names], float).reshape(-1, 2) + 0.5) / (n + 1)
-    spread = np.sqrt((share * (1 - share) / n).sum(axis=1))
-    # Identity terms stay whatever their shares: the penalty decides about them.
-    terms = {t for g in groups for t in g}
-    z = (share[:, 1] - share[:, 0]) / spread
-    names = [f for f, v in zip(names, z) if v >= min_z or (f in terms and abs(v) > 0)]
-    known = {f: i for i, f in enumerate(names)}
-    rows, cols = _matrix([_counts(words, known) for words, _ in labelled])
-    pairs = [(words, other) for words, _ in labelled
-             if (other := swapped(words, groups)) is not None]
-    drow, dcol = _matrix([np.concatenate([_counts(a, known), _counts(b, known)])
-                          for a, b in pairs])
-    sign = np.concatenate([np.r_[np.ones(len(_counts(a, known))), -np.ones(len(_counts(b, known)))]
-                           for a, b in pairs]) if pairs else np.zeros(0)
+    rows, cols = _matrix(docs)
+    drow, dcol = _matrix([np.concatenate(p) for p in pairs])
+    sign = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in pairs]) \
+        if len(pairs) else np.zeros(0)
     weight = np.where(y > 0, 0.5 / n[1], 0.5 / n[0])
     w, b = np.zeros(len(names)), 0.0
     mean, square = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
@@ -128,7 +140,7 @@ def fit(labelled: list[tuple[set[str], int]], positive_share: float,
         logit = b + np.bincount(rows, w[cols], minlength=len(y))
         error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weight
         grad = np.bincount(cols, error[rows], minlength=len(w)) + ridge * w
-        if pairs:
+        if len(pairs):
             change = np.bincount(drow, sign * w[dcol], minlength=len(pairs))
             grad += np.bincount(dcol, sign * change[drow], minlength=len(w)) * (
                 2 * swap_penalty / len(pairs))
@@ -140,31 +152,119 @@ def fit(labelled: list[tuple[set[str], int]], positive_share: float,
         w, b = w - move[:-1], b - move[-1]
     share = min(max(positive_share, 1e-4), 1 - 1e-4)
     b += np.log(share / (1 - share))
-    return ToxicityModel(float(b), {f: float(v) for f, v in zip(names, w) if v})
+    change = np.bincount(drow, sign * w[dcol], minlength=len(pairs)) if len(pairs) else np.zeros(1)
+    return ToxicityModel(float(b), {f: float(v) for f, v in zip(names, w) if v}, len(pairs),
+                         float(np.abs(change).max()))
+
+
+def fit(labelled: list[tuple[set[str], int]], positive_share: float,
+        groups: Sequence[Sequence[str]] = IDENTITY_TERMS, min_docs: int = 4, min_z: float = 3.0,
+        found_terms: int = 0, neutral_z: float = 1.5, **fitting) -> ToxicityModel:
+    """The fit of :func:`train` for a few texts that are at hand as sets of words."""
+    y = np.array([label for _, label in labelled], float)
+    if not 0 < y.sum() < len(y):
+        return only_share(positive_share if len(y) else 0.0)
+    counts: dict[str, list[int]] = {}
+    for words, label in labelled:
+        for f in {f for w in words for f in features(w)}:
+            counts.setdefault(f, [0, 0])[label] += 1
+    size = float(len(y) - y.sum()), float(y.sum())
+    z = {f: separation(*c, *size) for f, c in counts.items() if sum(c) >= min_docs}
+    given = {t for g in groups for t in g}
+    names = sorted(f for f, v in z.items() if v >= min_z or (f in given and v))
+    known = {f: i for i, f in enumerate(names)}
+    neutral = sorted((f for f, v in z.items() if not f.startswith("^") and f not in given
+                      and counts[f][0] >= min_docs and v <= neutral_z),
+                     key=lambda f: (-sum(counts[f]), f))
+    groups = [*groups, *paired([(f, not known.keys().isdisjoint(features(f))) for f in neutral],
+                               found_terms)]
+    pairs = [(words, other) for words, _ in labelled
+             if (other := swapped(words, groups)) is not None]
+    return fit_weights(y, [_ids(words, known) for words, _ in labelled],
+                       [(_ids(a, known), _ids(b, known)) for a, b in pairs], names,
+                       positive_share, **fitting)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
-          per_class: int = 3000, groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> ToxicityModel:
-    """Fits on at most ``per_class`` labelled rows of each class outside the held-out fold."""
+          per_class: int = 3000, groups: Sequence[Sequence[str]] = IDENTITY_TERMS,
+          min_docs: int = 4, min_z: float = 3.0, found_terms: int = 400, neutral_z: float = 1.5,
+          **fitting) -> ToxicityModel:
+    """Fits on at most ``per_class`` labelled rows of each class outside the held-out fold.
+
+    Terms to be swapped are the given ``groups`` and, in whatever languages the texts are, up to
+    ``found_terms`` pairs of words that toxic texts do not hold more often than others. One of a pair
+    begins like toxic words do, the other does not: neither says anything of toxicity, so exchanging them
+    must not change the score. Spark counts the features; only the names of those that are used and the numbers of
+    each text's come to the driver.
+    """
     sample = labelled_sample(labels, "toxic", folds, held_out, per_class)
     shares = (labels.filter((fold(F.col("doc_id"), folds) != held_out)
                             & F.col("toxic").isin(0, 1))
               .agg(F.avg("toxic").alias("share")).first())
 
-    def run(batches):
+    def split(batches):
         for batch, values in blocks(batches):
-            found = ["\n".join(sorted(words_of(t))) for t in values]
+            found = [sorted(words_of(t)) for t in values]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(found, pa.string())],
+                [batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.string()))],
                 ["doc_id", "y", "words"])
 
-    rows = (texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
-            .mapInArrow(run, "doc_id long, y int, words string")
-            .orderBy("doc_id", "words").toArrow())
-    labelled = [(set(words.split("\n")) - {""}, label)
-                for words, label in zip(rows.column("words").to_pylist(),
-                                        rows.column("y").to_pylist())]
-    return fit(labelled, float(shares["share"] or 0.0), groups)
+    rows = cut(texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
+               .mapInArrow(split, "doc_id long, y int, words array<string>"))
+    size = rows.agg(*[F.count_if(F.col("y") == k).cast("double") for k in (0, 1)]).first()
+    share = float(shares["share"] or 0.0)
+    if not size[0] or not size[1]:
+        return only_share(share if size[0] or size[1] else 0.0)
+
+    def count(batches):
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for label, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for f in {f for w in words for f in features(w)}:
+                    seen.setdefault(f, [0, 0])[label] += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.string())]
+                + [pa.array([c[k] for c in seen.values()], pa.int64()) for k in (0, 1)],
+                ["f", "n0", "n1"])
+
+    counts = (rows.select("y", "words").mapInArrow(count, "f string, n0 long, n1 long")
+              .groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+              .where(F.col("n0") + F.col("n1") >= min_docs)
+              .withColumn("z", separation(F.col("n0"), F.col("n1"), *size, sqrt=F.sqrt)))
+    counts = cut(counts)
+    given = sorted({t for g in groups for t in g})
+    names = sorted(r[0] for r in counts.where(
+        (F.col("z") >= min_z) | (F.col("f").isin(given) & (F.col("z") != 0))).select("f").collect())
+    begins = F.array(*[F.concat(F.lit("^"), F.substring("f", 1, k)) for k in BEGINNINGS])
+    marked = F.arrays_overlap(begins, F.array(*map(F.lit, names)).cast("array<string>"))
+    neutral = (counts.where(~F.col("f").startswith("^") & ~F.col("f").isin(given)
+                            & (F.col("n0") >= min_docs) & (F.col("z") <= neutral_z))
+               .select("f", (F.col("n0") + F.col("n1")).alias("n"), marked.alias("marked")))
+    order = (F.col("n").desc(), "f")
+    found = [(r["f"], r["marked"]) for side in (True, False) for r in
+             neutral.where(F.col("marked") == side).orderBy(*order).limit(found_terms).collect()]
+    all_groups = [*groups, *paired(found, found_terms)]
+    known = {f: i for i, f in enumerate(names)}
+
+    def encode(batches):
+        for batch in batches:
+            own, other = [], []
+            for words in batch.column(2).to_pylist():
+                words = set(words)
+                swap = swapped(words, all_groups)
+                own.append(_ids(words, known))
+                other.append(None if swap is None else _ids(swap, known))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(own, kind), pa.array(other, kind)],
+                ["doc_id", "y", "own", "other"])
+
+    got = (rows.mapInArrow(encode, "doc_id long, y int, own array<int>, other array<int>")
+           .orderBy("doc_id", "own", "other").select("y", "own", "other").toArrow())
+    own = [np.array(v, np.int64) for v in got.column("own").to_pylist()]
+    pairs = [(a, np.array(b, np.int64)) for a, b in zip(own, got.column("other").to_pylist())
+             if b is not None]
+    return fit_weights(got.column("y").to_numpy().astype(float), own, pairs, names, share, **fitting)
 
 
 def _scorer(spark, model: ToxicityModel, remember: int = 150_000):

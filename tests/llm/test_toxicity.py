@@ -66,3 +66,27 @@ def test_labels_of_the_held_out_fold_change_nothing(make_docs, make_labels):
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
     a, b = (X.train(make_docs(docs), make_labels(x)) for x in (labels, flipped))
     assert a == b
+
+
+def test_train_equals_the_fit_in_plain_python(make_docs, make_labels):
+    import zlib
+    docs, labels = labelled(500, seed=5, names=("muslim",))
+    kept = [(X.words_of(t), y) for (i, t), (_, _, y) in zip(docs, labels)
+            if zlib.crc32(str(i).encode()) % 3 != 1]
+    share = sum(y for _, y in kept) / len(kept)
+    got = X.train(make_docs(docs), make_labels(labels))
+    want = X.fit(kept, share, found_terms=400)
+    assert got.pairs == want.pairs > 50
+    assert got.weights.keys() == want.weights.keys()
+    assert abs(got.intercept - want.intercept) < 1e-6
+    assert all(abs(got.weights[f] - w) < 1e-6 for f, w in want.weights.items())
+    assert abs(got.largest_change - want.largest_change) < 1e-6
+
+
+def test_found_terms_change_the_model(make_docs, make_labels):
+    """Words of both classes that share a beginning with toxic ones are held level."""
+    docs, labels = labelled(500, seed=6)
+    docs = [(i, t + (" zorka1" if i % 3 == 0 else " word1") + (" zorkx" if i % 5 else " other")) for i, t in docs]
+    free, fair = (X.train(make_docs(docs), make_labels(labels), swap_penalty=p) for p in (0.0, 30.0))
+    assert fair.pairs and fair.weights != free.weights
+    assert fair.largest_change < free.largest_change
