@@ -17,9 +17,10 @@ All sets of equals are reduced by aggregates that combine before the shuffle; no
 and no pairs are listed.
 
 Defined cases: a null text has no words; texts shorter than a window keep all words; documents
-with a null id are compared with nothing and keep all words. A place is an id and a word number:
-rows that repeat an id and its text are the same places and don't remove each other, and texts
-under one id share their places' verdicts. An empty table gives an empty result. Other columns are
+with a null id are compared with nothing and keep all words. A place is an id, a text and a word number:
+rows that repeat an id and its text are the same places and don't remove each other; different texts
+under one id are documents of their own, in the order of a hash of the text. A text is hashed as one
+block, some hundred bytes a word, so the longest text sets a worker's memory. An empty table gives an empty result. Other columns are
 neither read nor returned.
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowguard.llm.common import WORD, blocks, cut, texts
 from flowguard.llm.words import ODD, WordHasher, grams, mix
+from flowguard.operators.blocks import in_blocks, running
 
 SIZE, GRAM = 20, 6
 HALF = np.uint64(32)
@@ -175,8 +177,41 @@ def merged(first: np.ndarray, last: np.ndarray, n_words: int, size: int) -> np.n
     return np.cumsum(steps[:-1]) > 0
 
 
+def names_of_texts(read: DataFrame) -> DataFrame | None:
+    """(doc_id, _h, key) with a number for every different text, in order of the ids.
+
+    Null where no id has several texts, so that the ids themselves will do. Texts are read for
+    this only if an id repeats.
+    """
+    named = read.where("doc_id IS NOT NULL")
+    again = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return None
+    h = F.xxhash64("text").alias("_h")
+    if (named.join(again, "doc_id", "left_semi").select("doc_id", h).distinct().groupBy("doc_id")
+            .count().where("count > 1").isEmpty()):
+        return None
+    every = named.select("doc_id", h).distinct().withColumn("_all", F.lit(0))
+    order = ["doc_id", "_h"]
+    return cut(running(in_blocks(every, ["_all"], order), ["_all"], order,
+                       {"key": ("sum", F.lit(1).cast("long"))}).select("doc_id", "_h", "key"))
+
+
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words joined by blanks, one row per row."""
+    read = texts(docs)
+    names = names_of_texts(read)
+    if names is None:
+        return _remove(read, size, gram)
+    keyed = (read.withColumn("_h", F.xxhash64("text")).join(names, ["doc_id", "_h"], "left")
+             .select(F.col("key").alias("doc_id"), "text"))
+    done = _remove(keyed, size, gram).withColumnRenamed("doc_id", "key")
+    return done.join(names.select("key", "doc_id"), "key", "left").select(
+        "doc_id", "n_words", "n_removed", "kept")
+
+
+def _remove(docs: DataFrame, size: int, gram: int) -> DataFrame:
+    """The same for rows whose ids tell their texts apart."""
     found = (repeats(docs, size, gram).groupBy("doc_id")
              .agg(F.collect_list(F.struct("first", "last")).alias("r"))
              .select("doc_id", F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts")))

@@ -44,3 +44,13 @@ def test_null_ids_repeats_and_empty_tables(make_docs):
     got = sorted((r.doc_id or -1, r.n_removed) for r in S.remove_repeats(docs).collect())
     assert got == [(-1, 0), (2, 0), (2, 0), (9, 30)]
     assert S.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_different_texts_under_one_id(make_docs):
+    """A copy goes although its id also has another text; the other text and null ids stay."""
+    t, o = (" ".join(f"{x}{i}" for i in range(40)) for x in "to")
+    rows = [(1, t), (2, t), (2, o), (2, o), (3, o + " end"), (None, t), (4, None), (4, "short")]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in
+                 S.remove_repeats(make_docs(rows, clash=True)).collect())
+    assert got == sorted([(1, 40, 0), (2, 40, 40), (2, 40, 0), (2, 40, 0), (3, 41, 40), (0, 40, 0), (4, 0, 0),
+                          (4, 1, 0)])
