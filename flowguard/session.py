@@ -24,9 +24,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # HotSpot does not compile methods beyond this size; such stages run faster expression by
-        # expression.
-        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.parquet.compression.codec": "zstd",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
