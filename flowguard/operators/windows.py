@@ -27,47 +27,61 @@ SLICES_PER_WINDOW = 4
 #: Rows of one source in one slice from which it is dealt out in blocks. At least a thousandth of all
 #: rows, so there are at most a thousand such slices.
 CROWD = 500_000
+#: Rows of a task, context included. Each row is sorted six times over, the last time with its moves.
+TASK_ROWS = 50_000
 SOURCE = ["sensor_id", "src_address"]
 NEEDED = ["event_key", "sensor_id", "src_address", "dst_address", "dst_port", "protocol",
           "packet_count", "byte_count", "duration_ms"]
 
 
-def _slice_length(longest: int, slice_seconds: int | None) -> int:
+def slice_length(longest: int, slice_seconds: int | None = None) -> int:
     length = int(slice_seconds or SLICES_PER_WINDOW * longest) * 1_000_000
     if length < longest * 1_000_000:
         raise ValueError("a slice must be at least as long as the longest window")
     return length
 
 
-def _own_slice(length: int) -> Column:
+def own_slice(length: int) -> Column:
     t = F.unix_micros("event_time")
     return ((t - F.pmod(t, F.lit(length))) / F.lit(length)).cast("long")
 
 
+def slice_copies(longest: int, slice_seconds: int | None = None) -> Column:
+    """The slices a flow goes to: its own, and the next if a window reaches from there to the flow."""
+    length = slice_length(longest, slice_seconds)
+    own = own_slice(length)
+    late = F.unix_micros("event_time") >= (own + 1) * length - longest * 1_000_000
+    return F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
+
+
 def busy_sources(flows: DataFrame, longest: int, slice_seconds: int | None = None,
                  crowd: int = CROWD) -> list[tuple]:
     """(sensor_id, src_address) of sources with more than ``crowd`` rows in one slice.
 
     A crowd is at least a thousandth of all rows.
     """
-    length = _slice_length(longest, slice_seconds)
-    counts = flows.groupBy(*SOURCE, _own_slice(length).alias("slice")).count()
+    return _counted(flows, longest, slice_seconds, crowd)[0]
+
+
+def _counted(flows: DataFrame, longest: int, slice_seconds: int | None, crowd: int
+             ) -> tuple[list[tuple], int]:
+    """The busy sources, and how many rows there are."""
+    length = slice_length(longest, slice_seconds)
+    counts = flows.groupBy(*SOURCE, own_slice(length).alias("slice")).count()
     seen = counts.agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
-    limit = max(crowd, (seen["rows"] or 0) // 1000)
+    total = seen["rows"] or 0
+    limit = max(crowd, total // 1000)
     if (seen["most"] or 0) <= limit:
-        return []
+        return [], total
     return [tuple(r) for r in counts.where(F.col("count") > limit).select(*SOURCE).distinct()
-            .collect()]
+            .collect()], total
 
 
 def sliced(flows: DataFrame, longest: int, slice_seconds: int | None, carry) -> DataFrame:
     """Flows with their slice; late rows of a slice also go to the next as context."""
-    length = _slice_length(longest, slice_seconds)
-    reach = longest * 1_000_000
-    t = F.unix_micros("event_time")
-    own = _own_slice(length)
-    copies = F.when(t >= (own + 1) * length - reach, F.array(own, own + 1)) \
-        .otherwise(F.array(own))
+    length = slice_length(longest, slice_seconds)
+    t, own = F.unix_micros("event_time"), own_slice(length)
+    copies = slice_copies(longest, slice_seconds)
     failed = is_failure(F.col("source_type"), F.col("state")).cast("long")
     return (flows.select(*NEEDED, *carry, t.alias("t"), failed.alias("failed"),
                          own.alias("_own"), F.explode(copies).alias("slice"))
@@ -138,10 +152,20 @@ def _suffix(w: int) -> Column:
     return F.struct((-_block(w)).alias("b"), F.col("duration_ms").alias("d"))
 
 
-def _swept_slices(flows: DataFrame, seconds, slice_seconds, carry) -> DataFrame:
+def _dealt(rows: DataFrame, part, expected: int) -> DataFrame:
+    """Rows by ``part``, in tasks of about ``TASK_ROWS``; few rows are left to adaptive execution."""
+    tasks = -(-expected // TASK_ROWS)
+    if tasks <= rows.sparkSession.sparkContext.defaultParallelism:
+        return rows.repartition(*part)
+    return rows.repartition(tasks, *part)
+
+
+def _swept_slices(flows: DataFrame, seconds, slice_seconds, carry, total: int) -> DataFrame:
     """Totals at each arrival, a window over each (source, slice)."""
     part = [*SOURCE, "slice"]
-    rows = sliced(flows, max(seconds), slice_seconds, carry).repartition(*part)
+    context = max(seconds) * 1_000_000 / slice_length(max(seconds), slice_seconds)
+    rows = _dealt(sliced(flows, max(seconds), slice_seconds, carry), part,
+                  int(total * (1 + context)))
     forward = ["t", "event_key"]
     by_dst = W.partitionBy(*part, "dst_address").orderBy(*forward)
     by_port = W.partitionBy(*part, "dst_port").orderBy(*forward)
@@ -202,15 +226,15 @@ def window_features(flows: DataFrame, seconds=K.DEFAULT_WINDOWS,
     and slice when this is called; ``crowd`` says from how many on a source goes by blocks.
     """
     seconds = tuple(int(s) for s in seconds)
-    busy = busy_sources(flows, max(seconds), slice_seconds, crowd)
+    busy, total = _counted(flows, max(seconds), slice_seconds, crowd)
     if not busy:
-        return _named(_swept_slices(flows, seconds, slice_seconds, carry), seconds, carry)
+        return _named(_swept_slices(flows, seconds, slice_seconds, carry, total), seconds, carry)
     names = flows.sparkSession.createDataFrame(busy, "_sensor string, _source string")
     same = F.col("sensor_id").eqNullSafe(F.col("_sensor")) & F.col("src_address").eqNullSafe(
         F.col("_source"))
     quiet = flows.join(F.broadcast(names), same, "left_anti")
     crowded = flows.join(F.broadcast(names), same, "left_semi")
-    return _named(_swept_slices(quiet, seconds, slice_seconds, carry), seconds, carry).unionAll(
+    return _named(_swept_slices(quiet, seconds, slice_seconds, carry, total), seconds, carry).unionAll(
         _named(_swept_blocks(crowded, seconds, carry), seconds, carry))
 
 

@@ -102,3 +102,14 @@ def test_hash_does_not_depend_on_partitions(make_flows):
     a = FT.feature_table(flows.repartition(7)).select("event_key", "vector_hash", "snapshot_hash")
     b = FT.feature_table(flows.coalesce(1)).select("event_key", "vector_hash", "snapshot_hash")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_many_rows_are_dealt_to_more_tasks(spark, make_flows, monkeypatch):
+    from flowguard.operators import windows
+    flows = make_flows([dict(second=37 * i, src_address=f"192.0.2.{i % 7}", dst_port=i % 3)
+                        for i in range(400)])
+    want = sorted(map(str, window_features(flows).collect()))
+    monkeypatch.setattr(windows, "TASK_ROWS", 20)
+    got = window_features(flows)
+    assert got.rdd.getNumPartitions() >= 20
+    assert sorted(map(str, got.collect())) == want
