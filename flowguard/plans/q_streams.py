@@ -107,7 +107,7 @@ UNION ALL SELECT NULL, NULL, CASE WHEN event_id % 20 = 2 THEN 'empty_record'
 FROM flows WHERE event_id % 20 BETWEEN 1 AND 6""")
 def str_1(spark, sf):
     out = scratch(spark, "ingest")
-    flow_json_lines(spark, sf).select("value").write.text(f"{out}/input")
+    flow_json_lines(spark, sf).select("value").write.text(f"{out}/input", compression="gzip")
     ingest.start_ingest(spark, f"{out}/input", "normalized", f"{out}/tables", f"{out}/checkpoint",
                         "job-1").awaitTermination()
     table = Ledger(spark, f"{out}/tables/flows")

@@ -183,3 +183,17 @@ def test_live_path_with_signature_events(spark, tmp_path):
     signals = DatedTable(spark, f"{out}/signals", "bucket_start").read()
     assert {r["source_type"] for r in signals.collect()} == {"suricata_signature"}
     assert detect.current_alerts(spark, out).agg(F.sum("occurrence_count")).first()[0] == signals.count() == 2
+
+
+def test_ingested_lines_are_stored_compressed(spark, tmp_path):
+    import datetime
+    import glob
+    from flowguard.session import shared_dir
+    at = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(i, at, i, "view", 1.5, '{"k": 3}') for i in range(20)],
+                          "event_id long, ts timestamp_ntz, user_id long, event_type string, "
+                          "value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    from flowguard.plans import q_streams
+    assert q_streams.str_1(spark, str(tmp_path)).count() == 20
+    held = glob.glob(f"{shared_dir(spark)}/flowguard-ingest-*/input/part-*")
+    assert held and all(f.endswith(".gz") for f in held)
