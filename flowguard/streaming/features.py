@@ -1,7 +1,9 @@
 """Trailing-window features on a stream, in event order per (sensor, source).
 
 Rows wait in state until the watermark has passed them, then they are worked off in
-(time, key) order. What the longest window no longer needs leaves the state.
+(time, key) order. Sources are cut into time slices as in the batch operator, each with the rows of
+one window length before it, so a task holds one slice of a source at a time. What the longest
+window no longer needs leaves the state, and all of a slice once the watermark has passed its end.
 """
 
 import heapq
@@ -13,13 +15,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from flowguard import constants as K
-from flowguard.operators.windows import window_features
+from flowguard.operators.windows import own_slice, slice_copies, slice_length, window_features
 from flowguard.session import materialised
 
 ROW = ["t", "event_key", "dst_address", "dst_port", "protocol", "packet_count", "byte_count",
-       "duration_ms", "failed"]
+       "duration_ms", "failed", "target"]
 STATE_SCHEMA = ("t long, event_key string, dst_address string, dst_port int, protocol string, "
-                "packet_count long, byte_count long, duration_ms long, failed long")
+                "packet_count long, byte_count long, duration_ms long, failed long, target boolean")
 TYPES = {"flow_count": "long", "unique_dst_address_count": "long",
          "unique_dst_port_count": "long", "packet_total": "long", "byte_total": "long",
          "failure_count": "long", "mean_duration_ms": "double", "max_duration_ms": "long",
@@ -88,14 +90,16 @@ def _largest(values, start) -> list[int]:
 
 
 class WindowFeatures(StatefulProcessor):
-    """State: ``waiting`` rows before the watermark passes, ``recent`` rows of the windows.
+    """State of a slice: ``waiting`` rows before the watermark passes, ``recent`` rows of the windows.
 
+    Rows before the slice are not its ``target``: they count in windows and have no features here.
     Both are maps by (time, key): a row is written when it comes, moved once, and removed when the
     longest window has left it; nothing is rewritten in between.
     """
 
     def __init__(self, seconds):
         self.seconds = tuple(seconds)
+        self.length = slice_length(max(self.seconds))
 
     def init(self, handle):
         self.handle = handle
@@ -129,6 +133,7 @@ class WindowFeatures(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs() * 1000
+        end = (int(key[2]) + 1) * self.length
         held = self._rows(self.waiting)
         due = [r for r in held if r[0] < mark]
         recent = self._rows(self.recent)
@@ -136,17 +141,21 @@ class WindowFeatures(StatefulProcessor):
         ready = [r for r in due if r[1] not in known]
         reach, rows = max(self.seconds) * 1_000_000, recent + ready
         parts = [sliding(rows, len(recent), w * 1_000_000) for w in self.seconds]
-        out = [[row[1], *(v for part in parts for v in part[i])] for i, row in enumerate(ready)]
+        out = [[row[1], *(v for part in parts for v in part[i])] for i, row in enumerate(ready)
+               if row[9]]
         for r in due:
             self.waiting.removeKey(r[:2])
+        needed = mark - reach if mark <= end else end
         for r in ready:
-            if r[0] >= mark - reach:
+            if r[0] >= needed:
                 self.recent.updateValue(r[:2], r[2:])
         for r in recent:
-            if r[0] < mark - reach:
+            if r[0] < needed:
                 self.recent.removeKey(r[:2])
         if len(held) > len(due):
             self.handle.registerTimer(held[len(due)][0] // 1000 + 1)
+        elif mark <= end:
+            self.handle.registerTimer(end // 1000 + 1)
         yield pd.DataFrame(out, columns=self._columns())
 
     def close(self):
@@ -160,10 +169,13 @@ def stream_features(flows: DataFrame, seconds=K.DEFAULT_WINDOWS, delay: str = "1
     flows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = (flows.withWatermark("event_time", delay)
             .withColumn("t", F.unix_micros("event_time"))
+            .withColumn("_own", own_slice(slice_length(max(seconds))))
+            .withColumn("slice", F.explode(slice_copies(max(seconds))))
+            .withColumn("target", F.col("slice") == F.col("_own"))
             .withColumn("failed", is_failure(F.col("source_type"), F.col("state")).cast("long"))
             .withColumn("sensor", F.coalesce("sensor_id", F.lit("")))
-            .select("event_time", "sensor", "src_address", *ROW))
-    return rows.groupBy("sensor", "src_address").transformWithStateInPandas(
+            .select("event_time", "sensor", "src_address", "slice", *ROW))
+    return rows.groupBy("sensor", "src_address", "slice").transformWithStateInPandas(
         statefulProcessor=WindowFeatures(seconds), outputStructType=output_schema(seconds),
         outputMode="Append", timeMode="EventTime")
 

@@ -185,6 +185,54 @@ def test_live_path_with_signature_events(spark, tmp_path):
     assert detect.current_alerts(spark, out).agg(F.sum("occurrence_count")).first()[0] == signals.count() == 2
 
 
+class _Map(dict):
+    """A map state within the test's own process."""
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getMapState(self, *_):
+        return _Map()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Mark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_a_slice_of_stream_features_is_emptied_at_its_end():
+    import pandas as pd
+    handle, op = _Handle(), features.WindowFeatures((60, 300))
+    op.init(handle)
+    key = ("s", "192.0.2.1", 1)
+    rows = [(t * 1_000_000, f"k{t}", "a", 80, "tcp", 1, 1, 1, 0, t >= 1200)
+            for t in (1000, 1190, 1210, 2390)]
+    list(op.handleInputRows(key, iter([pd.DataFrame(rows, columns=features.ROW)]), _Mark(0)))
+    out = pd.concat(list(op.handleExpiredTimer(key, _Mark(2_395_000), None)))
+    assert list(out["event_key"]) == ["k1210", "k2390"]
+    assert list(out["w300_flow_count"]) == [3, 1] and len(op.recent) == 1
+    assert handle.timers[-1] == 2_400_001
+    list(op.handleExpiredTimer(key, _Mark(2_400_001), None))
+    assert not op.recent and not op.waiting
+
+
 def test_ingested_lines_are_stored_compressed(spark, tmp_path):
     import datetime
     import glob
