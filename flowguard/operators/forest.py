@@ -18,6 +18,8 @@ NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, rig
                "path double, size int, depth int, rows int")
 #: Nodes of 48 bytes that a model may have to be held by the driver and the tasks.
 MOST_NODES = 1_000_000
+#: Rows whose ways through all trees are held at a time.
+OCCLUDED_ROWS = 500
 
 
 def sample_per_tree(df: DataFrame, key: str, names, trees: int, rows: int) -> DataFrame:
@@ -123,16 +125,54 @@ class ForestModel:
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Isolation score less one half: the larger, the more unusual."""
+        return self._score(self._paths(x))
+
+    def _score(self, paths: np.ndarray) -> np.ndarray:
+        return np.power(2.0, -paths.mean(axis=1) / self.expected) - 0.5
+
+    def _paths(self, x: np.ndarray, asked: np.ndarray | None = None) -> np.ndarray:
+        """Path lengths (row by tree). ``asked`` (feature, row, tree) is set where a row's way
+        through a tree asks for a feature."""
         trees = np.arange(len(self.feature))[None, :]
         at = np.zeros((len(x), len(self.feature)), dtype=np.int32)
         rows = np.arange(len(x))[:, None]
         for _ in range(self.depth):
             f = self.feature[trees, at]
+            if asked is not None:
+                row, tree = np.nonzero(f >= 0)
+                asked[f[row, tree], row, tree] = True
             goes_left = x[rows, np.maximum(f, 0)] <= self.threshold[trees, at]
             step = np.where(goes_left, self.left[trees, at], self.right[trees, at])
             at = np.where(f < 0, at, step)
-        mean = self.path[trees, at].mean(axis=1)
-        return np.power(2.0, -mean / self.expected) - 0.5
+        return self.path[trees, at]
+
+    def occluded(self, x: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scores, and per feature (row by feature) their change when it is set to its baseline.
+
+        A row is walked again only through trees that asked for the feature on its way, and only where
+        its value is not the baseline; in all others its path stays as it is.
+        """
+        asked = np.zeros((x.shape[1], len(x), len(self.feature)), dtype=bool)
+        paths = self._paths(x, asked)
+        whole = self._score(paths)
+        change = np.zeros(x.shape)
+        for i in range(x.shape[1]):
+            row, tree = np.nonzero(asked[i] & (x[:, i] != base[i])[:, None])
+            if not len(row):
+                continue
+            moved = np.unique(row)
+            at = np.zeros(len(row), dtype=np.int32)
+            for _ in range(self.depth):
+                f = self.feature[tree, at]
+                value = np.where(f == i, base[i], x[row, np.maximum(f, 0)])
+                step = np.where(value <= self.threshold[tree, at], self.left[tree, at],
+                                self.right[tree, at])
+                at = np.where(f < 0, at, step)
+            kept = paths[row, tree]
+            paths[row, tree] = self.path[tree, at]
+            change[moved, i] = whole[moved] - self._score(paths[moved])
+            paths[row, tree] = kept
+        return whole, change
 
 
 def load_forest(forest: DataFrame, names, most: int = MOST_NODES) -> ForestModel:
@@ -165,20 +205,16 @@ def occlusion_deltas(df: DataFrame, model: ForestModel, baseline: dict, out: str
                      score: str = "subject_score") -> DataFrame:
     """Adds the row's score, and its change when one feature at a time is set to its baseline."""
     shared = df.sparkSession.sparkContext.broadcast(
-        (model, np.array([baseline[n] for n in model.names])))
+        (model, np.array([baseline[n] for n in model.names], dtype=np.float64)))
 
     @F.pandas_udf("deltas array<double>, whole double")
     def deltas(x: pd.DataFrame) -> pd.DataFrame:
         forest, base = shared.value
         values = x.to_numpy(dtype=np.float64)
-        whole = forest.raw(values)
-        change = np.empty(values.shape)
-        for i in range(values.shape[1]):
-            kept = values[:, i].copy()
-            values[:, i] = base[i]
-            change[:, i] = whole - forest.raw(values)
-            values[:, i] = kept
-        return pd.DataFrame({"deltas": list(change), "whole": whole})
+        parts = [forest.occluded(values[at:at + OCCLUDED_ROWS], base)
+                 for at in range(0, len(values), OCCLUDED_ROWS)]
+        return pd.DataFrame({"deltas": [d for _, change in parts for d in change],
+                             "whole": [w for whole, _ in parts for w in whole]})
 
     return (df.withColumn("_occluded", deltas(_inputs(model.names)))
             .withColumns({out: F.col("_occluded.deltas"), score: F.col("_occluded.whole")})

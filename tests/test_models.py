@@ -100,3 +100,16 @@ def test_a_summary_claims_no_cause(rows):
                                                F.lit(1.0)))
     with pytest.raises(Exception, match="claims a cause"):
         bad.collect()
+
+
+def test_occlusion_walks_only_what_a_feature_can_change(rows):
+    model = FO.load_forest(FO.fit_forest(rows, "event_key", NAMES, 20, 64), NAMES)
+    x = np.array([[r[n] for n in NAMES] for r in rows.limit(80).collect()])
+    base = np.median(x, axis=0)
+    x[::4, 1] = base[1]
+    whole, change = model.occluded(x, base)
+    assert np.array_equal(whole, model.raw(x))
+    for i in range(3):
+        other = x.copy()
+        other[:, i] = base[i]
+        assert np.array_equal(change[:, i], whole - model.raw(other))
