@@ -1,12 +1,13 @@
 """Supervised candidates: fitting, choice on validation, one look at the test rows."""
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from flowguard import constants as K
 from flowguard.operators.encoders import robust_scale
+from flowguard.operators.logistic import LogisticFit, fit_logistic
 from flowguard.operators.metrics import binary_metrics
 
 
@@ -34,21 +35,22 @@ def fit_candidates(matrix: DataFrame, names, trees: int = 300, depth: int = 20,
     out = {}
     for name in which:
         logistic = name == "logistic_regression"
-        rows = assembled(robust_scale(matrix, names, partition) if logistic else matrix, names)
+        rows = robust_scale(matrix, names, partition) if logistic else assembled(matrix, names)
         train = with_class_weights(rows.where(F.col(partition) == K.PARTITIONS[0]), label)
         if logistic:
-            model = LogisticRegression(
-                maxIter=iterations, regParam=1.0 / max(train.count(), 1), standardization=False,
-                **common)
+            model = fit_logistic(train, names, label, "_weight", 1.0 / max(train.count(), 1),
+                                 iterations)
         else:
             model = RandomForestClassifier(
                 numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
-                featureSubsetStrategy="sqrt", seed=K.SEED, **common)
-        out[name] = (model.fit(train), rows)
+                featureSubsetStrategy="sqrt", seed=K.SEED, **common).fit(train)
+        out[name] = (model, rows)
     return out
 
 
 def probabilities(model, df: DataFrame) -> DataFrame:
+    if isinstance(model, LogisticFit):
+        return model.with_probability(df, "probability_1")
     return (model.transform(df)
             .withColumn("probability_1", F.get(vector_to_array("probability"), F.lit(1)))
             .drop("rawPrediction", "probability", "prediction", "_x"))
@@ -64,7 +66,7 @@ def slopes(model, df: DataFrame, names, label: str = "label") -> DataFrame:
         F.sum("_weight").alias("_w"),
         *[F.struct(F.sum(part * F.col(n)).alias("s"), F.sum(F.abs(part * F.col(n))).alias("a")).alias(n)
           for n in names])
-    held = {n: float(b) * model.getRegParam() for n, b in zip(names, model.coefficients)}
+    held = {n: float(b) * model.penalty for n, b in zip(names, model.coefficients)}
     rows = F.array(*[F.struct(
         F.lit(n).alias("feature"), (F.col(f"{n}.s") / F.col("_w") + F.lit(held[n])).alias("slope"),
         (F.col(f"{n}.a") / F.col("_w") + F.lit(abs(held[n]))).alias("size")) for n in names])

@@ -113,3 +113,31 @@ def test_occlusion_walks_only_what_a_feature_can_change(rows):
         other = x.copy()
         other[:, i] = base[i]
         assert np.array_equal(change[:, i], whole - model.raw(other))
+
+
+def test_a_logistic_fit_takes_few_passes_to_the_optimum(spark):
+    """Labels that a feature tells apart, features of very unlike sizes: many short steps before."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 3)) * [1.0, 300.0, 0.01]
+    label = (x[:, 0] + 0.02 * rng.normal(size=900) > 0.2).astype(int)
+    df = spark.createDataFrame(
+        [(*map(float, r), int(y), "training") for r, y in zip(x, label)],
+        "a double, b double, c double, label int, partition string").repartition(3)
+    model, frame = C.fit_candidates(df, NAMES, which=("logistic_regression",))[
+        "logistic_regression"]
+    assert model.passes <= 40
+    train = C.with_class_weights(frame)
+    for r in C.slopes(model, train, NAMES).collect():
+        assert abs(r["slope"]) < 1e-6
+    p = C.probabilities(model, train)
+    left = p.agg(F.sum(F.col("_weight") * (F.col("label") - F.col("probability_1")))).first()[0]
+    assert abs(left) < 1e-4
+    with pytest.raises(Exception, match="null"):
+        C.probabilities(model, frame.withColumn("a", F.lit(None).cast("double"))).collect()
+
+
+def test_a_logistic_fit_of_one_class(rows):
+    for y, p in ((1, 1.0), (0, 0.0)):
+        model, frame = C.fit_candidates(rows.withColumn("label", F.lit(y)), NAMES, which=(
+            "logistic_regression",))["logistic_regression"]
+        assert {r[0] for r in C.probabilities(model, frame).select("probability_1").collect()} == {p}
