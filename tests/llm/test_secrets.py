@@ -127,3 +127,29 @@ def test_base_spans_equal_a_plain_search():
                 if len(m.group(2 if k == 0 else 0)) >= least:
                     want.append((m.start(), k, m.end()))
         assert S.base_spans(text) == [(s, e, S.KINDS[k]) for s, k, e in sorted(want)]
+
+
+def test_every_finding_is_learnt_from(make_docs, monkeypatch):
+    """More findings of a class than a part holds: all are taken, all parts train, none is left out."""
+    texts = [(i, f"a password=abcdef{i:05d} b 1234567890abcdefg{i:05d}zz c") for i in range(1600)]
+    rows = S.labelled_findings(make_docs(texts))
+    assert {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()} == {0: 1600, 1: 1600}
+    monkeypatch.setattr(S, "PART", 400)
+    dealt, parts = S._dealt(rows, 3200)
+    assert dealt.count() == 3200 and dealt.select("part").distinct().count() == parts == 8
+    state = S.flat_state(S.SecretNetwork.start())
+    got = S._round(dealt, state, {0: 1.0, 1: 1.0}, 3200, 1, 0, 7, 0)
+    held = {}
+    for r in dealt.collect():
+        held.setdefault(r["part"], []).append(r)
+    want = sum(S.train_part(state, [r[1:4] for r in p], S.np.array([float(r["y"]) for r in p]),
+                            S.np.ones(len(p)), 1, 0, (7, 0, k)) * len(p) / 3200
+               for k, p in held.items())
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_parts_learn_what_one_part_does(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART", 40)
+    net = S.train(spark.createDataFrame(corpus(240, seed=5), "doc_id long, text string"), epochs=8)
+    p = net.scores([("", "8f3a9c0b71d2e64fa95b0c7d1e28", ""), ("", "4495114827612972", "")])
+    assert p[0] > p[1] and p[1] < net.threshold
