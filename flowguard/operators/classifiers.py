@@ -1,27 +1,26 @@
 """Supervised candidates: fitting, choice on validation, one look at the test rows."""
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from flowguard import constants as K
 from flowguard.operators.encoders import robust_scale
-from flowguard.operators.logistic import LogisticFit, fit_logistic
+from flowguard.operators.logistic import fit_logistic
 from flowguard.operators.metrics import binary_metrics
+from flowguard.operators.trees import fit_trees
 
 
-def assembled(matrix: DataFrame, names) -> DataFrame:
-    return VectorAssembler(inputCols=list(names), outputCol="_x").transform(matrix)
+def class_weights(df: DataFrame, label: str = "label") -> tuple[float, float]:
+    """n / (2 n_class) of labels 0 and 1."""
+    counts = df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+    ones, zeros = max(counts[0], 1), max(counts[1], 1)
+    total = ones + zeros
+    return total / (2.0 * zeros), total / (2.0 * ones)
 
 
 def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Weight n / (2 n_class), the two class counts being constants of the plan."""
-    counts = df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
-    ones, zeros = max(counts[0], 1), max(counts[1], 1)
-    total = ones + zeros
-    return df.withColumn("_weight", F.when(F.col(label) == 1, total / (2.0 * ones))
-                         .otherwise(total / (2.0 * zeros)))
+    zero, one = class_weights(df, label)
+    return df.withColumn("_weight", F.when(F.col(label) == 1, one).otherwise(zero))
 
 
 ALGORITHMS = ("logistic_regression", "random_forest")
@@ -31,29 +30,23 @@ def fit_candidates(matrix: DataFrame, names, trees: int = 300, depth: int = 20,
                    iterations: int = 500, which=ALGORITHMS, label: str = "label",
                    partition: str = "partition") -> dict:
     """Fitted models by name, each with the matrix it reads: name -> (model, rows)."""
-    common = {"featuresCol": "_x", "labelCol": label, "weightCol": "_weight"}
     out = {}
     for name in which:
         logistic = name == "logistic_regression"
-        rows = robust_scale(matrix, names, partition) if logistic else assembled(matrix, names)
-        train = with_class_weights(rows.where(F.col(partition) == K.PARTITIONS[0]), label)
+        rows = robust_scale(matrix, names, partition) if logistic else matrix
+        train = rows.where(F.col(partition) == K.PARTITIONS[0])
         if logistic:
+            train = with_class_weights(train, label)
             model = fit_logistic(train, names, label, "_weight", 1.0 / max(train.count(), 1),
                                  iterations)
         else:
-            model = RandomForestClassifier(
-                numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
-                featureSubsetStrategy="sqrt", seed=K.SEED, **common).fit(train)
+            model = fit_trees(train, names, label, class_weights(train, label), trees, depth, K.SEED)
         out[name] = (model, rows)
     return out
 
 
 def probabilities(model, df: DataFrame) -> DataFrame:
-    if isinstance(model, LogisticFit):
-        return model.with_probability(df, "probability_1")
-    return (model.transform(df)
-            .withColumn("probability_1", F.get(vector_to_array("probability"), F.lit(1)))
-            .drop("rawPrediction", "probability", "prediction", "_x"))
+    return model.with_probability(df, "probability_1")
 
 
 def slopes(model, df: DataFrame, names, label: str = "label") -> DataFrame:
