@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -145,11 +146,29 @@ class Words:
         self._forget()
 
     def _forget(self) -> None:
+        self.hits = np.zeros(0, np.int64)
         self.seen: dict[str, int] = {}
         self.pieces: dict[str, int] = {"": 0}
         self.parts = np.zeros((0, 2), np.int64)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(2, np.int64)
 
+    def _forget_rare(self) -> None:
+        """Keeps the words met more than once, at most half as many as are remembered."""
+        often = np.flatnonzero(self.hits > 1)
+        if len(often) > self.remember // 2:
+            often = np.sort(often[np.argsort(-self.hits[often], kind="stable")[:self.remember // 2]])
+        names, keys = list(self.seen), list(self.pieces)
+        parts, hits, ids, ends = self.parts[often], self.hits[often], self.ids, self.ends
+        used = np.setdiff1d(parts, [0])
+        self._forget()
+        self.seen = {names[i]: at for at, i in enumerate(often.tolist())}
+        # Counted afresh, so words that are met no more go the next time.
+        self.hits = np.minimum(hits, 1)
+        sizes = ends[used + 1] - ends[used]
+        at = np.repeat(ends[used] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+        self._learn([keys[i] for i in used.tolist()], ids[at], sizes)
+        self.parts = np.where(parts > 0, np.searchsorted(used, parts) + 1, 0)
+
     def _learn(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.pieces.update(zip(names, range(len(self.pieces), len(self.pieces) + len(names))))
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
@@ -171,12 +190,13 @@ class Words:
         # Words of letters are one piece each, whose last token and no other ends a word.
         if letters:
             letters = list(letters)
-            ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids)
+            ids = np.array(self.tokenizer.encode_batch_fast(
+                [" ".join(letters)], add_special_tokens=False)[0].ids)
             ends = np.flatnonzero(self.last[ids]) + 1
             self._learn(letters, ids, np.diff(np.r_[0, ends]))
         rest = [p for p in {*heads, *tails} if p not in known]
         if rest:
-            made = [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
             sizes = np.fromiter(map(len, made), np.int64, len(made))
             self._learn(rest, np.fromiter(chain.from_iterable(made), np.int64, int(sizes.sum())), sizes)
         self.seen.update(zip(fresh, range(len(self.parts), len(self.parts) + len(fresh))))
@@ -186,7 +206,7 @@ class Words:
     def encode(self, parts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if len(self.seen) > self.remember:
-            self._forget()
+            self._forget_rare()
         split = [p.replace("\n", " ").split(" ") for p in parts]
         fresh = set()
         for words in split:
@@ -197,6 +217,8 @@ class Words:
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         codes = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(split)), np.int64,
                             int(sizes.sum()))
+        self.hits = np.r_[self.hits, np.zeros(len(self.parts) - len(self.hits), np.int64)]
+        self.hits += np.bincount(codes, minlength=len(self.hits))
         piece = self.parts[codes].ravel()
         begin = self.ends[piece]
         counts = self.ends[piece + 1] - begin
@@ -205,6 +227,12 @@ class Words:
         return np.split(flat, total[2 * np.cumsum(sizes)][:-1])
 
 
+@lru_cache(maxsize=1)
+def words_of(spec: str) -> Words:
+    """A tokenizer's words, which a Python process keeps from task to task."""
+    return Words(spec)
+
+
 def slices(text: str, size: int = SLICE):
     """Parts of about ``size`` characters that end before a blank or a line break."""
     start = 0
@@ -253,7 +281,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = Words(spec.value)
+        words = words_of(spec.value)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             values = [t or "" for t in batch.column(1).to_pylist()]

@@ -125,3 +125,27 @@ def test_a_long_text_leaves_in_pieces(spark, make_docs, monkeypatch):
 
 def test_empty_table(spark, make_docs):
     assert packing.packed_pieces(make_docs([]), PATH).count() == 0
+
+
+def test_words_met_often_stay_known():
+    """Past its bound the table keeps what recurs, and ids stay those of the library."""
+    theirs = tokenizers.Tokenizer.from_file(PATH)
+    with open(PATH, encoding="utf-8") as f:
+        words = packing.Words(f.read(), remember=40)
+    common = ["the", "Cat,", "sat", "7", "été.", ""]
+    for i in range(30):
+        texts = [" ".join(common + [f"w{i}x{j}", "ab" * j + "."]) for j in range(3)]
+        learnt = words._words
+        fresh = []
+        words._words = lambda f: (fresh.extend(f), learnt(f))
+        got = [a.tolist() for a in words.encode(texts)]
+        words._words = learnt
+        assert got == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+        assert i == 0 or not set(common) & set(fresh)
+        assert len(words.seen) == len(words.parts) <= 40 + 10
+
+
+def test_a_process_keeps_its_words():
+    with open(PATH, encoding="utf-8") as f:
+        spec = f.read()
+    assert packing.words_of(spec) is packing.words_of("" + spec[:5] + spec[5:])
