@@ -121,6 +121,19 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[Rul
     return rules, used
 
 
+class Codes(dict):
+    """Numbers words as they are asked for, and lists the new ones."""
+
+    def __init__(self, words=()):
+        super().__init__(zip(words, range(len(words))))
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.fresh.append(word)
+        return code
+
+
 class Words:
     """Token ids of words that white space parts; those seen are looked up.
 
@@ -147,7 +160,7 @@ class Words:
 
     def _forget(self) -> None:
         self.hits = np.zeros(0, np.int64)
-        self.seen: dict[str, int] = {}
+        self.seen = Codes()
         self.pieces: dict[str, int] = {"": 0}
         self.parts = np.zeros((0, 2), np.int64)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(2, np.int64)
@@ -161,7 +174,7 @@ class Words:
         parts, hits, ids, ends = self.parts[often], self.hits[often], self.ids, self.ends
         used = np.setdiff1d(parts, [0])
         self._forget()
-        self.seen = {names[i]: at for at, i in enumerate(often.tolist())}
+        self.seen = Codes([names[i] for i in often.tolist()])
         # Counted afresh, so words that are met no more go the next time.
         self.hits = np.minimum(hits, 1)
         sizes = ends[used + 1] - ends[used]
@@ -199,7 +212,6 @@ class Words:
             made = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
             sizes = np.fromiter(map(len, made), np.int64, len(made))
             self._learn(rest, np.fromiter(chain.from_iterable(made), np.int64, int(sizes.sum())), sizes)
-        self.seen.update(zip(fresh, range(len(self.parts), len(self.parts) + len(fresh))))
         pairs = [np.fromiter(map(known.__getitem__, p), np.int64, len(fresh)) for p in (heads, tails)]
         self.parts = np.concatenate([self.parts, np.stack(pairs, axis=1)])
 
@@ -208,15 +220,12 @@ class Words:
         if len(self.seen) > self.remember:
             self._forget_rare()
         split = [p.replace("\n", " ").split(" ") for p in parts]
-        fresh = set()
-        for words in split:
-            fresh.update(words)
-        fresh = list(fresh.difference(self.seen))
-        if fresh:
-            self._words(fresh)
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         codes = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(split)), np.int64,
                             int(sizes.sum()))
+        if self.seen.fresh:
+            self._words(self.seen.fresh)
+            self.seen.fresh = []
         self.hits = np.r_[self.hits, np.zeros(len(self.parts) - len(self.hits), np.int64)]
         self.hits += np.bincount(codes, minlength=len(self.hits))
         piece = self.parts[codes].ravel()
