@@ -19,18 +19,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
+from flowguard.operators.vectors import columns_of, vector
 from flowguard.session import materialised
 
 #: Bins of a feature; rows of a block; nodes whose splits are looked for at a time.
 BINS, BLOCK, AT_ONCE = 32, 65_536, 1024
-#: Quantiles of a class are taken on a grid so much finer than the bins.
-FINER = 8
+#: Rows that are summed up at a time for quantiles, and points a summary has of each class at most.
+SUMMED, POINTS = 131_072, 2048
+#: Bytes of dealt rows that a task holds before it passes them on.
+HELD = 16_000_000
 #: A node is large from this share of the rows on, within these bounds.
 SHARE, LEAST, MOST = 1 / 128, 20_000, 500_000
 #: Random 16-bit numbers as Poisson numbers of mean 1.
@@ -38,39 +40,68 @@ DRAWS = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(i) for i in ran
                         (np.arange(65_536) + 0.5) / 65_536).astype(np.uint8)
 
 
+def points(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and rows each stands for: all values if few, else those at equal steps of rank, the last included."""
+    values, n = np.unique(values, return_counts=True)
+    if len(values) <= POINTS:
+        return values, n
+    upto = np.cumsum(n)
+    at = np.unique(np.searchsorted(upto, upto[-1] * (np.arange(1, POINTS + 1) / POINTS) - 1e-6))
+    return values[at], np.diff(upto[at], prepend=0)
+
+
 def bin_edges(df: DataFrame, names, label: str, weights) -> list[np.ndarray]:
     """Per feature the upper bounds of all bins but the last: all values if few, else quantiles.
 
-    Rows count by the weight of their class, as in MLlib. Quantiles are taken of each class, on a finer
-    grid, and then of both together.
+    Rows count by the weight of their class, as in MLlib. Tasks sum up the values of each class in points, those
+    of a feature are then put together.
     """
-    grid = BINS * FINER
-    shares = F.array(*[F.lit(i / grid) for i in range(1, grid + 1)])
-    rows = df.select(F.col(label).alias("y"), *[F.col(n).cast("double").alias(f"c{i}")
-                                                for i, n in enumerate(names)])
-    found = rows.groupBy("y").agg(F.count("*").alias("n"), *[
-        F.percentile_approx(f"c{i}", shares, 10_000).alias(f"q{i}") for i in range(len(names))]).collect()
+    def summed(held):
+        y, *columns = np.concatenate(held, axis=1)
+        odd = not bool(np.isin(y, (0, 1)).all())
+        for i, values in enumerate(columns):
+            holes = np.isnan(values)
+            for c in (0, 1):
+                v, n = points(values[(y == c) & ~holes])
+                yield i, odd, bool(holes.any()), c, v.tobytes(), n.astype(np.int64).tobytes()
+
+    def summaries(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(columns_of(batch.column(0), len(names) + 1))
+            size += batch.num_rows
+            if size >= SUMMED:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*summed(held))], kinds)
+                held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*summed(held))], kinds)
+
+    def bounds(key, rows):
+        values = [np.frombuffer(v) for v in rows.column("v").to_pylist()]
+        n = [np.frombuffer(n, np.int64) * weights[c]
+             for n, c in zip(rows.column("n").to_pylist(), rows.column("c").to_pylist())]
+        values, place = np.unique(np.concatenate(values), return_inverse=True)
+        if len(values) > BINS:
+            whole = np.cumsum(np.bincount(place, np.concatenate(n)))
+            at = np.searchsorted(whole, whole[-1:] * (np.arange(1, BINS) / BINS - 1e-9))
+            values = np.unique(np.r_[values[at], values[-1:]])
+        flags = [pa.array([bool(np.any(rows.column(f).to_pylist()))]) for f in ("odd", "holes")]
+        return pa.Table.from_arrays(
+            [pa.array([key[0].as_py()]), *flags, pa.array([values[:-1].tobytes()], pa.binary())],
+            ["i", "odd", "holes", "edges"])
+
+    kinds = ["i", "odd", "holes", "c", "v", "n"]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    found = (df.select(vector((label, *names))).coalesce(3 * cores).mapInArrow(
+                 summaries, "i long, odd boolean, holes boolean, c long, v binary, n binary")
+             .groupBy("i").applyInArrow(bounds, "i long, odd boolean, holes boolean, edges binary").collect())
     if not found:
         raise ValueError("no rows to fit on")
-    if not {r["y"] for r in found} <= {0, 1}:
+    if any(r["odd"] for r in found):
         raise ValueError("labels are 0 and 1")
-    each = rows.agg(*[F.approx_count_distinct(f"c{i}").alias(f"n{i}") for i in range(len(names))]).first()
-    few = [i for i in range(len(names)) if each[f"n{i}"] <= 2 * BINS]
-    sets = rows.agg(*[F.collect_set(f"c{i}").alias(f"s{i}") for i in few]).first() if few else {}
-    edges = []
-    for i in range(len(names)):
-        if i in few and len(sets[f"s{i}"]) <= BINS:
-            values = np.unique(sets[f"s{i}"])
-        else:
-            points = [(q, r["n"] * weights[r["y"]]) for r in found for q in r[f"q{i}"] or ()]
-            if not points:
-                raise ValueError("null or NaN among the features")
-            q, w = np.array(sorted(points)).T
-            whole = np.cumsum(w)
-            at = np.searchsorted(whole, whole[-1:] * (np.arange(1, BINS) / BINS - 1e-9))
-            values = np.unique(np.r_[q[at], q[-1:]])
-        edges.append(values[:-1])
-    return edges
+    if any(r["holes"] for r in found):
+        raise ValueError("null or NaN among the features")
+    return [np.frombuffer(r["edges"]) for r in sorted(found, key=lambda r: r["i"])]
 
 
 def binned(columns, edges) -> np.ndarray:
@@ -88,7 +119,7 @@ def packed_bins(df: DataFrame, names, label: str, edges) -> DataFrame:
     def run(batches):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]
+            cols = columns_of(batch.column(0), len(names) + 1)
             if not np.isin(cols[0], (0, 1)).all():
                 raise ValueError("labels are 0 and 1")
             y, x = cols[0].astype(np.uint8), binned(cols[1:], edges)
@@ -98,13 +129,12 @@ def packed_bins(df: DataFrame, names, label: str, edges) -> DataFrame:
                                           for a in (x, y)]], ["block", "x", "y"])
                 block += 1
 
-    return df.select(*[F.col(n).cast("double").alias(f"c{i}") for i, n in enumerate((label, *names))]
-                     ).mapInArrow(run, "block long, x binary, y binary")
+    return df.select(vector((label, *names))).mapInArrow(run, "block long, x binary, y binary")
 
 
 def drawn(seed: int, tree: int, block: int, rows: int) -> np.ndarray:
     """How often a tree draws each row of a block."""
-    return DRAWS[np.random.default_rng((seed, tree, block)).integers(0, 65_536, rows, np.uint16)]
+    return DRAWS.take(np.random.default_rng((seed, tree, block)).integers(0, 65_536, rows, np.uint16))
 
 
 #: What a pool holds of its nodes, and how.
@@ -182,32 +212,51 @@ class Nodes:
         return at[(c.min(axis=1) > 0) & (self.depth[at] < depth) & (c.sum(axis=1) >= 2 * least)]
 
 
-def walk(feature, cut, left, x: np.ndarray, rows: np.ndarray, root: int) -> np.ndarray:
+def steps(feature, cut, left) -> np.ndarray:
+    """Nodes as one number each: feature, cut and left child; a leaf is negative."""
+    return np.where(feature < 0, -1, left.astype(np.int64) << 24 | cut.astype(np.int64) << 16 | feature)
+
+
+def walk_steps(nodes: np.ndarray, x: np.ndarray, rows: np.ndarray, root: int) -> np.ndarray:
     """Where those rows of ``x`` end that begin at a root."""
-    end = np.full(len(rows), root, np.int32)
-    flat, start, open_ = x.ravel(), rows * x.shape[1], np.arange(len(rows))
-    at = end
-    while len(open_):
-        f = feature[at]
-        if (f < 0).any():
-            go = f >= 0
-            end[open_] = at
-            open_, start, at, f = open_[go], start[go], at[go], f[go]
-        at = left[at] + (flat[start + f] > cut[at])
+    end, open_ = np.full(len(rows), root, np.int64), None
+    if nodes[root] < 0:
+        return end
+    flat, start, at = x.ravel(), rows * x.shape[1], end
+    while len(at):
+        step = nodes.take(at)
+        go = step >= 0
+        if not go.all():
+            if open_ is None:
+                end, open_ = at.copy(), np.flatnonzero(go)
+            else:
+                end[open_] = at
+                open_ = open_[go]
+            start, step = start[go], step[go]
+        at = (step >> 24) + (flat.take(start + (step & 0xffff)) > (step >> 16 & 0xff))
     return end
 
 
+def walk(feature, cut, left, x: np.ndarray, rows: np.ndarray, root: int) -> np.ndarray:
+    """Where those rows of ``x`` end that begin at a root."""
+    return walk_steps(steps(feature, cut, left), x, rows, root)
+
+
 def looked_at(rng, nodes: int, features: int, k: int) -> np.ndarray:
     """A random choice of ``k`` features for each node."""
     return np.argsort(rng.random((nodes, features)), axis=1)[:, :k].astype(np.int16)
 
 
-def counted(x, y, draws, node: np.ndarray, looked: np.ndarray) -> np.ndarray:
-    """Drawn rows by (node, feature looked at, bin, label)."""
+def counted(x, y, draws, node: np.ndarray, looked: np.ndarray, rows=None) -> np.ndarray:
+    """Drawn rows by (node, feature looked at, bin, label); ``rows`` are their places in ``x``, else all."""
     nodes, k = looked.shape
-    key = node[:, None] * k + np.arange(k)
-    key = (key * BINS + x[np.arange(len(node))[:, None], looked[node]]) * 2 + y[:, None]
-    return np.bincount(key.ravel(), np.repeat(draws, k), nodes * k * BINS * 2).astype(
+    rows = np.arange(len(node)) if rows is None else rows
+    at = looked.astype(np.int64).take(node, axis=0)
+    at += (rows * x.shape[1])[:, None]
+    key = (np.arange(nodes * k).reshape(nodes, 1, k) * (2 * BINS) + np.arange(2)[:, None]).reshape(
+        -1, k).take(2 * node + y, axis=0)
+    key += (x.ravel().take(at) * np.uint8(2)).astype(np.int64)
+    return np.bincount(key.ravel(), np.repeat(draws.astype(np.float64), k), nodes * k * BINS * 2).astype(
         np.int32).reshape(nodes, k, BINS, 2)
 
 
@@ -271,23 +320,21 @@ class ForestFit:
         """Mean over the trees of the leaves' values, of features given column by column."""
         total = np.zeros(len(columns[0]))
         x = binned(columns, self.edges)
-        rows = np.arange(len(x))
+        rows, nodes = np.arange(len(x)), steps(self.feature, self.cut, self.left)
         for root in self.roots:
-            total += self.value[walk(self.feature, self.cut, self.left, x, rows, root)]
+            total += self.value[walk_steps(nodes, x, rows, root)]
         return total / len(self.roots)
 
     def with_probability(self, df: DataFrame, out: str) -> DataFrame:
         """The rows with the probability of label 1. A null or NaN among the features is an error."""
         shared = df.sparkSession.sparkContext.broadcast(self)
 
-        @F.pandas_udf(DoubleType())
-        def score(x: pd.DataFrame) -> pd.Series:
-            return pd.Series(shared.value.probability(
-                [x[c].to_numpy(dtype=np.float64) for c in x.columns]))
+        @F.arrow_udf(DoubleType())
+        def score(rows: pa.Array) -> pa.Array:
+            fit = shared.value
+            return pa.array(fit.probability(columns_of(rows, len(fit.names))))
 
-        given: Column = F.struct(*[F.col(n).cast("double").alias(f"x{i}")
-                                   for i, n in enumerate(self.names)])
-        return df.withColumn(out, score(given))
+        return df.withColumn(out, score(vector(self.names)))
 
 
 def fit_trees(train: DataFrame, names, label: str, weights, trees: int, depth: int, seed: int,
@@ -299,29 +346,31 @@ def fit_trees(train: DataFrame, names, label: str, weights, trees: int, depth: i
     names, weights = list(names), np.asarray(weights, np.float64)
     size, k = len(names), math.ceil(math.sqrt(len(names)))
     edges = bin_edges(train, names, label, weights)
-    blocks = materialised(packed_bins(train, names, label, edges))
     context = train.sparkSession.sparkContext
+    blocks = materialised(packed_bins(train, names, label, edges)).coalesce(3 * context.defaultParallelism)
 
     def rows_of(batch):
         for block, x, y in zip(*(c.to_pylist() for c in batch.columns)):
             yield block, np.frombuffer(x, np.uint8).reshape(-1, size), np.frombuffer(y, np.uint8)
 
     def at_nodes(batches, pool, wanted):
-        """(tree, bins, labels, draws, place among the wanted nodes) of drawn rows, by block and tree."""
+        """(tree, bins, labels, places of drawn rows, draws, place among the wanted nodes) by block and tree."""
         place = np.full(len(pool), -1)
         place[wanted] = np.arange(len(wanted))
         feature = pool.towards(wanted)
         some = [t for t in range(trees) if feature[t] >= 0 or place[t] >= 0]
+        leads = steps(feature, pool.cut, pool.left)
         for batch in batches:
             for block, x, y in rows_of(batch):
                 for tree in some:
                     draws = drawn(seed, tree, block, len(y))
-                    rows = np.flatnonzero(draws)
-                    node = place[walk(feature, pool.cut, pool.left, x, rows, tree)]
+                    rows = np.flatnonzero(draws != 0)
+                    node = place.take(walk_steps(leads, x, rows, tree))
                     inside = node >= 0
-                    if inside.any():
-                        rows = rows[inside]
-                        yield tree, x[rows], y[rows], draws[rows], node[inside]
+                    if not inside.all():
+                        rows, node = rows[inside], node[inside]
+                    if len(rows):
+                        yield tree, x, y, rows, draws.take(rows), node
 
     def first(batches):
         total = np.zeros((trees, 2), np.int64)
@@ -337,7 +386,7 @@ def fit_trees(train: DataFrame, names, label: str, weights, trees: int, depth: i
               .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()):
         roots[r["tree"]] = r["a"], r["b"]
     large = min(max(SHARE * roots.sum() / trees, LEAST), MOST)
-    nodes, open_, small = Nodes(roots), np.arange(trees), []
+    nodes, open_, small, tree_of = Nodes(roots), np.arange(trees), [], np.arange(trees)
     while True:
         open_ = nodes.mixed(open_, depth, least)
         is_large = nodes.counts[open_].sum(axis=1) > large
@@ -346,14 +395,15 @@ def fit_trees(train: DataFrame, names, label: str, weights, trees: int, depth: i
         if not len(open_):
             break
         looked = looked_at(np.random.default_rng((seed, 1, len(nodes))), len(open_), size, k)
-        shared = context.broadcast((nodes, open_, looked))
+        # Open nodes stand in the order of their trees.
+        shared = context.broadcast((nodes, open_, looked, np.searchsorted(tree_of[open_], np.arange(trees + 1))))
 
         def count(batches):
-            pool, wanted, looked = shared.value
+            pool, wanted, looked, bounds = shared.value
             total = np.zeros((len(wanted), k, BINS, 2), np.int32)
-            for _, x, y, draws, node in at_nodes(batches, pool, wanted):
-                here, node = np.unique(node, return_inverse=True)
-                total[here] += counted(x, y, draws, node, looked[here])
+            for tree, x, y, rows, draws, node in at_nodes(batches, pool, wanted):
+                i, j = bounds[tree], bounds[tree + 1]
+                total[i:j] += counted(x, y[rows], draws, node - i, looked[i:j], rows)
             parts = range(0, len(wanted), AT_ONCE // 8)
             for i in parts:
                 part = total[i:i + AT_ONCE // 8]
@@ -375,6 +425,7 @@ def fit_trees(train: DataFrame, names, label: str, weights, trees: int, depth: i
                  .applyInArrow(choose, "i long, place long, cut long, a long, b long")
                  .toPandas().sort_values("i"))
         i = found["i"].to_numpy()
+        tree_of = np.r_[tree_of, np.repeat(tree_of[open_[i]], 2)]
         open_ = nodes.split(open_[i], looked[i, found["place"].to_numpy()], found["cut"].to_numpy(),
                             found[["a", "b"]].to_numpy())
 
@@ -383,15 +434,27 @@ def fit_trees(train: DataFrame, names, label: str, weights, trees: int, depth: i
 
     def deal(batches):
         pool, wanted = shared_end.value
-        for _, x, y, draws, node in at_nodes(batches, pool, wanted):
-            order = np.argsort(node, kind="stable")
-            here, at = np.unique(node[order], return_index=True)
-            ends = [*at[1:], len(order)]
-            parts = [order[i:j] for i, j in zip(at, ends)]
+
+        def passed_on():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(here.astype(np.int64)),
-                 *[pa.array([a[p].tobytes() for p in parts], pa.binary()) for a in (x, y, draws)]],
-                ["node", "x", "y", "draws"])
+                [pa.array(list(held), pa.int64()),
+                 *[pa.array([b"".join(p[i] for p in parts) for parts in held.values()], pa.binary())
+                   for i in range(3)]], ["node", "x", "y", "draws"])
+        held, size = {}, 0
+        for _, x, y, rows, draws, node in at_nodes(batches, pool, wanted):
+            order = np.argsort(node, kind="stable")
+            rows, draws, node = rows[order], draws[order], node[order]
+            x, y = x[rows], y[rows]
+            ends = [0, *(np.flatnonzero(np.diff(node)) + 1), len(node)]
+            for i, j in zip(ends, ends[1:]):
+                held.setdefault(int(node[i]), []).append(
+                    (x[i:j].tobytes(), y[i:j].tobytes(), draws[i:j].tobytes()))
+            size += x.nbytes
+            if size > HELD:
+                yield from passed_on()
+                held, size = {}, 0
+        if held:
+            yield from passed_on()
 
     def finish(key, rows):
         pool, wanted = shared_end.value

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from flowguard.operators import metrics as M, splits as S
 from flowguard.operators.encoders import encode, fit_vocabulary, robust_scale
-from flowguard.operators.ordered import float_bucket, quantiles, running_totals
+from flowguard.operators.ordered import column_counts, column_quantiles, float_bucket, quantiles, \
+    running_totals
 
 
 def test_quantiles_equal_numpy(spark):
@@ -101,3 +102,20 @@ def test_scaling_with_no_spread(spark):
                                 (9.0, 6.0, "test")], "a double, b double, partition string")
     got = [(r["a"], r["b"]) for r in robust_scale(df, ["a", "b"]).collect()]
     assert got == [(-1.0, 0.0), (1.0, 0.0), (7.0, 1.0)]
+
+
+def test_quantiles_of_columns_are_exact(spark):
+    """Two passes over the rows as they are; values, nulls aside, were all shuffled before."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=5000) * 10.0 ** rng.integers(-3, 6, 5000)
+    b = rng.integers(-2, 3, 5000) * 1.0
+    rows = [(float(p), None if i % 5 == 0 else float(q), None) for i, (p, q) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(7)
+    qs = {"low": 0.0, "q25": 0.25, "q50": 0.5, "q87": 0.87, "high": 1.0}
+    found = {r["feature"]: r for r in column_quantiles(df, ["a", "b", "c"], qs).collect()}
+    assert set(found) == {"a", "b"}
+    for name, q in qs.items():
+        assert found["a"][name] == pytest.approx(np.quantile(a, q))
+        assert found["b"][name] == pytest.approx(np.quantile(b[np.arange(5000) % 5 > 0], q))
+    text = column_counts(df, ["a"])._jdf.queryExecution().toString()
+    assert "Generate" not in text and "MapInArrow" in text

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,45 @@ def test_odd_rows(spark):
         fit(holed)
     with pytest.raises(Exception, match="null or NaN"):
         fit(df).with_probability(holed, "p").collect()
+
+
+def test_bins_end_at_weighted_quantiles_put_together_from_summaries(spark, monkeypatch):
+    """Every summary of rows keeps the rank of its points; nulls and foreign labels are told."""
+    monkeypatch.setattr(T, "SUMMED", 4000)
+    monkeypatch.setattr(T, "POINTS", 256)
+    rng = np.random.default_rng(4)
+    v, y = np.exp(3 * rng.normal(size=30_000)), rng.integers(0, 5, 30_000) // 4
+    df = spark.createDataFrame(pd.DataFrame({"a": v, "b": np.round(v), "label": y}))
+    a, b = T.bin_edges(df, ["a", "b"], "label", (1.0, 4.0))
+    w = np.where(y == 1, 4.0, 1.0)
+    assert len(a) == T.BINS - 1 and set(a) <= set(v) and set(b) <= set(np.round(v))
+    shares = [w[v <= e].sum() / w.sum() for e in a]
+    assert np.abs(shares - np.arange(1, T.BINS) / T.BINS).max() < 2 / 256
+
+
+def test_tasks_of_a_pass_do_not_follow_the_tables_partitions(spark):
+    """Counts of all open nodes came from each partition, and one task a class put all quantiles together."""
+    context = spark.sparkContext
+    df = table(spark, 600, 0.5, 150).cache()
+    df.count()
+    context.setJobGroup("many", "fit")
+    T.fit_trees(df, NAMES, "label", (1.0, 1.0), 4, 4, 3)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("many")
+              for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.numTasks >= 150 for s in stages if s) <= 1
+
+
+def test_walks_end_in_leaves():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, T.BINS, (500, 3)).astype(np.uint8)
+    feature, cut = np.array([1, 0, -1, 2, -1, -1, -1]), np.array([9, 20, 0, 30, 0, 0, 0], np.uint8)
+    left = np.array([1, 3, -1, 5, -1, -1, -1], np.int32)
+    ends = T.walk(feature, cut, left, x, np.arange(500), 0)
+    for row, end in zip(x, ends):
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] + int(row[feature[at]] > cut[at])
+        assert at == end
+    assert T.walk(feature, cut, left, x, np.arange(3), 4).tolist() == [4, 4, 4]
