@@ -2,8 +2,9 @@
 
 The loss is the weighted mean of the rows' log loss plus half the penalty times the squared slopes; the
 intercept is free. Rows are packed into blocks of numbers once, a feature of few values as places in a table
-of them. Each pass multiplies the blocks out in the tasks, and sums of loss, gradient and curvature (a few
-hundred numbers for some forty features) are added up by Spark; the driver solves one small system a step.
+of them. Each pass multiplies the blocks out in the tasks; their sums of loss, gradient and curvature (a few
+hundred numbers for some forty features, from three tasks a core at most) are added up by the driver, which
+solves one small system a step.
 
 The search sets out from where it ends on every 16th row. That only saves passes: it ends on all rows, by the
 slopes of their loss, and the loss has one lowest point.
@@ -113,12 +114,12 @@ def loss_parts(blocks: DataFrame, theta: np.ndarray) -> tuple[float, float, np.n
                     slope -= x @ (weight * sign * wrong)
                     bend += (x * (weight * small / (1.0 + small) ** 2)) @ x.T
         values = np.concatenate([total, slope, bend[upper]])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["i", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary())], ["v"])
 
-    sums = blocks.select("data").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-    found = {r["i"]: r["v"] for r in sums.collect()}
-    flat = np.array([found.get(i, 0.0) for i in range(2 + size + len(upper[0]))])
+    flat = np.zeros(2 + size + len(upper[0]))
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    for r in blocks.select("data").coalesce(3 * cores).mapInArrow(run, "v binary").collect():
+        flat += np.frombuffer(r["v"])
     bend = np.zeros((size, size))
     bend[upper] = flat[2 + size:]
     return flat[0], flat[1], flat[2:2 + size], bend + np.triu(bend, 1).T
@@ -176,5 +177,5 @@ def fit_logistic(train: DataFrame, names, label: str, weight: str, penalty: floa
     if rows[True].min() >= ENOUGH:
         few = materialised(blocks.where("early").select("data").repartition(cores))
         theta = lowest(few, theta, ridge, iterations, NEAR)[0]
-    theta, passes = lowest(blocks.coalesce(3 * cores), theta, ridge, iterations)
+    theta, passes = lowest(blocks, theta, ridge, iterations)
     return LogisticFit(names, theta[1:], float(theta[0]), penalty, passes)
